@@ -105,7 +105,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM d),
 win AS (
   SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
@@ -118,7 +118,7 @@ ln AS (
   WHERE regexp_matches(l, '[^ \t\n\x0B\f\r]') GROUP BY doc_id
 ),
 c AS (
-  SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)
