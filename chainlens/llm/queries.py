@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality, langid, minhash, sharding
+from . import host_quality, langid, minhash, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_sharding": sharding.op2_sharding,
         "op3_language_id": langid.op3_language_id,
         "op4_quality_rules": host_quality.op4_quality_rules,
+        "op5_simhash": simhash.op5_simhash,
         "op6_minhash": minhash.op6_minhash,
     }
 
