@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_quality, langid, minhash, packing, sharding, simhash, substring, toxicity
+from . import bpe, host_quality, html, langid, minhash, packing, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.op5_simhash,
         "op6_minhash": minhash.op6_minhash,
         "op7_substring": substring.op7_substring,
+        "op8_main_text": html.op8_main_text,
         "op9_packing": packing.op9_packing,
         "op10_bpe": bpe.op10_bpe,
     }
