@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-_KEPT = 200_000  # distinct words whose ids a worker keeps at most
+_KEPT = 200_000  # distinct words after which a worker begins to forget
 _LONG = 200  # bytes of a word beyond which its ids are not kept
 _PORTION = 4 * 2**20  # characters of text encoded at once
 
@@ -25,15 +25,40 @@ pair AS (SELECT l.id AS l, r.id AS r, c.id AS rank FROM cut c JOIN vocabulary l
 SELECT *, rank IN (SELECT l FROM pair WHERE pair.rank < l UNION SELECT r FROM pair WHERE pair.rank < r) AS alone FROM pair
 """
 
-#: words(w, h): a word's number and its bytes in hex. A row of state is a token at a place of a word; each step joins
-#: neighbours to the merge table and contracts the leftmost pair of least rank, until no word has a pair.
-_ENCODE = """
-WITH RECURSIVE state(w, pos, tok, step) AS (
-  SELECT x.w, x.i, b.id, 0
+#: words(w, h): a word's number and its bytes in hex. A row of state is a token at a place of a word. Each step joins
+#: neighbours to the merge table and contracts each word's leftmost pair of least rank; a word without pairs is done.
+#: The decoded bytes are those of the ids, put together in the order of their places.
+_START = """
+  SELECT x.w, x.i, b.id, false
   FROM (SELECT w, h, unnest(range(len(h) // 2)) AS i FROM words WHERE h NOT IN (SELECT h FROM vocabulary)) x
   JOIN vocabulary b ON b.h = x.h[2 * x.i + 1:2 * x.i + 2]
+"""
+_END = """
+SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.h, '' ORDER BY pos) AS decoded
+FROM (SELECT w, pos, tok FROM state WHERE done UNION ALL SELECT x.w, 0, v.id FROM words x JOIN vocabulary v ON v.h = x.h)
+JOIN vocabulary v ON v.id = tok GROUP BY w
+"""
+_ENCODE = f"""
+WITH RECURSIVE state(w, pos, tok, done) AS ({_START}
+  UNION ALL
+  SELECT * FROM (
+    WITH pairs AS MATERIALIZED (
+      SELECT s.*, m.rank
+      FROM (SELECT w, pos, tok, lead(tok) OVER o AS after, lead(pos) OVER o AS place FROM state WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+      LEFT JOIN merges m ON m.l = s.tok AND m.r = s.after
+    ),
+    best AS (SELECT w, min(rank) AS rank, arg_min(pos, rank::BIGINT * 65536 + pos) AS at, arg_min(place, rank::BIGINT * 65536 + pos) AS gone FROM pairs GROUP BY w)
+    SELECT p.w, p.pos, CASE WHEN p.pos = b.at THEN b.rank ELSE p.tok END, b.rank IS NULL
+    FROM pairs p JOIN best b ON p.w = b.w WHERE b.rank IS NULL OR p.pos <> b.gone
+  )
+) {_END}"""
+
+#: The same for long words, in far fewer steps: all occurrences of the pair at once, from left to right without overlap,
+#: unless a pair that opens on the way could come first (alone).
+_ENCODE_LONG = f"""
+WITH RECURSIVE state(w, pos, tok, done) AS ({_START}
   UNION ALL
-  SELECT w, pos, CASE WHEN chosen THEN best ELSE tok END, step + 1
+  SELECT w, pos, CASE WHEN chosen THEN best ELSE tok END, best IS NULL
   FROM (
     SELECT *, coalesce(lag(chosen) OVER (PARTITION BY w ORDER BY pos), false) AS taken
     FROM (
@@ -44,22 +69,14 @@ WITH RECURSIVE state(w, pos, tok, step) AS (
           SELECT *, coalesce(rank = best, false) AS hit
           FROM (
             SELECT s.*, m.rank, m.alone, min(m.rank) OVER (PARTITION BY s.w) AS best
-            FROM (SELECT *, lead(tok) OVER o AS after, row_number() OVER o AS rn FROM state WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+            FROM (SELECT *, lead(tok) OVER o AS after, row_number() OVER o AS rn FROM state WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)) s
             LEFT JOIN merges m ON m.l = s.tok AND m.r = s.after
-          ) WHERE best IS NOT NULL
+          )
         )
       )
     )
   ) WHERE NOT taken
-),
-ends AS (SELECT w, max(step) AS step FROM state GROUP BY w),
-found AS (
-  SELECT s.w, s.pos, s.tok FROM state s JOIN ends USING (w, step)
-  UNION ALL
-  SELECT x.w, 0, v.id FROM words x JOIN vocabulary v ON v.h = x.h
-)
-SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.h, '' ORDER BY pos) AS decoded FROM found JOIN vocabulary v ON v.id = tok GROUP BY w
-"""
+) {_END}"""
 
 
 class Merger:
@@ -73,6 +90,7 @@ class Merger:
         self.words_of = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+", r"\p{White_Space}+").replace(r"\S", r"\P{White_Space}")).findall
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         with open(path, "rb") as f:
             ranks = [(base64.b64decode(a).hex(), int(b)) for a, b in (x.split() for x in f if x.strip())]
         self.db = duckdb.connect()
@@ -82,21 +100,30 @@ class Merger:
         self.db.execute(_MERGES)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > _KEPT:
-            self.ids.clear()
-            self.decoded.clear()
-            new = list(words)
-        if not new:
-            return
-        self.db.register("words", pa.table({"w": pa.array(range(len(new)), pa.int32()), "h": [w.encode().hex() for w in new]}))
-        got = self.db.sql(_ENCODE).to_arrow_table()
+        """Makes the words known. Once more than _KEPT are, those not seen since the last such time are forgotten."""
+        new = []
+        for w in words:
+            if w not in self.ids:
+                if w in self.older[0]:
+                    self.ids[w], self.decoded[w] = self.older[0][w], self.older[1][w]
+                else:
+                    new.append(w)
+        for some, query in (([w for w in new if len(w) <= _LONG], _ENCODE), ([w for w in new if len(w) > _LONG], _ENCODE_LONG)):
+            if some:
+                self._merge(some, query)
+        if len(self.ids) > _KEPT:
+            self.older = (self.ids, self.decoded)
+            self.ids, self.decoded = {w: self.ids[w] for w in words}, {w: self.decoded[w] for w in words}
+
+    def _merge(self, words: list[str], query: str) -> None:
+        self.db.register("words", pa.table({"w": pa.array(range(len(words)), pa.int32()), "h": [w.encode().hex() for w in words]}))
+        got = self.db.sql(query).to_arrow_table()
         self.db.unregister("words")
         ids = got.column("ids").combine_chunks()
-        flat, at = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_pylist()
-        at = [x - at[0] for x in at]
+        flat, at = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_pylist()
         for k, (w, h) in enumerate(zip(got.column("w").to_pylist(), got.column("decoded").to_pylist(), strict=True)):
-            self.ids[new[w]], self.decoded[new[w]] = flat[at[k] : at[k + 1]].tobytes(), bytes.fromhex(h)
+            word = words[w]
+            self.ids[word], self.decoded[word] = flat[4 * (at[k] - at[0]) : 4 * (at[k + 1] - at[0])], bytes.fromhex(h)
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
@@ -107,7 +134,8 @@ class Merger:
             yield b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))
         for w in every:
             if len(w) > _LONG:
-                del self.ids[w], self.decoded[w]
+                for known in (self.ids, self.decoded, *self.older):
+                    known.pop(w, None)
 
 
 _mergers: dict[str, Merger] = {}
