@@ -104,7 +104,7 @@ def joined(items: Column) -> Column:
 
 def day_start(date: str, zone: str) -> Column:
     """The instant at which a calendar day begins in a zone."""
-    return F.to_utc_timestamp(F.to_timestamp(F.lit(date), F.lit("yyyy-MM-dd")), zone)
+    return F.to_utc_timestamp(F.to_timestamp(F.lit(date), "yyyy-MM-dd"), zone)
 
 
 def in_days(ts: Column, since: str | None, until: str | None, zone: str) -> Column:
@@ -114,7 +114,7 @@ def in_days(ts: Column, since: str | None, until: str | None, zone: str) -> Colu
         out = out & (ts >= day_start(since, zone))
     if until:
         after = F.date_format(F.date_add(F.to_date(F.lit(until)), 1), "yyyy-MM-dd")
-        out = out & (ts < F.to_utc_timestamp(F.to_timestamp(after, F.lit("yyyy-MM-dd")), zone))
+        out = out & (ts < F.to_utc_timestamp(F.to_timestamp(after, "yyyy-MM-dd"), zone))
     return out
 
 
