@@ -40,31 +40,41 @@ def glob_to_regex(pattern: str) -> str:
             out += _literal(pattern[i])
             i += 1
         elif c == "[":
-            inside, i, closed = "", i, False
-            negated = pattern[i : i + 1] == "^"
-            i += negated
-            while i < len(pattern):
-                if pattern[i] == "]" and inside:
-                    closed, i = True, i + 1
-                    break
-                if pattern[i] == "\\":
-                    i += 1
-                    if i == len(pattern):
-                        return NEVER
-                    inside += _literal(pattern[i])
-                elif pattern[i] == "-" and inside and pattern[i + 1 : i + 2] not in ("", "]"):
-                    inside += "-"
-                else:
-                    inside += _literal(pattern[i])
-                i += 1
-            if not closed:
+            found = _brackets(pattern, i)
+            if found is None:
                 return NEVER
-            out += f"[{'^' if negated else ''}{inside}]"
+            part, i = found
+            out += part
         else:
             out += _literal(c)
     return f"^{out}$"
 
 
+def _brackets(pattern: str, i: int) -> tuple[str, int] | None:
+    """The character class that begins at i, and where it ends; None if it is malformed (empty, unclosed, a bare - or ])."""
+
+    def one(i: int) -> tuple[str, int] | None:
+        if i < len(pattern) and pattern[i] == "\\":
+            i += 1
+        elif pattern[i : i + 1] in ("-", "]"):
+            return None
+        return (_literal(pattern[i]), i + 1) if i < len(pattern) else None
+
+    negated = pattern[i : i + 1] == "^"
+    i, inside = i + negated, ""
+    while not (inside and pattern[i : i + 1] == "]"):
+        low = one(i)
+        if low is None:
+            return None
+        inside, i = inside + low[0], low[1]
+        if pattern[i : i + 1] == "-":
+            high = one(i + 1)
+            if high is None:
+                return None
+            inside, i = f"{inside}-{high[0]}", high[1]
+    return f"[{'^' if negated else ''}{inside}]", i + 1
+
+
 def _literal(c: str) -> str:
     return c if c.isalnum() or c in "_ /@:,%" or ord(c) > 127 else "\\" + c
 

@@ -1,0 +1,234 @@
+"""Snapshots, diff, rules, chains and parsers on golden values, and properties that must hold."""
+
+import copy
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainlens.functions import canon, net, redact, text
+from chainlens.operators import diff, entities, history, parsers, rules, verify
+from chainlens.sources import snapshots as source
+from chainlens.streaming import watch
+
+BASE = {
+    "version": "1", "snapshot_id": "s", "timestamp": "2026-03-22T10:00:00Z", "prev_hash": "0" * 64,
+    "host": {"hostname": "testhost", "os": "x", "kernel": "5.15.0", "arch": "a", "boot_id": "abc123", "machine_id": "m"},
+    "network": {"interfaces": [{"name": "eth0", "state": "up", "mtu": 1500, "mac": "m", "addresses": ["10.0.0.1"], "stats": {"rx_bytes": 1000, "tx_bytes": 500}}], "routes": [], "dns": {"nameservers": ["1.1.1.1"], "search_domains": []}},
+    "kernel_params": {"net.ipv4.ip_forward": "0", "net.core.somaxconn": "128", "vm.swappiness": "60"},
+    "packages": {"nginx": "1.18.0", "curl": "7.74.0"}, "services": {"nginx.service": "active (running)"},
+    "listening_ports": [{"port": 80, "protocol": "tcp", "address": "0.0.0.0", "process": ""}, {"port": 443, "protocol": "tcp", "address": "0.0.0.0", "process": ""}],
+    "users": [{"name": "alice", "uid": 1000, "gid": 1, "gecos": "", "home": "/h", "shell": "/bin/bash"}], "groups": [{"name": "wheel", "gid": 10, "members": ["alice"]}],
+    "sudoers": [{"source": "/etc/sudoers", "line": "a"}], "mounts": [{"source": "/dev/sda1", "mount_point": "/data", "fs_type": "ext4", "mount_options": "rw", "super_options": ""}, {"source": "/dev/sdb1", "mount_point": "/data", "fs_type": "ext4", "mount_options": "rw", "super_options": ""}],
+    "connections": [{"protocol": "tcp", "local_addr": "1", "local_port": 54321, "remote_addr": "2", "remote_port": 5, "state": "ESTABLISHED", "process": "p"}],
+    "cpu": {"user": 18446744073709551615}, "processes": {"total_count": 5, "top_by_rss": [{"pid": 7, "ppid": 1, "comm": "db", "state": "S", "rss_kb": 10, "vms_kb": 1}]},
+}
+
+
+def changed(edit):
+    out = copy.deepcopy(BASE)
+    edit(out)
+    return out
+
+
+def put(path, value):
+    def edit(d):
+        *way, last = path
+        for k in way:
+            d = d[k]
+        d[last] = value
+
+    return edit
+
+
+def drop(path):
+    def edit(d):
+        *way, last = path
+        for k in way:
+            d = d[k]
+        del d[last]
+
+    return edit
+
+
+CASES = [
+    (lambda d: None, set()),
+    (put(["kernel_params", "kernel.randomize_va_space"], "2"), {("kernel_params", "added", "kernel.randomize_va_space", "", "2", False)}),
+    (drop(["kernel_params", "vm.swappiness"]), {("kernel_params", "removed", "vm.swappiness", "60", "", False)}),
+    (put(["kernel_params", "net.core.somaxconn"], "4096"), {("kernel_params", "modified", "net.core.somaxconn", "128", "4096", False)}),
+    (drop(["listening_ports", 1]), {("listening_ports", "removed", "443/tcp 0.0.0.0", "443/tcp", "", False)}),
+    (put(["network", "interfaces", 0, "stats", "rx_bytes"], 9999), {("network.interfaces", "modified", "eth0.stats.rx_bytes", "1000", "9999 (delta: +8999)", True)}),
+    (put(["network", "interfaces", 0, "state"], "down"), {("network.interfaces", "modified", "eth0.state", "up", "down", False)}),
+    (put(["connections", 0, "local_port"], 54999), set()),
+    (put(["users", 0, "uid"], 0), {("users", "modified", "alice.uid", "1000", "0", False)}),
+    (put(["groups", 0, "members"], ["alice", "bob"]), {("groups", "modified", "wheel.members", "alice", "alice,bob", False)}),
+    (put(["sudoers", 0, "line"], "b"), {("sudoers", "removed", "/etc/sudoers\ta", "/etc/sudoers: a", "", False), ("sudoers", "added", "/etc/sudoers\tb", "", "/etc/sudoers: b", False)}),
+    (put(["mounts", 0, "fs_type"], "ramfs"), {("mounts", "modified", "/data.fs_type", "ext4", "ramfs", False)}),
+    (drop(["mounts", 1]), {("mounts", "removed", "/data", "source=/dev/sdb1 fs=ext4 opts=rw", "", False)}),
+    (put(["host", "boot_id"], "new"), {("host", "modified", "boot_id", "abc123", "new", False)}),
+    (put(["host", "os"], "new"), set()),
+    (put(["cpu", "user"], 18446744073709551614), {("cpu", "modified", "user", "18446744073709551615", "18446744073709551614 (delta: -1)", True)}),
+    (put(["processes", "top_by_rss", 0, "rss_kb"], 12), {("processes", "modified", "7 (db).rss_kb", "10", "12 (delta: +2)", True)}),
+    (put(["network", "dns", "nameservers"], []), {("network.dns", "modified", "nameservers", "1.1.1.1", "", False)}),
+    (drop(["packages"]), {("packages", "removed", "nginx", "1.18.0", "", False), ("packages", "removed", "curl", "7.74.0", "", False)}),
+    (drop(["cpu"]), {("cpu", "modified", "user", "18446744073709551615", "0 (delta: -18446744073709551615)", True)}),
+]
+
+
+def loaded(spark, documents):
+    """documents: host, path, document or text."""
+    rows = [(h, p, d if isinstance(d, str) else json.dumps(d)) for h, p, d in documents]
+    return spark.createDataFrame(rows, "host_id string, path string, raw string")
+
+
+@pytest.fixture(scope="module")
+def pair_changes(spark):
+    docs = [(f"h{i}", "a", BASE) for i in range(len(CASES))] + [(f"h{i}", "b", changed(lambda d, e=e: (e(d), put(["timestamp"], "2026-03-22T10:00:00.5Z")(d)))) for i, (e, _) in enumerate(CASES)]
+    found = history.sequenced(source.snapshots(loaded(spark, docs))).withColumn("seq", F.col("seq").cast("long")).persist()
+    pairs = diff.consecutive_pairs(found)
+    out = diff.consecutive(entities.entities(found), pairs).persist()
+    return found, pairs, out
+
+
+def test_one_change_for_each_edit(pair_changes):
+    _, pairs, out = pair_changes
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.host_id, set()).add((r.section, r.type, r.key, r.old_value, r.new_value, r.counter))
+    for i, (_, want) in enumerate(CASES):
+        assert got.get(f"h{i}", set()) == want, i
+    counts = {r.host_id: (r.material, r.counters) for r in diff.counts(out, pairs).collect()}
+    assert counts["h0"] == (0, 0) and counts["h5"] == (0, 1) and counts["h18"] == (2, 0)
+
+
+def test_difference_turned_round(pair_changes):
+    found, _, out = pair_changes
+    every = entities.entities(found)
+    pairs = found.select("host_id").distinct().select("host_id", F.lit(9).cast("long").alias("pair_seq"), F.lit(1).cast("long").alias("seq_a"), F.lit(0).cast("long").alias("seq_b"))
+    turned = {"added": "removed", "removed": "added", "modified": "modified"}
+    there = {(r.host_id, r.section, turned[r.type], r.key, r.new_value, r.old_value) for r in out.where("not counter").collect()}
+    assert there == {(r.host_id, r.section, r.type, r.key, r.old_value, r.new_value) for r in diff.between(every, pairs).where("not counter").collect()}
+
+
+def test_rules(spark, pair_changes):
+    _, _, out = pair_changes
+    table = rules.default_rules(spark)
+    got = {(r.host_id, r.rule_id, r.matches) for r in rules.findings(out, table, True).collect()}
+    assert {("h13", "R10_HOST_REBOOTED", 1), ("h10", "R16_SUDOERS_MODIFIED", 2), ("h18", "R04_PACKAGE_REMOVED", 2), ("h12", "R24_MOUNT_REMOVED", 1)} <= got
+    assert not any(r == "R12_LARGE_PROCESS_RSS_GROWTH" or h in ("h0", "h5") for h, r, _ in got)
+    firmware = spark.createDataFrame([("h", 1, "nic_drivers", "modified", "eth0.fw_version", "", "", False)], out.schema)
+    assert rules.findings(firmware, table).count() == 0 and rules.findings(firmware, table, True).first().rule_id == "R11_NIC_FIRMWARE_CHANGED"
+    own = spark.createDataFrame([("R01_NEW_LISTEN_PORT", "OVERRIDDEN", "", "low", "x", "", "", False, 0), ("CUSTOM_001", "", "", "low", "x", "", "", False, 1)], table.schema)
+    merged = {r.id: r for r in rules.overridden(table, own).collect()}
+    assert len(merged) == 26 and merged["R01_NEW_LISTEN_PORT"].name == "OVERRIDDEN" and merged["R01_NEW_LISTEN_PORT"].ord == 0 and merged["CUSTOM_001"].ord == 26
+
+
+def chain(n, tamper=None):
+    out, head = [], "0" * 64
+    for i in range(n):
+        d = changed(lambda d, i=i, head=head: (put(["timestamp"], f"2026-03-22T10:00:0{i}Z")(d), put(["prev_hash"], head)(d)))
+        head = hashlib.sha256(json.dumps(d, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        if i == tamper:
+            d["kernel_params"]["net.ipv4.ip_forward"] = "TAMPERED"
+        out.append(d)
+    return out
+
+
+def test_chains(spark):
+    docs = [(f"t{t}", f"{i}.json", d) for t in (None, 0, 1, 3) for i, d in enumerate(chain(4, t))] + [("bad", "x.json", "{not valid json"), ("bad", "y.json", "{}")]
+    raw = loaded(spark, docs)
+    assert {(r.host_id, r.path) for r in source.corrupt(raw).collect()} == {("bad", "x.json"), ("bad", "y.json")}
+    rows = source.snapshots(raw)
+    linked = verify.links(rows)
+    verdict = verify.verdicts(linked)
+    assert {r.host_id: r.broken_at for r in verdict.collect()} == {"tNone": -1, "t0": 1, "t1": 2, "t3": -1}
+    heads = spark.createDataFrame([("tNone", hashlib.sha256(json.dumps(chain(4)[3], sort_keys=True, separators=(",", ":")).encode()).hexdigest()), ("t3", "x")], "host_id string, head_hash string")
+    assert {r.host_id: r.head_ok for r in verify.head_check(verdict, heads).collect()} == {"tNone": True, "t3": False, "t0": False, "t1": False}
+    assert [r.status for r in verify.trust(linked, verdict).where("host_id = 't1'").orderBy("idx").collect()] == ["intact", "suspect", "untrusted", "untrusted"]
+    kept, anchors = history.retained(rows.where("host_id = 'tNone' and ts_ns % 60000000000 >= 2000000000"), 0, "2026-04-01")
+    assert verify.verdicts(verify.links(kept, anchors)).first().broken_at == -1
+    told = verify.manifest(rows.withColumnRenamed("host_id", "bundle_id"))
+    assert {(r.bundle_id, r.snapshot_count, r.mean_gap_s) for r in told.collect()} == {(f"t{t}", 4, 1) for t in (None, 0, 1, 3)}
+    got = {r.bundle_id: (r.broken_at, r.mismatch) for r in verify.bundle_verdicts(rows.withColumnRenamed("host_id", "bundle_id"), told.withColumn("snapshot_count", F.when(F.col("bundle_id") == "t3", 9).otherwise(4))).collect()}
+    assert got == {"tNone": (-1, ""), "t0": (1, ""), "t1": (2, ""), "t3": (-1, "count")}
+
+
+def test_canonical_json(spark):
+    texts = ['{"z":{"b":2,"a":1},"a":"first"}', '{ "a":{}, "b":[], "c":null }', '{"a":"<script>alert(1)&</script> \\"\\\\ naïve"}', '{"Forwarding":1,"ForwDatagrams":0,"n":18446744073709551615}', "{nope"]
+    got = [r.j for r in spark.createDataFrame([(t,) for t in texts], "t string").select(canon.canonical_json(F.col("t")).alias("j")).collect()]
+    assert got == ['{"a":"first","z":{"a":1,"b":2}}', '{"a":{},"b":[],"c":null}', '{"a":"<script>alert(1)&</script> \\"\\\\ naïve"}', '{"ForwDatagrams":0,"Forwarding":1,"n":18446744073709551615}', None]
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("o")).first().o
+
+
+def test_functions(spark):
+    assert one(spark, "MYSQL_PASSWORD=foo backup.sh", redact.redacted) == "MYSQL_PASSWORD=<redacted> backup.sh"
+    assert one(spark, "Authorization: Bearer abc.def.ghi", redact.redacted) == "Authorization: Bearer <redacted>"
+    assert one(spark, "PATH=/usr/bin /opt/run.sh", redact.redacted) == "PATH=/usr/bin /opt/run.sh"
+    assert one(spark, "CRED=foo,rw", redact.mount_options) == "rw" and one(spark, "rw,nosuid,nodev,noexec", redact.mount_options) == "nodev,noexec,nosuid,rw"
+    assert one(spark, "/mnt/with\\040space", text.unescape_mount) == "/mnt/with space"
+    assert [one(spark, v, net.socket_address) for v in ("0100007F:0035", "00000000:0050", "0" * 32 + ":1F90")] == ["127.0.0.1", "0.0.0.0", "::"]
+    assert [one(spark, v, net.socket_port) for v in ("0100007F:0035", "0" * 32 + ":1F90")] == [53, 8080]
+    assert [one(spark, v, net.igmp_address) for v in ("010000E0", "FB0000E0")] == ["224.0.0.1", "224.0.0.251"]
+    six = {"ff020000000000000000000000000001": "ff02::1", "ff020000000000000000000000000016": "ff02::16", "0" * 32: "::", "0" * 31 + "1": "::1", "20010db8000000000001000000000000": "2001:db8:0:0:1::", "20010db8000100020003000400050006": "2001:db8:1:2:3:4:5:6"}
+    assert {k: one(spark, k, net.igmp6_address) for k in six} == six
+    glob = lambda name, *patterns: one(spark, name, lambda c: text.matches_any(c, [*patterns]))
+    assert glob("veth1a2b3c", "veth*") and not glob("eth0", "veth*", "docker0", "br-*") and not glob("a/b", "*") and glob("a]", "a[]]") is False and not glob("a", "[a") and glob("b", "[^a]") and glob("a*", "a\\*")
+    assert one(spark, "2026-04-25T10:00:00.05Z", text.nanoseconds) - one(spark, "2026-04-25T10:00:00.000000001Z", text.nanoseconds) == 49_999_999
+    assert str(one(spark, "2026-06-15", lambda c: F.date_format(text.day_start("2026-06-15", "America/Los_Angeles"), "yyyy-MM-dd'T'HH:mm"))) == "2026-06-15T07:00"
+
+
+def parsed(spark, parser, path, content, **more):
+    files = spark.createDataFrame([("h", 0, path, content)], "host_id string, ts int, path string, content string")
+    for k, v in more.items():
+        files = files.withColumn(k, F.lit(v))
+    return [{k: v for k, v in r.asDict(True).items() if k not in ("host_id", "ts", "pos", "path")} for r in parser(files).collect()]
+
+
+def test_parsers(spark):
+    p = lambda *a, **k: parsed(spark, *a, **k)
+    assert p(parsers.routes, "r", "default via 10.0.1.1 dev eth0 proto dhcp metric 100\nx y") == [{"destination": "0.0.0.0/0", "gateway": "10.0.1.1", "device": "eth0", "protocol": "dhcp", "metric": 100}]
+    assert p(parsers.packages, "rpm", "bash\t5.1.8-6.el9\nnoversion") == [{"name": "bash", "version": "5.1.8-6.el9"}]
+    cpu = p(parsers.cpu, "/proc/stat", "cpu  12345 678 9012 345678 90 1 23 4 5 6\ncpu0 1 2 3 4 5")[0]
+    assert (cpu["user"], cpu["guest_nice"]) == (12345, 6)
+    snmp = {r["proto"]: r["counters"] for r in p(parsers.kernel_counters, "/proc/net/snmp", "Ip: Forwarding DefaultTTL InReceives\nIp: 1 64 1000\nUdp: InDatagrams NoPorts\nUdp: 9 3\n")}
+    assert snmp["ip"]["InReceives"] == 1000 and snmp["udp"]["NoPorts"] == 3
+    status = p(parsers.processes, "/proc/42/status", "Name:\tnginx\nState:\tS (sleeping)\nPPid:\t1\nVmRSS:\t   20480 kB\n")
+    assert status == [{"pid": 42, "ppid": 1, "comm": "nginx", "state": "S", "rss_kb": 20480, "vms_kb": 0}]
+    assert p(parsers.cron_jobs, "/etc/cron.d/x", "SHELL=/bin/bash\n01 * * * * root run-parts /etc/cron.hourly\n# no") == [{"source": "/etc/cron.d/x", "schedule": "01 * * * *", "user": "root", "command": "run-parts /etc/cron.hourly"}]
+    assert p(parsers.cron_jobs, "/var/spool/cron/alice", "@daily /home/alice/backup.sh") == [{"source": "/var/spool/cron/alice", "schedule": "@daily", "user": "alice", "command": "/home/alice/backup.sh"}]
+    assert p(parsers.mounts, "m", "26 1 254:0 / / rw,relatime shared:1 - ext4 /dev/mapper/rhel-root rw,seclabel") == [{"source": "/dev/mapper/rhel-root", "mount_point": "/", "fs_type": "ext4", "mount_options": "relatime,rw", "super_options": "rw,seclabel"}]
+    assert [m["dependencies"] for m in p(parsers.modules, "m", "nf_conntrack_tftp 16384 3 nf_nat_tftp, Live 0x0\nx 1 2 b,a, Live\ny 1 0 - Live")] == [["nf_nat_tftp"], ["a", "b"], None]
+    assert p(parsers.sudoers, "/etc/sudoers", "a \\\n  b\t c\n# x\n") == [{"source": "/etc/sudoers", "line": "a b c"}]
+    timer = p(parsers.timers, "/etc/systemd/system/a.timer", "[Unit]\nDescription=D\n[Timer]\nOnCalendar=daily\nOnCalendar=weekly\n;x=1\n")[0]
+    assert (timer["description"], timer["on_calendar"], timer["unit"]) == ("D", "weekly", "") and p(parsers.timers, "/etc/b.timer", "[Unit]\nDescription=D") == []
+    body = "AAAAC3NzaC1lZDI1NTE5AAAAIJ"
+    keys = p(parsers.ssh_keys, "k", f'command="a b",no-pty ssh-ed25519 {body} me@x\n"open ssh-rsa {body}\nssh-rsa ***', user="u")
+    assert [(k["type"], k["comment"], k["options"]) for k in keys] == [("ssh-ed25519", "me@x", 'command="a b",no-pty')] and keys[0]["fingerprint"].startswith("SHA256:")
+    assert p(parsers.dns, "r", "nameserver 1.1.1.1\nsearch a b\nnameserver 2.2.2.2") == [{"nameservers": ["1.1.1.1", "2.2.2.2"], "search_domains": ["a", "b"]}]
+    assert p(parsers.nic_drivers, "eth0", "driver: ixgbe\nversion: 5\nfirmware-version: 0x1\n") == [{"interface": "eth0", "driver": "ixgbe", "version": "5", "fw_version": "0x1"}]
+    assert p(parsers.multicast_groups, "/proc/net/igmp", "Idx\n2\teth0      :     1      V3\n\t\t\t\t010000E0     1 0:00000000\t\t0") == [{"interface": "eth0", "group": "224.0.0.1"}]
+    assert p(parsers.services, "s", "nginx.service loaded active running Web") == [{"unit": "nginx.service", "state": "active (running)"}]
+
+
+def test_stream_gives_what_batch_gives(spark, tmp_path):
+    docs = [("h", f"{i}", changed(lambda d, i=i: (put(["timestamp"], f"2026-03-22T10:00:0{i}Z")(d), put(["kernel_params", "k"], str(i // 2))(d)))) for i in range(5)]
+    rows = source.snapshots(loaded(spark, docs)).select("host_id", "path", "raw", "ts_ns", "hash", "prev_hash")
+    for i in range(5):
+        rows.where(F.col("path") == str(i)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = watch.watch(stream, _kernel, f"{tmp_path}/state", lambda c, b, n: got.extend(c.collect()), f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    numbered = history.sequenced(rows).withColumn("seq", F.col("seq").cast("long"))
+    batch = diff.consecutive(_kernel(numbered), diff.consecutive_pairs(numbered)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and len(batch) == 2
+
+
+def _kernel(rows):
+    pairs = rows.select("host_id", "seq", F.from_json(F.get_json_object("raw", "$.kernel_params"), "map<string,string>").alias("m")).select("host_id", "seq", F.explode("m").alias("k", "v"))
+    none = F.expr("cast(map() as map<string,decimal(20,0)>)")
+    return pairs.select("host_id", F.col("seq").cast("long").alias("seq"), F.lit("kernel_params").alias("section"), F.col("k").alias("ekey"), F.col("k").alias("dkey"), F.col("v").alias("label"), F.lit(False).alias("singleton"), F.create_map(F.lit(""), F.col("v")).alias("fields"), none.alias("counters"))
