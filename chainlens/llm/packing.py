@@ -3,64 +3,102 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, longs, range_index, ship, table, weighted_splitters, written
+from .common import longs, range_index, ship, table, weighted_splitters, written
 
 LENGTH = 2048
 END = 1  # the id after each document
 DIMENSIONS = 4
 LEVELS = 10  # bits of a coordinate
-_CACHE = 200_000  # distinct words whose ids a task keeps at most
+_KEPT = 300_000  # words after which a task begins to forget
 _LONG = 200  # bytes of a word beyond which its ids are not kept
 
+#: How the byte level shows a byte: printable ones as they are, others by the characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer that never joins across ASCII white space."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+#: Letters whose lower case depends on their neighbours or is no single letter.
+_ODD = re.compile("[\u03a3\u0130]")
+#: Marks between a letter or digit and white space: the tokenizer's pattern parts them from the word as well.
+_MARKS = re.compile(r"(?<=[a-z0-9\u00e0-\u00f6\u00f8-\u00ff])[!-&(-/:-@\[-`{-~]+(?=[ \t\n\r]|$)")
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn({w for words in split for w in words})
-        end = np.array([END], "<u4").tobytes()
-        for words in split:
-            yield b"".join([*map(self.known.__getitem__, words), end])
-        for w in {w for words in split for w in words if len(w) > _LONG}:
-            self.known.pop(w, None)
+#: Without a mark before another, commas and full stops before white space always end a word.
+_MIXED = re.compile(r"(?:[^\w\s]|_)[,.]")
+_PLAIN = [(f"{mark}{gap}", f" {mark}{gap}") for mark in ",." for gap in " \n"]
 
 
-_encoders: dict[str, Encoder] = {}
+class Words(dict):
+    """Bytes of a word's ids, made when first asked for, by a tokenizer that never joins across ASCII white space.
 
+    Texts are lower-cased and marks after words set apart first, as the tokenizer does itself, so that there are fewer
+    words to know. Once there are more than _KEPT, words not asked for since the last such time are forgotten.
+    """
 
-def encoder(path: str) -> Encoder:
-    """One a worker process, so that tasks that follow one another share its known words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        from tokenizers import Tokenizer
 
-def portions(values: list, size: int = 256) -> Iterator[list]:
-    for at in range(0, len(values), size):
-        yield values[at : at + size]
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 2**16 else ("<u4", "I")
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self._plain(word) or array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) <= _LONG:
+            if len(self) >= _KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+    def _plain(self, word: bytes) -> bytes | None:
+        """By the merges alone, if the word is nothing but lower-case Latin letters, which need no normalizing."""
+        if word.isascii():
+            if not (word.isalpha() and word.islower()):
+                return None
+            shown = word.decode()
+        else:
+            text = word.decode()
+            if not text.isalpha() or max(text) >= "\u0250" or text != text.lower():
+                return None
+            shown = word.decode("latin-1").translate(_VISIBLE)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a whole text and END, as little-endian numbers of this tokenizer's kind."""
+        text = text or ""
+        if "<|" not in text and not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
+            if _MIXED.search(text):
+                text = _MARKS.sub(r" \g<0>", text)
+            else:
+                for a, b in _PLAIN:
+                    text = text.replace(a, b)
+        return b"".join([*map(self.__getitem__, text.encode("utf-8", "replace").split()), np.array([END], self.kind).tobytes()])
+
+
+_words: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """One a worker process, so that tasks that follow one another share what it knows."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
 
 
 def hilbert_key(points: np.ndarray, bits: int = LEVELS) -> np.ndarray:
@@ -96,39 +134,41 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(9).choice(np.array([-1, 1], np.int8), (2**16, DIMENSIONS))
 
 
-def _key_udf(path: str) -> Column:
-    def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode, signs = encoder(path), _directions()
-        for batch in texts:
-            lengths, points = [], []
-            for some in portions(batch.tolist()):
-                for raw in encode(some):
-                    ids = np.frombuffer(raw, "<u4")[:-1]
-                    at, n = np.unique(ids & 0xFFFF, return_counts=True)
-                    norm = math.sqrt(float((n * n).sum())) or 1.0
-                    lengths.append(len(ids) + 1)
-                    points.append((signs[at] * n[:, None]).sum(0) / norm)
-            grid = np.clip((np.array(points).reshape(-1, DIMENSIONS) + 3) / 6, 0, 1 - 1e-9) * 2**LEVELS
-            yield pd.DataFrame({"tokens": np.array(lengths, np.int64), "curve": hilbert_key(grid.astype(np.int64))})
-
-    return F.pandas_udf(measure, "tokens long, curve long")
+def _encode(path: str):
+    """doc_id, text to doc_id, tokens, curve, kind (bytes an id) and ids."""
 
-
-def _pieces(path: str):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, signs = words_of(path), _directions()
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for some in portions(rows):
-                out: list[tuple] = []
-                for (doc_id, _, first), raw in zip(some, encode([r[1] for r in some]), strict=True):
-                    n = len(raw) // 4
-                    for s in range(first // LENGTH, (first + n - 1) // LENGTH + 1):
-                        a, b = max(first, s * LENGTH), min(first + n, (s + 1) * LENGTH)
-                        out.append((doc_id, a - first, b - a, zlib.crc32(raw[4 * (a - first) : 4 * (b - first)]), n, s, a - s * LENGTH))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=PIECE.replace(" long", "").split(", "))
-
-    return cut
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                ids, points = [], np.zeros((some.num_rows, DIMENSIONS))
+                for i, text in enumerate(some.column(1)):
+                    ids.append(words.ids(text.as_py()))
+                    own = np.frombuffer(ids[-1], words.kind)[:-1]
+                    if len(own):
+                        points[i] = signs[own & 0xFFFF].sum(0) / math.sqrt(len(own))
+                grid = np.clip((points + 3) / 6, 0, 1 - 1e-9) * 2**LEVELS
+                size = np.dtype(words.kind).itemsize
+                columns = [some.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(hilbert_key(grid.astype(np.int64)), pa.int64()), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "curve", "kind", "ids"])
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, first (its first id's place among all), kind, ids to PIECE."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            out: list[tuple] = []
+            some = batch.slice(at, 1000)
+            for doc_id, first, kind, ids in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
+                raw = np.frombuffer(ids, f"<u{kind}").astype("<u4").tobytes()
+                n = len(raw) // 4
+                for s in range(first // LENGTH, (first + n - 1) // LENGTH + 1):
+                    a, b = max(first, s * LENGTH), min(first + n, (s + 1) * LENGTH)
+                    out.append((doc_id, a - first, b - a, zlib.crc32(raw[4 * (a - first) : 4 * (b - first)]), n, s, a - s * LENGTH))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=PIECE.replace(" long", "").split(", "))
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -138,9 +178,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tok
     """The pieces (PIECE) of docs (doc_id, text) in sequences of LENGTH tokens, all full but the last.
 
     A document's vector counts its hashed token ids; random signs project it to DIMENSIONS, whose grid cell has a place
-    along the Hilbert curve. Documents stand along that curve, ties by doc_id and then by a hash of the text, and are
+    along the Hilbert curve. Documents stand along that curve, ties by doc_id and then by a hash of their ids, and are
     cut where a sequence is full, so neighbours on the curve share sequences. Ranges of the curve between keys drawn in
-    proportion to tokens are summed first; a document's place is then a running sum within its range.
+    proportion to tokens are summed first; a document's place is then a running sum within its range. Texts are encoded
+    once; the ids are written to the shared folder and dealt to ranges from there.
 
     Null text is empty: one piece of one id. Rows of equal doc_id and text follow one another, each with its own pieces.
     """
@@ -149,11 +190,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tok
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    th = F.xxhash64("text").alias("th")
-    rows = docs.select("doc_id", th, _key_udf(tokenizer)("text").alias("k")).select("doc_id", "th", "k.*")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.mapInArrow(_encode(tokenizer), "doc_id long, tokens long, curve long, kind int, ids binary")
     # A cell of the curve may hold a group of copies: 22 bits of a hash of doc_id below its 40 or fewer split it.
-    rows = written(rows.select("*", F.shiftleft("curve", 22).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(2**22 - 1)).alias("key")), "curve")
+    rows = written(rows.withColumn("key", F.shiftleft("curve", 22).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(2**22 - 1))).drop("curve"), "encoded")
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     cuts = weighted_splitters(rows, F.col("key"), F.col("tokens"), max(n_ranges, math.ceil(total / tokens_per_range)))
     ranged = rows.withColumn("range", range_index(F.col("key"), cuts))
@@ -162,21 +202,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tok
     for r in range(len(cuts) + 1):
         before.append(passed)
         passed += held.get(r, 0)
-    one = ["doc_id", "th"]
-    copies = Window.partitionBy(*one).orderBy("tokens")
-    order = Window.partitionBy("range").orderBy("key", "doc_id", "th", "copy")
+    order = Window.partitionBy("range").orderBy("key", "doc_id", F.xxhash64("ids"))
     first = F.get(longs(before), F.col("range")) + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    some_copied = rows.groupBy(*one).count().where("count > 1").limit(1).count() > 0
-    ranged = ranged.withColumn("copy", F.row_number().over(copies) if some_copied else F.lit(1))
-    placed = ranged.select(F.coalesce("doc_id", F.lit(LONG_MIN + 1)).alias("id"), "th", "copy", first.alias("first"))
-    placed = written(placed, "places")
-    texts = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LONG_MIN + 1)).alias("id"), th)
-    if some_copied:
-        texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "th").orderBy("th")))
-        joined = texts.join(placed, ["id", "th", "copy"])
-    else:
-        joined = texts.join(placed.drop("copy"), ["id", "th"])
-    return joined.select("doc_id", "text", "first").mapInArrow(_pieces(tokenizer), PIECE)
+    return ranged.select("doc_id", first.alias("first"), "kind", "ids").mapInArrow(_cut, PIECE)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

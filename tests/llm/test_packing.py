@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from chainlens.llm.packing import END, LENGTH, hilbert_key, pack
+from chainlens.llm.packing import END, LENGTH, Words, hilbert_key, pack
 
 
 def ids_of(text):
@@ -44,6 +45,16 @@ def test_pieces_cover_every_id_once(spark, sf_dir="/root/testdata/sf0.001"):
     check([(r.doc_id, r.text) for r in docs.collect()], pack(docs).collect())
 
 
+def test_words_as_the_library_does():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    draw = random.Random(3)
+    texts = ["Don't THE's 'LL they'll rock'n'roll 's's", "İstanbul ΣΑΣ ς ǅ ß ẞ ŉ ﬁne ª º µ ÿ Ÿ", "e\u0301 a\u0308\u0323,", "x…, «q», a-b--c !!'s '", "１２ ½ 3rd 4x4, ʼn", "中文, 日本。 한국", "a\u00a0b\u2003c\x85d\x1ce"]
+    texts += ["".join(draw.choice("abesEBÉéßñÑÜü,.!'s0₂ -%中") for _ in range(60)) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(words.ids(t), words.kind).tolist()[:-1] == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "Hello, WORLD's  café ẞİ é 12"), (3, "Hello, WORLD's  café ẞİ é 12"), (4, "a" * 9000), (5, "word " * 7000), (None, "x"), (6, "\x00    b\x1cc <|endoftext|> d")]
     check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
