@@ -69,7 +69,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
-def with_next(docs: DataFrame, n_ranges: int = 512, bytes_per_range: int = 64 * 2**20) -> DataFrame:
+def with_next(docs: DataFrame, n_ranges: int = 512, bytes_per_range: int = 2**30) -> DataFrame:
     """docs (doc_id, text, fingerprint) with next_text and next_fingerprint: those of the next row by doc_id, the first after the last.
 
     Rows are ranged by sampled doc_ids; since a range starts at a row that was drawn, that row is also sent, marked, to

@@ -174,7 +174,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tokens_per_range: int = 50_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tokens_per_range: int = 500_000_000) -> DataFrame:
     """The pieces (PIECE) of docs (doc_id, text) in sequences of LENGTH tokens, all full but the last.
 
     A document's vector counts its hashed token ids; random signs project it to DIMENSIONS, whose grid cell has a place
