@@ -232,9 +232,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     key = ["did", "th"]
     all_passages = written(docs.select(*key, "text").mapInArrow(_find, "anchor long, content long, did long, th long, at long"), "passages")
-    often = all_passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the joins by anchor are plain exchanges, of which Spark splits a hot anchor's.
+    often = written(all_passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     hits = written(all_passages.join(often, "anchor"), "hits")
-    shards = hits.groupBy("anchor").agg((F.min("content") == F.max("content")).alias("same"))
+    shards = written(hits.groupBy("anchor").agg((F.min("content") == F.max("content")).alias("same")), "shards")
     hits = written(hits.join(shards, "anchor"), "judged")
     mixed = hits.where("not same")
     one = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "at")).alias("r"))
