@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than these six (ASCII white space).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LONG_MIN = -(2**63)
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once a session, so that Python tasks import it wherever they run."""
+    """Gives executors this package, once a session, so that Python tasks import it wherever they run.
+
+    Rows hold whole texts, some very long, so the session's Arrow batches are held to BATCH_ROWS from then on: a batch
+    is in memory three times over (in the JVM, as it arrives and as Python objects), beside the executor's heap.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(context, "_chainlens_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent

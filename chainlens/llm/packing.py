@@ -20,7 +20,7 @@ LENGTH = 2048
 END = 1  # the id after each document
 DIMENSIONS = 4
 LEVELS = 10  # bits of a coordinate
-_KEPT = 300_000  # words after which a task begins to forget
+_KEPT = 200_000  # words after which a task begins to forget
 _LONG = 200  # bytes of a word beyond which its ids are not kept
 
 #: How the byte level shows a byte: printable ones as they are, others by the characters from U+0100 on.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)  # letters of the word starts that are features beside whole words
@@ -65,16 +66,22 @@ def telling(labelled: DataFrame, most: int = 4000, least_docs: int = 4, least_ga
     """The features that toxic documents have far more often than others: at most `most`, by the likelihood ratio statistic."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[int]] = {}
-        n = [0, 0]
+        held: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                n[toxic > 0] += 1
-                for f in {f for w in counts(text) for f in features(w)}:
-                    held.setdefault(f, [0, 0])[toxic > 0] += 1
-        yield pd.DataFrame({"feature": ["", *held], "clean": [n[0], *(v[0] for v in held.values())], "toxic": [n[1], *(v[1] for v in held.values())]})
+                held[int(toxic > 0)].update({"", *(f for w in counts(text) for f in features(w))})
+                if len(held[0]) + len(held[1]) > 50_000:
+                    yield from flush(held)
+        yield from flush(held)
+
+    def flush(held: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
+        for side, names in zip(held, (("clean", "toxic"), ("toxic", "clean")), strict=True):
+            if side:
+                yield pd.DataFrame({"feature": [*side], names[0]: [*side.values()], names[1]: 0})[["feature", "clean", "toxic"]].astype({"clean": "int64", "toxic": "int64"})
+            side.clear()
 
     summed = labelled.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    summed = written(summed.where((F.col("feature") == "") | (F.col("t") >= least_docs)), "features")
     docs = summed.where("feature = ''").select("c", "t").first() or (0, 0)
     n_clean, n_toxic = docs
     t, c, share = F.col("t"), F.col("c"), n_toxic / max(1, n_toxic + n_clean)
