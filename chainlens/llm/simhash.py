@@ -223,7 +223,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) of each row of docs (doc_id, text), with extra columns.
+    """doc_id, fp, root and component_id (the least doc_id that links reach) of each row of docs (doc_id, text), with extra columns.
+
+    root is the least fingerprint of the component and names it; component_id need not, where doc_ids are null or repeat.
 
     Equal fingerprints meet before anything is compared. Null text is empty text; all texts without words have the
     fingerprint 0 and are one component. Null doc_ids count only where a component has no other.
@@ -234,7 +236,7 @@ def near_duplicates(docs: DataFrame, extra: list[str] | None = None) -> DataFram
     star = components(links(fps.select("fp")))
     placed = fps.join(star.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = written(placed.join(least, "root").select("fp", "component_id"), "placed")
+    placed = written(placed.join(least, "root").select("fp", "root", "component_id"), "placed")
     return rows.join(placed, "fp")
 
 
@@ -247,7 +249,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate component: the first by doc_id (of repeated rows, one)."""
     hashed = F.xxhash64(docs["text"])
     found = near_duplicates(docs.select("doc_id", "text", hashed.alias("th")), ["th"])
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
     first = first.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     kept = docs.withColumn("__hash", hashed).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
     one = Window.partitionBy("__id", "__th").orderBy("__th")

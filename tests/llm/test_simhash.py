@@ -84,3 +84,9 @@ def test_keep_one_of_each_component(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "l"), (1, "a b c d e", "l"), (2, "a b c d e", "l"), (None, "z y x", "l"), (4, None, None)], "doc_id long, text string, lang string")
     assert sorted(keep_one(docs).collect(), key=str) == sorted(docs.where("doc_id is null or doc_id != 2").distinct().collect(), key=str)
     assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_keep_one_by_component_not_by_its_least_doc_id(spark):
+    rows = [(None, "one text without an id"), (None, "quite another one, also without"), (7, "some words under seven"), (7, "seven again, but different words"), (8, "some words under seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(docs).collect()), key=str) == sorted(rows[:4], key=str)
