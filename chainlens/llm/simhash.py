@@ -20,6 +20,11 @@ SEED = 42
 DISTANCE = 4
 FAN = 8  # children of an upper node
 PAIRS = 2_000_000  # (query, node) pairs held at once
+#: keep_one: texts are linked that share LIKE[0] of LIKE[1] parts of their sets of COPY_WORDS words.
+COPY_WORDS = 5
+LIKE = (4, 5)
+BANDS, BAND_ROWS = 20, 5
+HELD = 1_000_000  # shingles of a tile, and postings counted at once
 _SLICE = 1 << 16
 
 
@@ -245,12 +250,119 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int = COPY_WORDS) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles; a text of fewer words is one shingle, also one of none."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """For each band a hash of BAND_ROWS least values of the set under random functions: equal sets have equal bands."""
+    draw = np.random.default_rng(SEED)
+    factor, shift = draw.integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64)
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[at : at + 1024, None] * (2 * factor + np.uint64(1)) + shift).min(0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - 2**63 for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        sets = [shingle_set(t) for t in batch]
+        yield pd.DataFrame({"size": [len(s) for s in sets], "key": [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets], "bands": [band_hashes(s) for s in sets]})
+
+
+def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingle_set(t).tobytes() for t in batch])
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """The first row of each row's component, rows being linked by a likeness of LIKE; all pairs, counted exactly."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.concatenate(([0], np.cumsum(size)))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in range(1, len(sets)):
+        own = ids[start[i] : start[i + 1]]
+        a, n = first[own], first[own + 1] - first[own]
+        common, upto, begin = np.zeros(len(sets), np.int64), np.cumsum(n), 0
+        while begin < len(own):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HELD)))
+            m = n[begin:end]
+            common += np.bincount(holder[np.repeat(a[begin:end] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(sets))
+            begin = end
+        common = common[:i]
+        for j in np.flatnonzero(LIKE[1] * common >= LIKE[0] * (size[i] + size[:i] - common)):
+            x, y = sorted((root(i), root(int(j))))
+            parent[y] = x
+    return np.array([root(i) for i in range(len(sets))])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: band, bucket, low, high, key, shingles; a group's rows come together."""
+    group, keys, sets = None, [], []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        if len(keys) > 1:
+            key = np.array(keys, np.int64)
+            head = key[alike(sets)]
+            a, b = np.maximum(key, head), np.minimum(key, head)
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    for batch in batches:
+        for *name, key, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != group:
+                yield from solve()
+                group, keys, sets = name, [], []
+            keys.append(key)
+            sets.append(np.frombuffer(shingles, np.uint64))
+    yield from solve()
+
+
+def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
+    """th (a hash of the text) and root of each distinct text of docs (text): texts that links of likeness LIKE connect have one root.
+
+    Texts of equal shingle sets meet first. Texts that agree in a band share a bucket, and within it all pairs are
+    compared by their whole sets. A bucket of over tile texts or HELD shingles is cut into tiles by a hash, and each two tiles meet in a
+    group of their own; none is dropped or cut short.
+    """
+    ship(docs.sparkSession)
+    texts = docs.select(F.xxhash64("text").alias("th"), "text")
+    sketch = F.pandas_udf(_sketches, "size long, key long, bands array<long>")("text").alias("s")
+    rows = written(texts.select("th", sketch).select("th", "s.*"), "sketches")
+    rows = written(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("size", "key", "bands")]), "texts")
+    one = rows.groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "bands")])
+    bands = written(one.select("key", "th", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
+    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / HELD)).cast("int")
+    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
+    met = bands.join(shared, ["band", "bucket"]).groupBy("th", "key").agg(F.collect_list(F.struct("band", "bucket", "tiles")).alias("buckets"))
+    some = texts.dropDuplicates(["th"]).join(met, "th")
+    sets = some.select("key", "buckets", F.pandas_udf(_sets, "binary")("text").alias("shingles")).select("key", F.explode("buckets").alias("m"), "shingles")
+    own = F.pmod(F.xxhash64("key"), F.col("m.tiles")).cast("int")
+    sets = sets.select("m.band", "m.bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m.tiles") - 1)).alias("other"), "key", "shingles")
+    group = ["band", "bucket", "low", "high"]
+    sets = sets.select("band", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "shingles")
+    pairs = sets.repartition(*group).sortWithinPartitions(*group).mapInArrow(_copies, "a long, b long").distinct()
+    return rows.select("th", "key").join(components(pairs).toDF("key", "root"), "key", "left").select("th", F.coalesce("root", "key").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate component: the first by doc_id (of repeated rows, one)."""
-    hashed = F.xxhash64(docs["text"])
-    found = near_duplicates(docs.select("doc_id", "text", hashed.alias("th")), ["th"])
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
-    first = first.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    kept = docs.withColumn("__hash", hashed).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
-    one = Window.partitionBy("__id", "__th").orderBy("__th")
+    """docs with one row of each component of near copies: the first by doc_id (of repeated rows, one)."""
+    keys = [F.xxhash64("text").alias("__th"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
+    ids = docs.select(*keys).distinct()
+    first = ids.join(copies(docs).toDF("__th", "root"), "__th").groupBy("root").agg(F.min(F.struct(~F.col("__none"), "__id", "__th", "__none")).alias("k"))
+    names = ["__th", "__id", "__none"]
+    kept = docs.select("*", *keys).join(first.select(*[F.col(f"k.{n}") for n in names]), names, "left_semi")
+    one = Window.partitionBy(*names).orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)

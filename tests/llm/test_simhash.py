@@ -90,3 +90,33 @@ def test_keep_one_by_component_not_by_its_least_doc_id(spark):
     rows = [(None, "one text without an id"), (None, "quite another one, also without"), (7, "some words under seven"), (7, "seven again, but different words"), (8, "some words under seven")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, keep_one(docs).collect()), key=str) == sorted(rows[:4], key=str)
+
+
+def near_texts():
+    draw = np.random.default_rng(3)
+    out = []
+    for _ in range(6):
+        base = [f"w{x}" for x in draw.integers(0, 400, 150)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(int(draw.integers(0, 9))):
+                w[int(draw.integers(0, len(w)))] = f"e{draw.integers(0, 99)}"
+            out.append(" ".join(w))
+    return [*out, None, "", "  ", "Short text", "short  TEXT", "short"]
+
+
+def test_keep_one_equals_brute_force_at_four_fifths_of_five_word_shingles(spark, monkeypatch):
+    all_texts = near_texts()
+    words = [(t or "").lower().split() for t in all_texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    part = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                part = [part[j] if p == part[i] else p for p in part]
+    want = {min(i for i, p in enumerate(part) if p == q) for q in part}
+    assert 10 < len(want) < len(sets) - 50
+    docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
+    for tile in (512, 4):
+        monkeypatch.setattr(simhash.copies, "__defaults__", (tile,))
+        assert {r.doc_id for r in keep_one(docs).collect()} == want
