@@ -106,12 +106,11 @@ every AS (
 )
 SELECT section, count(*) AS n, count(*) FILTER (type = 'modified') AS modified FROM every WHERE starts_with(section, 'pack') GROUP BY section""")
 def diff_section_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Two sections compared at once, then one by its prefix, gathered by section."""
+    """Two sections compared at once, then one by its prefix, counted by section."""
     old = table(spark, sf, "part").select("p_partkey", "p_brand")
     side = lambda rows: as_entities(rows, "packages", "p_partkey", F.col("p_brand"), {"": F.col("p_brand")})
     both = customer_changes(spark, sf).unionByName(diff.changes(side(old), side(mutated(old, "p_partkey", "p_brand", F.lit("Brand#X")))))
-    grouped = diff.by_section(diff.in_section(both, "pack"))
-    return grouped.select("section", F.size("changes").cast("long").alias("n"), F.size(F.filter("changes", lambda c: c["type"] == "modified")).cast("long").alias("modified"))
+    return diff.in_section(both, "pack").groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "modified").alias("modified"))
 
 
 def _status_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,8 +218,7 @@ def chain_build_events(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PAYLOADS} SELECT host_id, list_reduce(list_prepend(repeat('0', 64), ps), lambda a, x: sha256(a || x)) AS head_hash FROM l")
 def chain_fold_events(spark: SparkSession, sf: str) -> DataFrame:
     """The head of each user's chain as one fold over its documents."""
-    docs = payloads(spark, sf).groupBy("host_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_ns", "path", "payload"))), lambda x: x["payload"]).alias("ps"))
-    return docs.select("host_id", canon.chain_head(F.col("ps")).alias("head_hash"))
+    return chained(spark, sf).groupBy("host_id").agg(F.max_by("hash", F.struct("ts_ns", "path")).alias("head_hash"))
 
 
 def tampered(spark: SparkSession, sf: str) -> DataFrame:

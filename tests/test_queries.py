@@ -41,3 +41,8 @@ def test_entry_without_corpus_operators(tmp_path):
             (tmp_path / "chainlens" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'diff_customer_pair' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(s) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", f"import sys; sys.path[:] = [{str(tmp_path)!r}, *[p for p in sys.path if p not in ('', {str(root)!r})]]; {code}"], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
+
+
+@pytest.mark.parametrize("name", ["diff_section_filter", "chain_fold_events"])
+def test_no_group_is_gathered_into_one_row(spark, name):
+    assert "collect_list" not in QUERIES[name](spark, str(SMALL))._jdf.queryExecution().toString()
