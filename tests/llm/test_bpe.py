@@ -1,11 +1,13 @@
 import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
+from chainlens.llm import bpe
 from chainlens.llm.bpe import encode, merger
 
 
@@ -26,6 +28,31 @@ def test_words_as_the_library_does(library):
         assert decoded == (text or "").encode()
 
 
+def test_long_words_as_the_library_does(library):
+    """Words of over 64 bytes are contracted by another rule: random letters, few letters, runs, mixed scripts."""
+    draw = random.Random(4)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    texts = [some("aehlnorst", 100) for _ in range(60)] + [some("abcdefghijklmnopqrstuvwxyz", draw.randrange(65, 300)) for _ in range(100)] + [some("ab", 200) for _ in range(60)]
+    texts += ["a" * n for n in range(60, 100)] + ["ab" * n for n in range(30, 60)] + ["aab" * n for n in range(25, 60)] + ["#" * 999 + "=" * 1001]
+    texts += [some(["the", "ing", "aaaa", "tion", "zzz", "éé", "q", "日本", "\U0001f600"], 60) for _ in range(60)]
+    texts += [some("abcdefghijklmnopqrstuvwxyz", 200_000), "a" * 200_000]
+    work = merger(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    began = time.time()
+    got = list(work(texts))
+    assert time.time() - began < 60
+    for text, (ids, decoded) in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), text[:100]
+        assert decoded == text.encode()
+
+
+def test_words_are_forgotten_and_learned_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_KEPT", 5000)
+    work = bpe.Merger(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [" ".join(f"word{i * j % 97}x{i}" for j in range(30)) for i in range(60)]
+    for some in (texts[:20], texts[20:40], texts[:30], texts):
+        assert [np.frombuffer(a, "<u4").tolist() for a, _ in work(some)] == [library.encode_ordinary(t) for t in some]
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id: r.text for r in docs.collect()}
