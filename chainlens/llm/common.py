@@ -7,9 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LONG_MIN = -(2**63)
 BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once a session, so that Python tasks import it wherever they run.
-
-    Rows hold whole texts, some very long, so the session's Arrow batches are held to BATCH_ROWS from then on: a batch
-    is in memory three times over (in the JVM, as it arrives and as Python objects), beside the executor's heap.
-    """
+    """Gives executors this package, once a session, so that Python tasks import it wherever they run."""
     context = spark.sparkContext
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(context, "_chainlens_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
@@ -63,6 +57,13 @@ def ship(spark: SparkSession) -> None:
     context._chainlens_shipped = True
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that only a slice's texts stand beside their batch as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -58,10 +58,39 @@ def test_one_text_for_a_third_of_rows(spark):
 
 
 def test_grams_of_slices_are_those_of_the_whole(monkeypatch):
-    text = "".join(random.Random(1).choice("abc é1\n") for _ in range(3000))
-    whole = np.bincount(np.concatenate([*langid.grams(text)]), minlength=2**16)
+    draw = random.Random(1)
+    for text in ["".join(draw.choice("abc é1\n") for _ in range(3000)), "a" * 300, "ab" + " " * 250 + "c", " 1" * 150 + "x", "𝒳y " * 120]:
+        whole = np.sort(np.concatenate([*langid.grams(text)]))
+        flat = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        assert len(whole) == sum(sum(k + n > 1 for k in range(len(flat) - n + 1)) for n in langid.ORDERS)  # all but the first space alone
+        for size in (1, 2, 3, 100):
+            monkeypatch.setattr(langid, "SLICE", size)
+            assert (np.sort(np.concatenate([*langid.grams(text)])) == whole).all()
+        monkeypatch.setattr(langid, "SLICE", 2**20)
     assert [*langid.grams("12 !\n")] == [] == [*langid.grams("")]
-    assert whole.sum() > 3000
+
+
+def test_batch_scores_are_those_of_each_text(monkeypatch):
+    weights = np.random.default_rng(2).normal(size=(2**16, 3)).astype(np.float32)
+    texts = ["some text", None, "", "12", "another one, longer than others", "b"]
+    for held in (2**19, 7):
+        monkeypatch.setattr(langid, "HELD", held)
+        total, second, n = langid.sums(texts, weights, True)
+        for i, t in enumerate(texts):
+            g = np.concatenate([*langid.grams(t or ""), np.zeros(0, np.int32)])
+            w = weights[g].astype(float)
+            assert n[i] == len(g) and np.allclose(total[i], w.sum(0), atol=1e-4) and np.allclose(second[i], (w * w).sum(0), atol=1e-3)
+
+
+def test_a_language_that_was_not_taught_goes(spark, docs):
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    more = spark.createDataFrame([(900_000 + i, t, None, "s", len(t or "")) for i, t in enumerate([*foreign, None, "", "123 !"])], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
 def test_language_held_out(spark, docs, edges):
@@ -85,7 +114,7 @@ def plain_counts(text):
     spans = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
     twice = {i + k for i, s in enumerate(spans) if spans.count(s) > 1 for k in range(8)}
     lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice), len(lines)
 
 
 def test_counts_equal_the_definition():
@@ -104,7 +133,7 @@ def test_verdicts_equal_sql(spark):
 
 
 def test_hosts_that_fail_lose_all(spark, edges):
-    good = " ".join(f"w{i}" for i in range(40))
+    good = " ".join(f"word{i}" for i in range(40))
     rows = [(i, "bad" if i % 10 < 9 else good, "bad.example") for i in range(200)] + [(1000 + i, good, "good.example") for i in range(200)] + [(2000, good, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for few in (50_000, 0):
@@ -113,6 +142,20 @@ def test_hosts_that_fail_lose_all(spark, edges):
     assert host_quality.judge(edges).count() == len(EDGES) and host_quality.judge(edges.limit(0)).collect() == []
 
 
+def test_hosts_decide_over_documents(spark):
+    """Thirty ordinary hosts (4 of 100 documents full of symbols), one that is bad by symbols, and one with a clean record."""
+    good = " ".join(f"word{i}" for i in range(40))
+    junk = " ".join(f"word{i}###" for i in range(40))
+    rows = [(1000 * h + i, junk if i < 4 else good, f"h{h}") for h in range(30) for i in range(100)]
+    rows += [(40_000 + i, junk if i < 60 else good, "symbols.example") for i in range(100)]
+    rows += [(50_000 + i, junk if i < 2 else good, "clean.example") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in host_quality.judge(docs).where("kept").collect()}
+    assert not any(40_000 <= i < 40_100 for i in kept)  # good documents fall with their host
+    assert {i for i in kept if i < 30_000} == {i for i, t, _ in rows if i < 30_000 and t == good}
+    assert {50_000, 50_001} <= kept  # two failures of four thousand are forgiven
+
+
 # --- 1: toxicity
 
 
@@ -134,10 +177,24 @@ def test_severity_of_planted_words(spark):
     got = {r.doc_id: r.g for r in docs.select("doc_id", toxicity.grade(model)("text").alias("g")).collect()}
     unseen = range(400, 600)
     assert all((got[i].p_toxic >= 0.5) == (i % 4 == 0) for i in unseen)
-    assert got[596].severity > got[576].severity  # six and one telling words
+    assert np.mean([got[i].severity for i in unseen if i % 4 == 0 and i // 4 % 6 == 5]) > np.mean([got[i].severity for i in unseen if i % 4 == 0 and i // 4 % 6 == 0])  # six and one telling words
     assert len(toxicity.keep_civil(docs, told).where("doc_id >= 400").collect()) == 150
 
 
+def test_evidence_against_and_rows_bounded(spark):
+    """Words that only clean documents have speak for a text; a doc_id that repeats is one labelled row."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [f"word{draw.randrange(80)}" for _ in range(30)] + ["crudely"] * (i % 2 == 0) + ["kindly"] * (i % 2 == 1 or i % 8 == 0)
+        rows.append((i, " ".join(words)))
+    rows += [(0, f"crudely again {k}") for k in range(50)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 2 == 0 and i % 8 > 0)) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, told, 300).count() == 300 and toxicity.sample(docs, told, 1000).count() == 400
+    weights = toxicity.fit(docs, told).weights
+    assert weights["crudely"] > 1 and weights["kindly"] < -1
+
+
 def test_toxicity_edges(spark, edges):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.keep_civil(edges, none).count() == len(EDGES)
