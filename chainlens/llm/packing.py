@@ -20,6 +20,7 @@ LENGTH = 2048
 END = 1  # the id after each document
 DIMENSIONS = 4
 LEVELS = 10  # bits of a coordinate
+SPREAD = 0.2  # a mean sign of this size lies three quarters of the way from the middle to the edge of the grid
 _KEPT = 200_000  # words after which a task begins to forget
 _LONG = 200  # bytes of a word beyond which its ids are not kept
 
@@ -31,12 +32,8 @@ _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _
 #: Letters whose lower case depends on their neighbours or is no single letter.
 _ODD = re.compile("[\u03a3\u0130]")
 #: Marks between a letter or digit and white space: the tokenizer's pattern parts them from the word as well.
-_MARKS = re.compile(r"(?<=[a-z0-9\u00e0-\u00f6\u00f8-\u00ff])[!-&(-/:-@\[-`{-~]+(?=[ \t\n\r]|$)")
-
-
-#: Without a mark before another, commas and full stops before white space always end a word.
-_MIXED = re.compile(r"(?:[^\w\s]|_)[,.]")
-_PLAIN = [(f"{mark}{gap}", f" {mark}{gap}") for mark in ",." for gap in " \n"]
+_MARK, _LETTER = r"[!-&(-/:-@\[-`{-~]", "[a-z0-9\u00e0-\u00f6\u00f8-\u00ff]"
+_MARKS = re.compile(rf"{_MARK}(?<={_LETTER}{_MARK}){_MARK}*(?=[ \t\n\r]|$)")
 
 
 class Words(dict):
@@ -82,12 +79,7 @@ class Words(dict):
         """The ids of a whole text and END, as little-endian numbers of this tokenizer's kind."""
         text = text or ""
         if "<|" not in text and not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
-            text = text.lower()
-            if _MIXED.search(text):
-                text = _MARKS.sub(r" \g<0>", text)
-            else:
-                for a, b in _PLAIN:
-                    text = text.replace(a, b)
+            text = _MARKS.sub(r" \g<0>", text.lower())
         return b"".join([*map(self.__getitem__, text.encode("utf-8", "replace").split()), np.array([END], self.kind).tobytes()])
 
 
@@ -147,8 +139,8 @@ def _encode(path: str):
                     ids.append(words.ids(text.as_py()))
                     own = np.frombuffer(ids[-1], words.kind)[:-1]
                     if len(own):
-                        points[i] = signs[own & 0xFFFF].sum(0) / math.sqrt(len(own))
-                grid = np.clip((points + 3) / 6, 0, 1 - 1e-9) * 2**LEVELS
+                        points[i] = signs[own & 0xFFFF].mean(0)
+                grid = np.clip((np.tanh(points / SPREAD) + 1) / 2, 0, 1 - 1e-9) * 2**LEVELS
                 size = np.dtype(words.kind).itemsize
                 columns = [some.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(hilbert_key(grid.astype(np.int64)), pa.int64()), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "curve", "kind", "ids"])
@@ -177,7 +169,8 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tokens_per_range: int = 500_000_000) -> DataFrame:
     """The pieces (PIECE) of docs (doc_id, text) in sequences of LENGTH tokens, all full but the last.
 
-    A document's vector counts its hashed token ids; random signs project it to DIMENSIONS, whose grid cell has a place
+    A document's vector is the share of each hashed token id; random signs project it to DIMENSIONS, so that a coordinate
+    is the mean sign of its tokens, whatever their number, and a soft bound puts it on the grid, whose cell has a place
     along the Hilbert curve. Documents stand along that curve, ties by doc_id and then by a hash of their ids, and are
     cut where a sequence is full, so neighbours on the curve share sequences. Ranges of the curve between keys drawn in
     proportion to tokens are summed first; a document's place is then a running sum within its range. Texts are encoded
@@ -192,8 +185,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tok
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.mapInArrow(_encode(tokenizer), "doc_id long, tokens long, curve long, kind int, ids binary")
-    # A cell of the curve may hold a group of copies: 22 bits of a hash of doc_id below its 40 or fewer split it.
-    rows = written(rows.withColumn("key", F.shiftleft("curve", 22).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(2**22 - 1))).drop("curve"), "encoded")
+    # A cell of the curve may hold a group of copies: 22 bits of a hash of doc_id (of the row's number, where it is null)
+    # below its 40 or fewer split it. The table is written, so that they stay as they are.
+    own = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    rows = written(rows.withColumn("key", F.shiftleft("curve", 22).bitwiseOR(own.bitwiseAND(2**22 - 1))).drop("curve"), "encoded")
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     cuts = weighted_splitters(rows, F.col("key"), F.col("tokens"), max(n_ranges, math.ceil(total / tokens_per_range)))
     ranged = rows.withColumn("range", range_index(F.col("key"), cuts))

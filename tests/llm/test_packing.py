@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from chainlens.llm import packing
 from chainlens.llm.packing import END, LENGTH, Words, hilbert_key, pack
 
 
@@ -61,6 +63,24 @@ def test_edges(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Of documents of three vocabularies and all lengths, neighbours mostly share theirs; no long one falls into another's cell."""
+    draw = random.Random(7)
+    kinds = [[f"{a}{b}" for b in ("an", "el", "ir", "om", "us", "ath", "eng", "ion")] for a in ("gr", "pl", "sch")]
+    rows = [(i, " ".join(draw.choice(kinds[i % 3]) for _ in range(draw.choice([50, 500, 4000])))) for i in range(150)]
+    keys = [(k, i) for batch in _encoded(rows) for i, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    order = [i for _, i in sorted(keys)]
+    same = sum(a % 3 == b % 3 for a, b in zip(order, order[1:], strict=False)) / (len(order) - 1)
+    assert same > 0.8
+    long = [k for k, i in keys if len(rows[i][1]) > 10_000]
+    assert len(set(long)) > 0.9 * len(long)
+
+
+def _encoded(rows):
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    return list(packing._encode(public_tokenizers.path("word_bpe_49k.json"))([batch]))
+
+
 def test_curve_visits_neighbours():
     bits, n = 3, 3
     grid = np.stack(np.meshgrid(*[np.arange(2**bits)] * n), -1).reshape(-1, n)
