@@ -337,13 +337,15 @@ def attribution_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT l_orderkey AS k, arg_max(l_suppkey, l_linenumber * 1000000000::BIGINT + l_suppkey) AS pid FROM lineitem GROUP BY l_orderkey),
-c AS (SELECT o_orderpriority AS host_id, pid, coalesce(s_name, '') AS comm, count(*) FILTER (o_orderstatus <> 'P') AS tcp_count, count(*) FILTER (o_orderstatus = 'P') AS udp_count FROM orders JOIN i ON k = o_orderkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = pid GROUP BY ALL)
+c AS (SELECT o_orderpriority AS host_id, pid, coalesce(s_name, '') AS comm, count(*) FILTER (o_orderstatus <> 'P') AS tcp_count, count(*) FILTER (o_orderstatus = 'P') AS udp_count FROM orders JOIN i ON k = o_orderkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = pid WHERE o_orderkey <> 0 GROUP BY ALL)
 SELECT host_id, pid, comm, tcp_count, udp_count FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY tcp_count + udp_count DESC, pid) AS n FROM c) WHERE n <= 20""")
 def socket_owner_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Processes with most sockets: inode to its last pid, pid to its command."""
     hosts = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("host_id"), F.lit(0).alias("ts"), F.col("o_orderkey").alias("inode"), F.when(F.col("o_orderstatus") == "P", "udp").otherwise("tcp").alias("proto"), F.lit("01").alias("state"))
     inodes = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("pid"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_suppkey")).alias("pos")).join(hosts.select("host_id", "ts", F.col("inode").alias("l_orderkey")), "l_orderkey")
-    names = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("pid"), F.col("s_name").alias("comm")).join(hosts.select("host_id", "ts").distinct())
+    # A name for each host and pid that owns something, not for each host and supplier.
+    owners = inodes.select("host_id", "ts", "pid").distinct()
+    names = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("pid"), F.col("s_name").alias("comm")).join(owners, "pid")
     return inventory.socket_owners(hosts, inodes.withColumnRenamed("l_orderkey", "inode"), names).select("host_id", "pid", "comm", "tcp_count", "udp_count")
 
 
