@@ -6,50 +6,95 @@ import html
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import pieces, ship, table
 
 # Element names of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style noscript template textarea svg math iframe object canvas audio video head title".split())
-ASIDE = frozenset("nav header footer aside form menu button select dialog fieldset datalist".split())
+OPAQUE = frozenset("script style noscript template textarea svg math iframe object canvas audio video head title button select datalist dialog".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot tr td th blockquote div section article main body html".split())
-#: Words in a class or id that name what is not the article.
-NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
-    "comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations more pagination pager toolbar copyright legal disclaimer skip hidden teaser tags".split()
-)
-ARTICLE_WORDS = frozenset("article content post entry story body text main".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | frozenset("p li dt dd pre blockquote figcaption caption summary address".split())  # elements that are text themselves
+FRAME = FLOW | frozenset("ul ol dl table tbody thead tfoot tr td th figure details".split())  # or order it
+
+#: A weak prior on ratios: what an element's name, or a word of its class or id, multiplies the ratios below it by.
+ELEMENT_PRIOR = {"nav": 0.0, "menu": 0.0, "header": 0.25, "footer": 0.25, "aside": 0.25, "form": 0.25, "article": 1.5, "main": 1.5}
+WORD_PRIOR = {
+    **dict.fromkeys("ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar comment comments disqus cookie cookies newsletter related share sharing social".split(), 0.25),
+    **dict.fromkeys("article content post story".split(), 1.25),
+}
+SHARE = 0.75  # of an element's content that one child must hold for the rest to be left
+LEAST = 0.65  # of the mean score, below which a path is no content
+
+_STOP = re.compile("[>\"']")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 @dataclass
 class Block:
-    """A block's text as read, the tag path of its element, and how much of it stands in links."""
+    """A block's text as read, its element, and how much of it stands in links."""
 
-    path: tuple[str, ...]
+    node: int
     text: str
     linked: int
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, references decoded and white space collapsed; none from opaque elements."""
-    out: list[Block] = []
-    stack: list[str] = []  # open block elements, each its name, and a mark where it is set apart
+@dataclass
+class Page:
+    """Block elements in order: parent, name and tag path of each (0: the page itself), and their texts.
+
+    A tag path is what its elements' names and classes are from the root down; paths are numbered, prior is theirs.
+    """
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    name: list[str] = field(default_factory=lambda: [""])
+    path: list[int] = field(default_factory=lambda: [0])
+    prior: list[float] = field(default_factory=lambda: [1.0])
+    blocks: list[Block] = field(default_factory=list)
+
+
+class _Tags:
+    """Where tags end. A quote that never closes is a character like any other; no place is looked at twice in vain."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.vain = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag, from a place within it on; -1 if there is none."""
+        seen = []
+        while at <= self.last[">"]:
+            m = _STOP.search(self.page, at)
+            at = m.start()
+            if m[0] == ">":
+                return at
+            if at in self.vain:
+                break
+            seen.append(at)
+            at = self.page.find(m[0], at + 1) + 1 if at < self.last[m[0]] else at + 1
+        self.vain.update(seen)
+        return -1
+
+
+def read(page: str, priors: bool = True) -> Page:
+    """The blocks of a page in order, references decoded and white space collapsed; none from opaque or hidden elements."""
+    out, tags = Page(), _Tags(page)
+    paths: dict[tuple[int, str], int] = {}
+    stack = [0]  # open block elements
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     text: list[str] = []
     links = linked = 0
 
@@ -58,153 +103,210 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(tuple(stack), whole, linked))
+                out.blocks.append(Block(stack[-1], whole, linked))
         text, linked = [], 0
 
+    def pop() -> None:
+        opened[out.name[stack.pop()]] -= 1
+
+    def push(name: str, attributes: str) -> None:
+        named = " ".join(x for groups in _NAMED.findall(attributes) for x in groups if x) if attributes else ""
+        words = sorted({w.lower() for w in _PARTS.findall(named)})
+        key = (out.path[stack[-1]], ".".join((name, *words)))
+        if key not in paths:
+            paths[key] = len(out.prior)
+            own = math.prod({ELEMENT_PRIOR.get(name, 1.0), *(WORD_PRIOR.get(w, 1.0) for w in words)}) if priors and name not in ("html", "body") else 1.0
+            out.prior.append(out.prior[key[0]] * own)
+        out.parent.append(stack[-1])
+        out.name.append(name)
+        out.path.append(paths[key])
+        stack.append(len(out.name) - 1)
+        opened[name] += 1
+
+    def skip(name: str, at: int) -> int:
+        """The place after the end of an element that nothing is read from; of one that never ends, the page's end."""
+        stop = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        if stop:
+            return stop.end()
+        unclosed.add(name)
+        return at if name in ("head", "title") else len(page)
+
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends is text
-            text.append("<")
-            at += 1
-            continue
-        at = m.end()
-        closing, name, attributes, run = m.groups()
-        if run is not None:
+        start = page.find("<", at)
+        if start != at:
+            run = page[at : start if start >= 0 else end]
             text.append(run)
-            if links:
-                linked += len(run)
+            linked += len(run) if links else 0
+            at += len(run)
             continue
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
             continue
-        name = name.lower()
-        if name == "br" or name == "hr":
-            text.append(" ") if name == "br" else close()
+        if page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            text.append(page[at + 9 : stop if stop >= 0 else end])
+            at = stop + 3 if stop >= 0 else end
             continue
-        if name in INLINE:
+        m = _NAME.match(page, at)
+        stop = tags.end(m.end()) if m else page.find(">", at) if page[at + 1 : at + 2] in ("!", "?") and at < tags.last[">"] else -1
+        if stop < 0:  # no tag, or one that never ends, is text
+            text.append("<")
+            at += 1
+            continue
+        attributes, at = page[m.end() : stop] if m else "", stop + 1
+        if m is None:
+            continue
+        closing, name = m[1], m[2].lower()
+        if name == "br":
+            text.append(" ")
+        elif name == "hr":
+            close()
+        elif name in INLINE:
             if name == "a":
                 links = max(0, links - 1) if closing else 1
-            continue
-        if name in OPAQUE:
+        elif name in OPAQUE:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if stop:
-                    at = stop.end()
-                elif name not in ("head", "title"):
-                    at = end
-            continue
-        if name in VOID:
-            continue
-        close()
-        links = 0
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if _name(stack[k]) == name:
-                    del stack[k:]
+                at = skip(name, at)
+        elif name not in VOID:
+            close()
+            links = 0
+            if closing:
+                if opened[name]:
+                    while out.name[stack[-1]] != name:
+                        pop()
+                    pop()
+                continue
+            if out.name[stack[-1]] == "p":  # a paragraph ends where the next block begins
+                pop()
+            for _ in range(8):
+                if len(stack) > 1 and out.name[stack[-1]] in CLOSES.get(name, ()):
+                    pop()
+                elif len(stack) > 2 and out.name[stack[-1]] not in HOLDS and out.name[stack[-2]] in CLOSES.get(name, ()):
+                    pop()
+                else:
                     break
-            continue
-        if stack and _name(stack[-1]) == "p":  # a paragraph ends where the next block begins
-            stack.pop()
-        for k in range(len(stack) - 1, -1, -1):
-            if _name(stack[k]) in CLOSES.get(name, ()):
-                del stack[k:]
-            elif _name(stack[k]) in HOLDS:
-                break
-        if not attributes.endswith("/"):
-            stack.append(_step(name, attributes))
+            if not attributes.endswith("/"):
+                push(name, attributes)
+                if attributes and _HIDDEN.search(attributes):
+                    at = _after(page, name, at, tags, unclosed)
+                    pop()
     close()
     return out
 
 
-def _name(step: str) -> str:
-    return step.lstrip("-+").partition(".")[0]
-
+def _after(page: str, name: str, at: int, tags: _Tags, unclosed: set[str]) -> int:
+    """The place after an element's own end, elements of its name within it counted; where it has none, it ends at once."""
+    depth, begun, each = 1, at, re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
+    while name not in unclosed and (m := each.search(page, at)):
+        stop = tags.end(m.end())
+        if stop < 0:
+            break
+        depth += -1 if m[1] else 1
+        at = stop + 1
+        if not depth:
+            return at
+    unclosed.add(name)
+    return begun
 
-def _step(name: str, attributes: str) -> str:
-    """An element in a path: its name and classes, after '-' if it is no part of an article, after '+' if it says it is one."""
-    named = " ".join(x for groups in _NAMED.findall(attributes) for x in groups if x) if attributes else ""
-    words = {w.lower() for w in _PARTS.findall(named)}
-    mark = ""
-    if name in ("html", "body"):
-        pass
-    elif name in ASIDE or words & NOT_ARTICLE or attributes and _HIDDEN.search(attributes):
-        mark = "-"
-    elif name in ("article", "main") or words & ARTICLE_WORDS:
-        mark = "+"
-    return mark + name + ("." + ".".join(sorted(words)) if words else "")
 
-
-def _punctuation(text: str) -> int:
+def _marks(text: str) -> int:
     return sum(unicodedata.category(c)[0] == "P" for c in text) if not text.isascii() else len(_ASCII_MARKS.findall(text))
 
 
 _ASCII_MARKS = re.compile(r"[!-#%-*,-/:;?@\[-\]_{}]")
 
 
-def main_text(page: str | None, sigma: float = 1.0) -> str:
+def scores(page: Page, sigma: float = 1.0) -> list[float]:
+    """For each tag path how much it looks like content.
+
+    The text length (without links) and punctuation of a path's blocks are summed; its ratio is the product of their
+    means, as logarithms, less what stands in links, times the path's prior. Ratios are smoothed by a Gaussian along the
+    page's blocks, and a path's smoothed mean is fused with its own ratio, which counts twice.
+    """
+    n = [0] * len(page.prior)
+    length, linked, marks = n.copy(), n.copy(), n.copy()
+    for b in page.blocks:
+        p = page.path[b.node]
+        n[p] += 1
+        length[p] += max(0, len(b.text) - b.linked)
+        linked[p] += min(b.linked, len(b.text))
+        marks[p] += _marks(b.text)
+    ratio = [math.log1p(x / k) * math.log1p(1 + m / k) * x / max(1, x + y) * w if k else 0.0 for k, x, y, m, w in zip(n, length, linked, marks, page.prior, strict=True)]
+    own = [ratio[page.path[b.node]] for b in page.blocks]
+    kernel = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-2, 3)}
+    smooth = [0.0] * len(n)
+    for i, b in enumerate(page.blocks):
+        near = [(k, own[i + d]) for d, k in kernel.items() if 0 <= i + d < len(own)]
+        smooth[page.path[b.node]] += sum(k * v for k, v in near) / sum(k for k, _ in near)
+    return [(r * r * s / k) ** (1 / 3) if k else 0.0 for r, s, k in zip(ratio, smooth, n, strict=True)]
+
+
+def main_text(page: str | None, priors: bool = True) -> str:
     """The article of a page: its content blocks joined by a space.
 
-    For each root-to-leaf tag path, text length and punctuation are summed over its blocks; the ratio of a path is the
-    product of its mean unlinked length and its mean punctuation (each plus one), as a logarithm. Ratios are smoothed by
-    a Gaussian along the page's blocks and fused with the path's own by their mean over its blocks; a path is content
-    if the result reaches the mean over all blocks less one standard deviation, or it stands below the element that
-    holds most of the content (headings and one-line paragraphs of the article). Paths through elements that say they
-    are no article (navigation, notices, forms, comments and so on) have ratio 0 and are never content; if any path says
-    it is an article, only such paths are looked at. Null, empty or broken pages give what can be read, or ''.
+    Each block weighs its path's score (see scores) times its length without links. From the page down, the one child
+    that holds SHARE of an element's weight is followed, as long as there is one and it is no text element; what stands
+    beside it is left. In the element so found, a path is content if its score reaches LEAST of the mean (by weight and score). Other
+    text elements (headings, short items) belong to it if they stand in it, or in an element with such paths, by
+    themselves and not in links. priors=False does without names and classes. Null, empty or broken pages give what can
+    be read, or ''.
     """
-    every = blocks(page or "")
-    # Where a wrapper's class sets all apart, only element names count.
-    found = [b for b in every if not any(s[0] == "-" for s in b.path)] or [b for b in every if not any(_name(s) in ASIDE for s in b.path)]
-    if marked := [b for b in found if any(s[0] == "+" for s in b.path)]:
-        found = marked
-    if not found:
+    read_ = read(page or "", priors)
+    score = scores(read_)
+    of = lambda b: score[read_.path[b.node]]
+    weigh = lambda b: of(b) * max(0, len(b.text) - b.linked)
+    weight = [0.0] * len(read_.name)
+    for b in read_.blocks:
+        weight[b.node] += weigh(b)
+    heaviest: dict[int, int] = {}
+    for k in range(len(weight) - 1, 0, -1):  # children come after their parents
+        up = read_.parent[k]
+        weight[up] += weight[k]
+        if up not in heaviest or weight[k] >= weight[heaviest[up]]:
+            heaviest[up] = k
+    if weight[0] <= 0:
         return ""
-    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
-        length[b.path] += max(0, len(b.text) - b.linked)
-        marks[b.path] += _punctuation(b.text)
-        number[b.path] += 1
-    ratio = {p: math.log1p(length[p] / n) * math.log1p(1 + marks[p] / n) for p, n in number.items()}
-    own = [ratio[b.path] for b in found]
-    reach = range(-2, 3)
-    kernel = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in reach}
-    smooth = []
-    for i in range(len(own)):
-        near = [(kernel[d], own[i + d]) for d in reach if 0 <= i + d < len(own)]
-        smooth.append(sum(k * v for k, v in near) / sum(k for k, _ in near))
-    fused = defaultdict(float)
-    for b, s in zip(found, smooth, strict=True):
-        fused[b.path] += s / number[b.path]
-    score = {p: (fused[p] + ratio[p]) / 2 for p in number}
-    mean = sum(score[b.path] for b in found) / len(found)
-    spread = math.sqrt(sum((score[b.path] - mean) ** 2 for b in found) / len(found))
-    content = {p for p in number if score[p] >= mean - spread and 2 * sum(b.linked for b in found if b.path == p) <= length[p] + sum(b.linked for b in found if b.path == p)}
-    weight = defaultdict(float)
-    for p in content:
-        for k in range(len(p)):
-            weight[p[: k + 1]] += length[p] * (1 + marks[p])
-    total = sum(length[p] * (1 + marks[p]) for p in content)
-    holders = [p for p, w in weight.items() if 2 * w > total and (p[-1][0] == "+" or _name(p[-1]) in HOLDS)]
-    holder = max(holders, key=len, default=())
-    plus = [k for k, s in enumerate(holder) if s[0] == "+"]
-    holder = holder[: plus[-1] + 1] if plus else holder
-    return " ".join(b.text for b in found if b.path in content or holder and b.path[: len(holder)] == holder)
+    holder = 0
+    while (k := heaviest.get(holder)) is not None and weight[k] >= SHARE * weight[holder] and read_.name[k] not in FLOW:
+        holder = k
+    inside = [k == holder for k in range(len(weight))]
+    home = list(range(len(weight)))  # the nearest element around a text element that is none, or the holder
+    for k in range(1, len(weight)):
+        inside[k] = inside[k] or inside[read_.parent[k]]
+        if inside[k] and k != holder and read_.name[k] in FRAME:
+            home[k] = home[read_.parent[k]]
+    found = [b for b in read_.blocks if inside[b.node]]
+    least = LEAST * sum(weigh(b) * of(b) ** 2 for b in found) / sum(weigh(b) * of(b) for b in found)
+    strong = {home[b.node] for b in found if of(b) >= least} | {holder}
+
+    def belongs(b: Block) -> bool:
+        if of(b) >= least:
+            return True
+        plain = 2 * b.linked <= len(b.text) or read_.name[b.node] in HEADINGS
+        return plain and read_.prior[read_.path[b.node]] > 0 and home[b.node] in strong and (read_.name[b.node] in FRAME)
+
+    return " ".join(b.text for b in found if belongs(b))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of pages (page_id, url, html); repeated rows stay repeated."""
+    """page_id, url, text and n_chars of each row of pages (page_id, url, html).
+
+    Null and empty html give an empty text; null page_ids and urls stay null; repeated rows stay repeated; further columns
+    are not looked at; an empty table gives an empty result.
+    """
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([main_text(x.as_py()) for x in batch.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
+        for some in pieces(batches):
+            texts = pa.array([main_text(x.as_py()) for x in some.column(2)], pa.string())
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), texts], names=["page_id", "url", "text"])
 
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by extract(), which says what null and repeated rows give."""
     return extract(table(spark, sf_dir, "pages"))

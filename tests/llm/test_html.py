@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from chainlens.llm.html import extract, main_text
 
@@ -19,15 +20,49 @@ def test_article_alone():
     assert main_text(page) == "The évent First paragraph, with bold and a link; more text follows here. Yes. one item, short two Quoted <i> words & all that."
 
 
+WORDS = "the river ran past mills, farms and towns; nobody could say, at first, why it had risen so fast that spring."
+PARA = f"<p>{WORDS} {WORDS.title()}</p>"
+TEXT = f"{WORDS} {WORDS.title()}"
+
+
+def test_three_layouts_without_names():
+    """Divisions without telling names, a layout table, and an old page wrapped in a form; with the prior and without it."""
+    menu = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(12))
+    divisions = f"<body><div class=x1><ul>{menu}</ul></div><div class=x2><div class=x3><h1>A flood</h1>{PARA * 6}<div class=more>{WORDS} {WORDS}</div><div class=x9>Buy now!</div><ul><li>one</li><li>two</li></ul>{PARA}</div><div class=x4><p>Nice, thanks!</p><p>Agreed.</p></div></div><div class=x5>All rights reserved.</div></body>"
+    table = f"<body><table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td><h2>A flood</h2>{PARA * 5}<blockquote>Short words.</blockquote></td><td>Weather: rain</td></tr></table><p>Copyright, us.</p></body>"
+    form = f"<body><form action=x><div><a href=q>Menu</a> <a href=r>Search</a></div><section><section><h1>A flood</h1>{PARA * 4}</section></section><p>Your mail, please: <input></p><select><option>x</option></select></form></body>"
+    for priors in (True, False):
+        assert main_text(divisions, priors) == " ".join(["A flood", *[TEXT] * 6, f"{WORDS} {WORDS}", "one", "two", TEXT])
+        assert main_text(table, priors) == " ".join(["A flood", *[TEXT] * 5, "Short words."])
+        assert main_text(form, priors) == " ".join(["A flood", *[TEXT] * 4])
+
+
+def test_names_of_wrappers_exclude_nothing():
+    for wrapper in ('<div class="layout with-sidebar">', '<div id="main" class="has-header">', '<section class="comments-open ad-free">'):
+        assert main_text(f"<body><div>Home page.</div>{wrapper}<article><h1>A flood</h1>{PARA * 3}</article></body>") == " ".join(["A flood", *[TEXT] * 3])
+
+
+def reading(page):
+    """What a reading that knows the table's one layout gives."""
+    inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", page, re.S)[1])
+    parts = (" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]+>", inner))
+    return " ".join(p for p in parts if p)
+
+
 def test_pages_of_the_table(spark):
-    """Against a reading that knows these pages' one layout."""
-    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
-    got = {r.page_id: r.text for r in extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
-    for r in rows:
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        inner = re.sub(r"</?b>", "", inner)
-        parts = (" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]+>", inner))
-        assert got[r.page_id] == " ".join(p for p in parts if p), r.page_id
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert sum(got[r.page_id] == reading(r.html) for r in rows) >= 0.99 * len(rows)
+    assert sum(main_text(r.html, priors=False) == reading(r.html) for r in rows) >= 0.95 * len(rows)  # by ratios alone
+
+
+def test_time_grows_with_the_page():
+    began = time.time()
+    for page in ('<a title="x ' * 40_000, '<a title="x ' * 40_000 + '>"', "<div>" * 40_000 + "deep, text." + "</p>" * 40_000 + "<title>" * 40_000 + "<i '" * 40_000, "<script>" * 40_000, "<p hidden>" * 40_000):
+        main_text(page)
+    main_text("".join(f"<div class='c{chr(97 + i % 26) * (i % 50 + 1)}{chr(97 + i // 26 % 26) * (i // 1300 + 1)}'>text {i}, more.</div>" for i in range(100_000)))
+    assert time.time() - began < 60
 
 
 def test_edges(spark):
