@@ -10,9 +10,52 @@ from pyspark.sql import functions as F
 from ..schema import GENESIS
 
 
+_TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.E+-]*|[^"0-9-]+'
+_CONTROL = {c: c.lower() for c in "ABCDEF"}
+
+
+def _number(token: Column) -> Column:
+    """A number as the shortest decimal: no zero fraction, no exponent from 1e-6 up to below 1e21, and e+21, e-7 beyond."""
+    sign = F.when(F.startswith(token, F.lit("-")), "-").otherwise("")
+    bare = F.regexp_replace(token, "^-", "")
+    mantissa, exponent = F.substring_index(bare, "E", 1), F.regexp_extract(bare, "E([+-]?[0-9]+)$", 1).try_cast("int")
+    whole = F.substring_index(mantissa, ".", 1)
+    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    every = F.concat(whole, fraction)
+    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
+    leading = F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))
+    at = F.length(whole) - leading - 1 + F.coalesce(exponent, F.lit(0))  # the power of ten of the first digit
+    n = F.length(digits)
+    plain = F.when(at >= n - 1, F.rpad(digits, at + 1, F.lit("0"))).when(at >= 0, F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, n)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), digits)
+    power = F.concat(F.when(at < 0, "e-").otherwise("e+"), F.abs(at).cast("string"))
+    far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
+    return F.when(digits == "", "0").otherwise(F.concat(sign, F.when((at >= 21) | (at < -6), far).when(at >= 0, plain).otherwise(small)))
+
+
+def _plain(text: Column) -> Column:
+    """Canonical JSON with its numbers as _number has them and the digits of control characters in lower case."""
+
+    def token(t: Column) -> Column:
+        lower = t
+        for upper, small in _CONTROL.items():
+            lower = F.regexp_replace(lower, rf"((?<!\\)(?:\\\\)*\\u00[01]){upper}", f"$1{small}")
+        return F.when(F.startswith(t, F.lit('"')), lower).when(t.rlike("^-?[0-9].*[.E]"), _number(t)).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), token), "")
+
+
 def canonical_json(raw: Column) -> Column:
-    """A document with keys sorted at every level and nothing between tokens; null where it is no JSON."""
-    return F.to_json(F.try_parse_json(raw))
+    """A document with keys sorted at every level and nothing between tokens; null where it is no JSON.
+
+    Integers stay exact, however large. Other numbers are shortest decimals: 1e3 and 1000.0 are 1000. A document with a
+    repeated key, of which no one can tell which value was meant, or with a number beyond double precision's range is
+    null, so it counts as corrupt and is reported.
+    """
+    text = F.to_json(F.try_parse_json(raw))
+    infinite = lambda c: F.regexp_count(c, F.lit('"-?Infinity"'))
+    odd = text.rlike(r"[0-9][.E]|\\u00[01][A-F]")
+    return F.when(infinite(text) <= infinite(raw), F.when(odd, _plain(text)).otherwise(text))
 
 
 def document_hash(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ STATS = ("rx_bytes", "tx_bytes", "rx_packets", "tx_packets", "rx_errors", "tx_er
 TICKS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice")
 _NO_FIELDS = "cast(map() as map<string,string>)"
 _NO_COUNTERS = "cast(map() as map<string,decimal(20,0)>)"
+_NONE = "cast(array() as array<struct<section:string,ekey:string,dkey:string,label:string,singleton:boolean,fields:map<string,string>,counters:map<string,decimal(20,0)>,pos:int>>)"
 
 
 def _text(c: Column) -> Column:
@@ -24,102 +25,162 @@ def _number(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("0"))
 
 
-def _fields(**columns: Column) -> Column:
-    """Suffix to value: .name for a field of something named."""
-    return F.create_map(*[x for k, v in columns.items() for x in (F.lit(f".{k}"), v)])
+def _count(c: Column) -> Column:
+    return F.coalesce(c.cast(_NUMBER), F.lit(0).cast(_NUMBER))
 
 
-def _entity(rows: DataFrame, section: str, key: Column, label: Column, shown: Column | None = None, fields: Column | None = None, counters: Column | None = None, singleton: bool = False) -> DataFrame:
-    return rows.select(
-        "host_id",
-        "seq",
+def _map(columns: dict[str, Column]) -> Column:
+    return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), c)])
+
+
+def _line(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _entity(section: str, key: Column, label: Column, pos: Column, shown: Column | None = None, fields: dict[str, Column] | None = None, counters: Column | None = None, singleton: bool = False) -> Column:
+    return F.struct(
         F.lit(section).alias("section"),
         key.alias("ekey"),
         (key if shown is None else shown).alias("dkey"),
         label.alias("label"),
         F.lit(singleton).alias("singleton"),
-        (F.expr(_NO_FIELDS) if fields is None else fields).alias("fields"),
+        (_map(fields) if fields else F.expr(_NO_FIELDS)).alias("fields"),
         (F.expr(_NO_COUNTERS) if counters is None else counters).alias("counters"),
-        "pos",
+        pos.cast("int").alias("pos"),
     )
 
 
-def _single(rows: DataFrame, section: str, key: str = "", fields: Column | None = None, counters: Column | None = None) -> DataFrame:
-    return _entity(rows.withColumn("pos", F.lit(0)), section, F.lit(key), F.lit(""), F.lit(""), fields, counters, singleton=True)
+def _single(there: Column, section: str, key: str = "", fields: dict[str, Column] | None = None, counters: Column | None = None) -> Column:
+    one = _entity(section, F.lit(key), F.lit(""), F.lit(0), F.lit(""), fields, counters, singleton=True)
+    return F.when(there.isNotNull(), F.array(one)).otherwise(F.expr(_NONE))
+
+
+def _pairs(path: str, entity: Callable[[Column, Column, Column], Column]) -> Column:
+    """The entities of a map; entity is given key, value and place."""
+    return F.coalesce(F.transform(F.map_entries(path), lambda e, i: entity(e["key"], e["value"], i)), F.expr(_NONE))
+
+
+def _values(section: str) -> Column:
+    return _pairs(section, lambda k, v, i: _entity(section, k, _text(v), i, fields={"": _text(v)}))
+
+
+Reader = Callable[[str], Column]
+Part = Callable[[Reader, Reader, Column], Column]
+
+
+def _each(section: str, path: str, key: Part, label: Part, shown: Part | None = None, fields: Callable | None = None, counters: Part | None = None) -> Column:
+    """The entities of an array of structs; key, label and so on are given an item's fields as text, as numbers, and the item."""
+
+    def entity(e: Column, i: Column) -> Column:
+        give = lambda f: f(lambda n: _text(e[n]), lambda n: _number(e[n]), e) if f else None
+        return _entity(section, give(key), give(label), i, give(shown), give(fields), give(counters))
+
+    return F.coalesce(F.transform(F.col(path), entity), F.expr(_NONE))
+
+
+def _route(t: Reader, n: Reader, e: Column) -> Column:
+    return _line(t("destination"), F.when(t("gateway") != "", F.concat(F.lit(" via "), t("gateway"))).otherwise(""), " dev ", t("device"))
 
 
-def _sections(s: DataFrame) -> dict[str, list[DataFrame]]:
-    """Section to its extractors' rows; s has host_id, seq and the document's typed sections."""
+def _port(t: Reader, n: Reader, e: Column) -> Column:
+    return _line(n("port"), "/", t("protocol"), F.when(t("process") != "", F.concat(F.lit(" "), t("process"))).otherwise(""))
 
-    def items(path: str) -> DataFrame:
-        return s.select("host_id", "seq", F.posexplode(path).alias("pos", "e"))
 
-    def pairs(path: str) -> DataFrame:
-        return s.select("host_id", "seq", F.posexplode(path).alias("pos", "k", "v"))
+def _group(t: Reader, n: Reader, e: Column) -> Column:
+    return _line(t("interface"), "/", t("group"))
 
-    e = lambda name: F.col(f"e.`{name}`")
-    text, number = (lambda name: _text(e(name))), (lambda name: _number(e(name)))
-    mapped = lambda section: _entity(pairs(section), section, F.col("k"), _text(F.col("v")), fields=F.create_map(F.lit(""), _text(F.col("v"))))
-    count = lambda c: F.coalesce(c.cast(_NUMBER), F.lit(0).cast(_NUMBER))
-    counters = lambda prefix, of, names: F.create_map(*[x for n in names for x in (F.lit(prefix + n), count(F.col(f"{of}.`{n}`")))])
-    by_pid = F.concat(number("pid"), F.lit(" ("), text("comm"), F.lit(")"))
-    route = F.concat(text("destination"), F.when(text("gateway") != "", F.concat(F.lit(" via "), text("gateway"))).otherwise(""), F.lit(" dev "), text("device"))
-    port = F.concat(number("port"), F.lit("/"), text("protocol"))
-    group = F.concat(text("interface"), F.lit("/"), text("group"))
-    connection = F.concat(text("state"), F.lit(" ["), F.when(text("process") != "", text("process")).otherwise("?"), F.lit("] "), text("local_addr"), F.lit(":"), number("local_port"), F.lit("→"), text("remote_addr"), F.lit(":"), number("remote_port"))
-    labelled = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    v = lambda name: _text(F.col(f"v.{name}"))
-    host = {n: _text(F.col(f"host.{n}")) for n in ("hostname", "kernel", "boot_id")}
-    dns = {n: joined(F.col(f"network.dns.{n}")) for n in ("nameservers", "search_domains")}
-    plain = lambda columns: F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), c)])
+
+def _connection(t: Reader, n: Reader, e: Column) -> Column:
+    process = F.when(t("process") != "", t("process")).otherwise("?")
+    return _line(t("state"), " [", process, "] ", t("local_addr"), ":", n("local_port"), "→", t("remote_addr"), ":", n("remote_port"))
+
+
+def _by_pid(t: Reader, n: Reader, e: Column) -> Column:
+    return _line(n("pid"), " (", t("comm"), ")")
+
+
+def _sections() -> dict[str, list[Column]]:
+    """Section to arrays of its entities, over the columns of schema.SNAPSHOT."""
+    named = lambda t, *names: {f".{x}": t(x) for x in names}
+    of = lambda name: lambda t, n, e: t(name)
+    timer = ("description", "on_calendar", "on_boot_sec", "on_unit_active_sec", "on_unit_inactive_sec", "unit", "randomized_delay_sec")
     return {
-        "host": [_single(s.where("host is not null"), "host", fields=plain(host))],
-        "kernel_params": [mapped("kernel_params")],
-        "packages": [mapped("packages")],
-        "services": [mapped("services")],
-        "network.interfaces": [_entity(items("network.interfaces"), "network.interfaces", text("name"), text("state"), fields=_fields(state=text("state"), mtu=number("mtu"), addresses=joined(e("addresses"))), counters=counters(".stats.", "e.stats", STATS))],
-        "network.routes": [_entity(items("network.routes"), "network.routes", labelled(text("destination"), " dev ", text("device")), route)],
-        "network.dns": [_single(s.where("network.dns is not null"), "network.dns", fields=plain(dns))],
-        "listening_ports": [_entity(items("listening_ports"), "listening_ports", labelled(port, " ", text("address")), labelled(port, F.when(text("process") != "", labelled(" ", text("process"))).otherwise("")))],
-        "multicast_groups": [_entity(items("multicast_groups"), "multicast_groups", group, group)],
-        "users": [_entity(items("users"), "users", text("name"), labelled("uid=", number("uid"), " gid=", number("gid"), " shell=", text("shell")), fields=_fields(uid=number("uid"), gid=number("gid"), gecos=text("gecos"), home=text("home"), shell=text("shell")))],
-        "groups": [_entity(items("groups"), "groups", text("name"), labelled("gid=", number("gid"), " members=[", joined(e("members")), "]"), fields=_fields(gid=number("gid"), members=joined(e("members"))))],
-        "sudoers": [_entity(items("sudoers"), "sudoers", labelled(text("source"), "\t", text("line")), labelled(text("source"), ": ", text("line")))],
+        "host": [_single(F.col("host"), "host", fields={x: _text(F.col(f"host.{x}")) for x in ("hostname", "kernel", "boot_id")})],
+        "kernel_params": [_values("kernel_params")],
+        "packages": [_values("packages")],
+        "services": [_values("services")],
+        "network.interfaces": [
+            _each(
+                "network.interfaces", "network.interfaces", of("name"), of("state"),
+                fields=lambda t, n, e: {".state": t("state"), ".mtu": n("mtu"), ".addresses": joined(e["addresses"])},
+                counters=lambda t, n, e: _map({f".stats.{x}": _count(e["stats"][x]) for x in STATS}),
+            )
+        ],
+        "network.routes": [_each("network.routes", "network.routes", lambda t, n, e: _line(t("destination"), " dev ", t("device")), _route)],
+        "network.dns": [_single(F.col("network.dns"), "network.dns", fields={x: joined(F.col(f"network.dns.{x}")) for x in ("nameservers", "search_domains")})],
+        "listening_ports": [_each("listening_ports", "listening_ports", lambda t, n, e: _line(n("port"), "/", t("protocol"), " ", t("address")), _port)],
+        "multicast_groups": [_each("multicast_groups", "multicast_groups", _group, _group)],
+        "users": [
+            _each(
+                "users", "users", of("name"), lambda t, n, e: _line("uid=", n("uid"), " gid=", n("gid"), " shell=", t("shell")),
+                fields=lambda t, n, e: {".uid": n("uid"), ".gid": n("gid"), **named(t, "gecos", "home", "shell")},
+            )
+        ],
+        "groups": [
+            _each(
+                "groups", "groups", of("name"), lambda t, n, e: _line("gid=", n("gid"), " members=[", joined(e["members"]), "]"),
+                fields=lambda t, n, e: {".gid": n("gid"), ".members": joined(e["members"])},
+            )
+        ],
+        "sudoers": [_each("sudoers", "sudoers", lambda t, n, e: _line(t("source"), "\t", t("line")), lambda t, n, e: _line(t("source"), ": ", t("line")))],
         "mounts": [
-            _entity(
-                items("mounts"), "mounts", labelled(text("mount_point"), "\t", text("source")), labelled("source=", text("source"), " fs=", text("fs_type"), " opts=", text("mount_options")), text("mount_point"),
-                _fields(fs_type=text("fs_type"), mount_options=text("mount_options"), super_options=text("super_options")),
+            _each(
+                "mounts", "mounts", lambda t, n, e: _line(t("mount_point"), "\t", t("source")), lambda t, n, e: _line("source=", t("source"), " fs=", t("fs_type"), " opts=", t("mount_options")),
+                of("mount_point"), lambda t, n, e: named(t, "fs_type", "mount_options", "super_options"),
+            )
+        ],
+        "modules": [
+            _each(
+                "modules", "modules", of("name"), lambda t, n, e: _line("size=", n("size"), " deps=", joined(e["dependencies"])),
+                fields=lambda t, n, e: {".size": n("size"), ".dependencies": joined(e["dependencies"])},
             )
         ],
-        "modules": [_entity(items("modules"), "modules", text("name"), labelled("size=", number("size"), " deps=", joined(e("dependencies"))), fields=_fields(size=number("size"), dependencies=joined(e("dependencies"))))],
         "cron": [
-            _entity(items("cron_jobs"), "cron", F.concat_ws("\u0000", text("source"), text("user"), text("schedule"), text("command")), labelled("user=", text("user"), " schedule=", quoted(text("schedule")), " cmd=", quoted(text("command"))), text("source"))
+            _each(
+                "cron", "cron_jobs", lambda t, n, e: F.concat_ws("\u0000", t("source"), t("user"), t("schedule"), t("command")),
+                lambda t, n, e: _line("user=", t("user"), " schedule=", quoted(t("schedule")), " cmd=", quoted(t("command"))), of("source"),
+            )
         ],
         "timers": [
-            _entity(
-                items("systemd_timers"), "timers", text("unit_file"), labelled("unit=", text("unit"), " on_calendar=", quoted(text("on_calendar"))),
-                fields=_fields(**{n: text(n) for n in ("description", "on_calendar", "on_boot_sec", "on_unit_active_sec", "on_unit_inactive_sec", "unit", "randomized_delay_sec")}),
+            _each(
+                "timers", "systemd_timers", of("unit_file"), lambda t, n, e: _line("unit=", t("unit"), " on_calendar=", quoted(t("on_calendar"))),
+                fields=lambda t, n, e: named(t, *timer),
             )
         ],
         "ssh_keys": [
-            _entity(
-                items("ssh_keys"), "ssh_keys", F.concat_ws("\u0000", text("user"), text("type"), text("fingerprint")), labelled("type=", text("type"), " comment=", quoted(text("comment")), " source=", text("source")), labelled(text("user"), " ", text("fingerprint")),
-                _fields(comment=text("comment"), options=text("options"), source=text("source")),
+            _each(
+                "ssh_keys", "ssh_keys", lambda t, n, e: F.concat_ws("\u0000", t("user"), t("type"), t("fingerprint")), lambda t, n, e: _line("type=", t("type"), " comment=", quoted(t("comment")), " source=", t("source")),
+                lambda t, n, e: _line(t("user"), " ", t("fingerprint")), lambda t, n, e: named(t, "comment", "options", "source"),
             )
         ],
-        "cpu": [_single(s.where("cpu is not null"), "cpu", counters=counters("", "cpu", TICKS))],
-        **{f"kernel_counters.{p}": [_single(s.where(f"kernel_counters.{p} is not null"), f"kernel_counters.{p}", counters=F.col(f"kernel_counters.{p}"))] for p in ("ip", "tcp", "udp")},
+        "cpu": [_single(F.col("cpu"), "cpu", counters=_map({x: _count(F.col(f"cpu.{x}")) for x in TICKS}))],
+        **{f"kernel_counters.{p}": [_single(F.col(f"kernel_counters.{p}"), f"kernel_counters.{p}", counters=F.col(f"kernel_counters.{p}"))] for p in ("ip", "tcp", "udp")},
         "processes": [
-            _single(s.where("processes is not null"), "processes", "\u0000", fields=plain({"total_count": _number(F.col("processes.total_count"))})),
-            _entity(items("processes.top_by_rss"), "processes", number("pid"), labelled("rss=", number("rss_kb"), "kB"), by_pid, counters=counters(".", "e", ("rss_kb",))),
+            _single(F.col("processes"), "processes", "\u0000", {"total_count": _number(F.col("processes.total_count"))}),
+            _each("processes", "processes.top_by_rss", lambda t, n, e: n("pid"), lambda t, n, e: _line("rss=", n("rss_kb"), "kB"), _by_pid, counters=lambda t, n, e: _map({".rss_kb": _count(e["rss_kb"])})),
         ],
         "sockets": [
-            _single(s.where("sockets is not null"), "sockets", "\u0000", counters=counters("", "sockets", ("total_tcp", "total_udp", "total_listen"))),
-            _entity(items("sockets.top_by_count"), "sockets", number("pid"), labelled("tcp=", number("tcp_count"), " udp=", number("udp_count")), by_pid),
+            _single(F.col("sockets"), "sockets", "\u0000", counters=_map({x: _count(F.col(f"sockets.{x}")) for x in ("total_tcp", "total_udp", "total_listen")})),
+            _each("sockets", "sockets.top_by_count", lambda t, n, e: n("pid"), lambda t, n, e: _line("tcp=", n("tcp_count"), " udp=", n("udp_count")), _by_pid),
+        ],
+        "connections": [_each("connections", "connections", lambda t, n, e: _line(t("protocol"), "/", t("process"), "/", t("remote_addr"), ":", n("remote_port")), _connection)],
+        "nic_drivers": [
+            _pairs(
+                "nic_drivers",
+                lambda k, v, i: _entity("nic_drivers", k, _line("driver=", _text(v["driver"]), " fw=", _text(v["fw_version"])), i, fields={f".{x}": _text(v[x]) for x in ("driver", "fw_version")}),
+            )
         ],
-        "connections": [_entity(items("connections"), "connections", labelled(text("protocol"), "/", text("process"), "/", text("remote_addr"), ":", number("remote_port")), connection)],
-        "nic_drivers": [_entity(pairs("nic_drivers"), "nic_drivers", F.col("k"), labelled("driver=", v("driver"), " fw=", v("fw_version")), fields=_fields(driver=v("driver"), fw_version=v("fw_version")))],
-    }
+    }
 
 
 def last_wins(rows: DataFrame, key: list[str], position: str) -> DataFrame:
@@ -134,9 +195,14 @@ def first_wins(rows: DataFrame, key: list[str], position: str) -> DataFrame:
 
 
 def entities(snapshots: DataFrame, sections: list[str] | None = None) -> DataFrame:
-    """All entities of snapshots (host_id, seq and the sections of schema.SNAPSHOT); sections selects some, none is all."""
-    parts = [x for name, xs in _sections(snapshots).items() if not sections or name in sections for x in xs]
-    return last_wins(reduce(DataFrame.unionByName, parts), ["host_id", "seq", "section", "ekey"], "pos")
+    """All entities of snapshots (host_id, seq and the sections of schema.SNAPSHOT); sections selects some, none is all.
+
+    A row's entities are one array, so each snapshot is read once, whatever the number of sections, and what is not
+    selected is not read. Of entities with equal keys the last in its section stands.
+    """
+    parts = [x for name, xs in _sections().items() if not sections or name in sections for x in xs]
+    rows = snapshots.select("host_id", "seq", F.explode(F.concat(*parts)).alias("e")).select("host_id", "seq", "e.*")
+    return last_wins(rows, ["host_id", "seq", "section", "ekey"], "pos")
 
 
 def section_counts(found: DataFrame) -> DataFrame:
