@@ -14,6 +14,18 @@ def top(rows: DataFrame, by: list[str], most: Column, tie: str, n: int = 20) ->
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def process_totals(processes: DataFrame, n: int = 20) -> DataFrame:
+    """Of each host and time how many processes there are, and the n of them with most memory, ties by pid."""
+    key = ["host_id", "ts"]
+    totals = processes.groupBy(*key).agg(F.count("*").alias("total_count"))
+    return top(processes, key, F.col("rss_kb"), "pid", n).join(totals, key)
+
+
+def with_members(groups: DataFrame) -> DataFrame:
+    """Groups that have members."""
+    return groups.where(F.size("members") > 0)
+
+
 def socket_totals(sockets: DataFrame) -> DataFrame:
     """Totals of sockets (host_id, ts, proto, state, inode) that have an inode."""
     live = sockets.where("inode <> 0")

@@ -43,12 +43,6 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"{RULE}, ord INT")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a JSON file (an array), numbered in their order."""
-    rules = spark.read.schema(RULE).json(path, multiLine=True)
-    return rules.withColumn("ord", F.monotonically_increasing_id().cast("int")).fillna({"pro": False})
-
-
 def overridden(defaults: DataFrame, own: DataFrame) -> DataFrame:
     """defaults, with those of the same id replaced in place by own rules, and new ones after them."""
     n = defaults.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("_n"))

@@ -3,34 +3,82 @@
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import document_hash
 from ..functions.text import nanoseconds
-from ..schema import SNAPSHOT
+from ..operators import rules, verify
+from ..schema import RULE, SNAPSHOT
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file in whatever store it is; nothing, where it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _file_path() -> Column:
+    """A file's path as it is named, without the escapes of its address."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _named(path: Column, name: str) -> Column:
+    """The value of a folder name=value, as Spark writes them."""
+    return F.url_decode(F.replace(F.regexp_extract(path, f"/{name}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All JSON files below root/<host>/chain/<date>/: host_id, path, raw. Each file is one row, whatever it holds."""
+    """All JSON files below root: host_id, path, raw. Each file is one row, whatever it holds.
+
+    The host is in the path: <host>/chain/<date>/<file> or host_id=<host>/.../<file>.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    path = F.col("_metadata.file_path")
-    return files.select(F.regexp_extract(path, "([^/]+)/chain/[^/]+/[^/]+$", 1).alias("host_id"), path.alias("path"), F.col("value").alias("raw"))
+    path = _file_path()
+    host = F.when(path.rlike("/host_id=[^/]*/"), _named(path, "host_id")).otherwise(F.regexp_extract(path, "([^/]+)/chain/[^/]+/[^/]+$", 1))
+    return files.select(host.alias("host_id"), path.alias("path"), F.col("value").alias("raw"))
+
+
+def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
+    """Texts taken from hosts, one row a file: host_id, ts, path (on the host), content.
+
+    They lie as <host>/<ts>/raw/<path> or as host_id=<host>/ts=<ts>/path=<path, escaped>/<file>.
+    """
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    path, plain = _file_path(), "([^/]+)/([0-9]+)/raw(/.*)$"
+    hive = path.rlike("/host_id=[^/]*/ts=[0-9]+/path=[^/]*/")
+    part = lambda name, k: F.when(hive, _named(path, name)).otherwise(F.regexp_extract(path, plain, k))
+    rows = files.select(part("host_id", 1).alias("host_id"), part("ts", 2).try_cast("bigint").alias("ts"), part("path", 3).alias("path"), F.col("value").alias("content"))
+    return rows.where(F.col("ts").isNotNull())
+
+
+def write_raw_files(files: DataFrame, root: str) -> None:
+    """Raw files (host_id, ts, path, content) in the second of read_raw_files' layouts."""
+    files.select("host_id", "ts", "path", "content").write.partitionBy("host_id", "ts", "path").option("lineSep", "").mode("append").text(root)
+
+
+def readable() -> Column:
+    """Whether raw is a JSON object with a time."""
+    return F.try_parse_json("raw").isNotNull() & F.get_json_object("raw", "$.timestamp").isNotNull()
 
 
 def corrupt(documents: DataFrame) -> DataFrame:
     """Files that are no JSON object with a time: host_id, path. They are reported, never just dropped."""
-    return documents.where(F.try_parse_json("raw").isNull() | F.get_json_object("raw", "$.timestamp").isNull()).select("host_id", "path")
+    return documents.where(~F.coalesce(readable(), F.lit(False))).select("host_id", "path")
 
 
 def snapshots(documents: DataFrame) -> DataFrame:
     """The readable documents, typed, with ts, ts_ns and the hash of what the file says."""
-    good = documents.where(F.try_parse_json("raw").isNotNull() & F.get_json_object("raw", "$.timestamp").isNotNull())
+    good = documents.where(readable())
     rows = good.select("host_id", "path", "raw", document_hash(F.col("raw")).alias("hash"), F.from_json("raw", SNAPSHOT).alias("doc")).select("host_id", "path", "raw", "hash", "doc.*")
     ns = nanoseconds(F.col("timestamp"))
     return rows.withColumn("ts_ns", ns).withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withColumn("snap_date", F.to_date("ts"))
@@ -42,17 +90,31 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def write_bundles(rows: DataFrame, manifests: DataFrame, path: str) -> None:
-    """Extracts and their manifests as two tables below path."""
+    """Extracts and their manifests as two tables below path, read back and verified.
+
+    If a link of an extract is broken or a manifest does not fit, both tables are removed again and a ValueError names
+    some of the extracts.
+    """
     rows.write.partitionBy("bundle_id").mode("overwrite").parquet(f"{path}/snapshots")
     manifests.write.mode("overwrite").parquet(f"{path}/manifests")
+    found = verify.bundle_verdicts(*read_bundles(rows.sparkSession, path))
+    bad = found.where("broken_at >= 0 or mismatch <> ''").orderBy("bundle_id").limit(20).collect()
+    if bad:
+        remove(rows.sparkSession, path)
+        raise ValueError("not written, since these do not verify: " + ", ".join(f"{r['bundle_id']} ({r['mismatch'] or 'link ' + str(r['broken_at'])})" for r in bad))
 
 
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/snapshots"), spark.read.parquet(f"{path}/manifests")
+    manifests = spark.read.parquet(f"{path}/manifests")
+    kind = manifests.schema["bundle_id"].dataType
+    return spark.read.parquet(f"{path}/snapshots").withColumn("bundle_id", F.col("bundle_id").cast(kind)), manifests
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Members of tar.gz extracts: bundle_id (the archive), path, content, of chain documents and manifests alone; an archive is one task's row."""
+    """Members of tar.gz extracts: bundle_id (the archive), path, content, of chain documents and manifests alone.
+
+    An archive is one task's row, as its members can't be reached but one after the other.
+    """
     files = spark.read.format("binaryFile").load(path, pathGlobFilter="*.tar.gz").select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,6 +144,24 @@ def alerts(changes: DataFrame, hosts: DataFrame) -> DataFrame:
     return found.select("host_id", "pair_seq", F.to_json(payload).alias("payload"))
 
 
-def rules_text(rules: list[dict]) -> str:
-    """A rules file's content."""
-    return json.dumps(rules)
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The default rules with those of a JSON file (an array) in their place or after them, in the file's order.
+
+    A file that is not there leaves the defaults as they are; one that is no such array fails.
+    """
+    defaults = rules.default_rules(spark)
+    if not exists(spark, path):
+        return defaults
+    file = spark.read.text(path, wholetext=True).select(F.from_json("value", _RULES, {"mode": "FAILFAST"}).alias("r"))
+    own = file.select(F.posexplode("r").alias("ord", "rule")).select("rule.*", F.col("ord").cast("int").alias("ord")).fillna({"pro": False})
+    return rules.overridden(defaults, own.select(*defaults.columns))
+
+
+_RULES = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in (x.split() for x in RULE.split(", "))) + ">>"
+
+
+def write_rules(table: DataFrame, path: str) -> None:
+    """A rules file below path of a table of rules, in their order."""
+    names = [c for c in table.columns if c != "ord"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*names).alias("rule")))), lambda x: x["rule"])
+    table.agg(F.to_json(listed).alias("value")).write.mode("overwrite").text(path)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import diff
+from ..operators import diff, history
 from ..schema import GENESIS
+from ..sources.snapshots import exists, remove
+
+BUCKETS = 64
 
 
 def archive(stream: DataFrame, path: str, checkpoint: str, partitions: list[str]) -> DataStreamWriter:
@@ -17,53 +20,136 @@ def archive(stream: DataFrame, path: str, checkpoint: str, partitions: list[str]
     return stream.writeStream.format("parquet").outputMode("append").partitionBy(*partitions).option("path", path).option("checkpointLocation", checkpoint)
 
 
-def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at path, or none of like's rows where it is not there yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
+def retain(spark: SparkSession, table: str, anchors: str, days: int, now: str, day: str = "snap_date") -> int:
+    """Gives up the days of a table (partitioned by day; host_id, ts, ts_ns, path, prev_hash) that are older than so many days before now.
+
+    No document is rewritten: the anchors of what stays are written first, then whole day folders are removed, so a failure
+    in between leaves an anchor of what is still there. Returns how many days went.
+    """
+    if not days:
+        return 0
+    rows = spark.read.parquet(table)
+    limit = F.expr(f"timestamp'{now}' - interval {int(days)} days")
+    old = [r[0] for r in rows.select(day).distinct().where(F.col(day).cast("timestamp") + F.expr("interval 1 day") <= limit).collect()]
+    if not old:
+        return 0
+    kept = rows.where(~F.coalesce(F.col(day).cast("string").isin([str(d) for d in old]), F.lit(False)))
+    history.retained(kept, 0, now)[1].write.mode("overwrite").parquet(anchors)
+    for d in old:
+        remove(spark, f"{table}/{day}={d}")
+    return len(old)
+
+
+class _State:
+    """What is known of each host, in buckets of a hash of host_id.
+
+    A micro-batch writes only the buckets that it touches, below v=<its number>, and a list of each bucket's number. It
+    reads the list before its own, so a repeated batch does the same again; what neither this list nor the one before
+    names is removed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, number: int) -> None:
+        self.spark, self.root, self.number = spark, root, number
+        self.before = self._list(number - 1) if number > 0 else {}
+
+    def _list(self, number: int) -> dict[int, int]:
+        path = f"{self.root}/list/{number}"
+        if not exists(self.spark, path):
+            raise FileNotFoundError(f"the state of micro-batch {number} is gone from {path}; nothing is compared with nothing")
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(path).collect()}
+
+    def read(self, kind: str, touched: list[int], like: DataFrame) -> DataFrame:
+        """Of the touched buckets what was known before this batch; like tells the columns."""
+        paths = [f"{self.root}/{kind}/v={self.before[b]}/bucket={b}" for b in touched if b in self.before]
+        paths = [p for p in paths if exists(self.spark, p)]
+        return self.spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
+    def write(self, kind: str, rows: DataFrame) -> None:
+        rows.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/v={self.number}")
+
+    def close(self, touched: list[int]) -> None:
+        now = self.before | dict.fromkeys(touched, self.number)
+        self.spark.createDataFrame([*now.items()] or [], "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/{self.number}")
+        for b, version in self.before.items():
+            older = self._list(self.number - 2).get(b) if self.number > 1 and exists(self.spark, f"{self.root}/list/{self.number - 2}") else None
+            if older is not None and older != version:
+                for kind in ("heads", "entities"):
+                    remove(self.spark, f"{self.root}/{kind}/v={older}/bucket={b}")
+        remove(self.spark, f"{self.root}/list/{self.number - 3}")
+
+
+def bucket(host: str = "host_id") -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(BUCKETS)).cast("int")
 
 
 def watch(
-    stream: DataFrame, entities_of: Callable[[DataFrame], DataFrame], state: str, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, follow_hashes: bool = False, ignore_counters: bool = False
+    stream: DataFrame,
+    entities_of: Callable[[DataFrame], DataFrame],
+    state: str,
+    sink: Callable[[DataFrame, DataFrame, int], None],
+    checkpoint: str,
+    follow_hashes: bool = False,
+    ignore_counters: bool = False,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+    readable: Column | None = None,
+    dead_letters: str | None = None,
+    after: Callable[[int], None] | None = None,
 ) -> DataStreamWriter:
     """Compares each arriving snapshot (host_id, ts_ns, path, ...) with its host's last one, by the batch operators.
 
-    state holds, in a folder for each micro-batch, every host's last snapshot's entities and number; a repeated batch
-    overwrites its own folder from the one before, so results are the same. Within a batch snapshots go in time order,
-    ties by path. With follow_hashes a document whose prev_hash is not the hash before it goes to breaks instead and does
-    not move the state on. sink(changes, breaks, batch) gets the changes of pairs that have a material one, or, unless
-    ignore_counters, any; breaks is empty without follow_hashes.
+    What can't be read (rows for which readable is not true) goes to the folder dead_letters, one folder a micro-batch,
+    and the batch goes on without it; read makes snapshots of the rest. state holds every host's last snapshot's entities
+    and number in buckets, of which a micro-batch writes those of its own hosts; a repeated batch starts from the same
+    state again. If the state of the batch before is gone, the batch fails: its hosts would all seem new. Within a batch
+    snapshots go in time order, ties by path. With follow_hashes a document whose prev_hash is not the hash before it goes
+    to breaks instead, with all of its host's after it, and does not move the state on; given again in a later batch with
+    what was missing before it, it is looked at anew. sink(changes, breaks, batch) gets the changes of pairs that have a
+    material one, or, unless ignore_counters, any; breaks is empty without follow_hashes. after(batch) is called at last
+    (retention, see retain).
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        heads = read_table(spark, f"{state}/heads/{number - 1}", batch.select("host_id", F.lit(0).cast("long").alias("seq"), F.lit("").alias("hash")))
-        numbered = batch.withColumn("n", F.row_number().over(Window.partitionBy("host_id").orderBy("ts_ns", "path")))
-        rows = numbered.join(heads.select("host_id", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "host_id", "left")
-        breaks = rows.limit(0)
-        if follow_hashes:
-            before = F.coalesce(F.lag("hash").over(Window.partitionBy("host_id").orderBy("n")), "head_hash", F.lit(GENESIS))
-            # Everything of a host from its first wrong link on waits for a look.
-            wrong = F.max((F.col("prev_hash") != F.col("_before")).cast("int")).over(Window.partitionBy("host_id").orderBy("n"))
-            rows = rows.withColumn("_before", before).withColumn("_wrong", wrong)
-            breaks, rows = rows.where("_wrong = 1").drop("_before", "_wrong"), rows.where("_wrong = 0").drop("_before", "_wrong")
-        rows = rows.withColumn("seq", F.coalesce(F.col("head_seq") + F.col("n"), F.col("n") - 1)).persist()
+        if readable is not None:
+            fit = F.coalesce(readable, F.lit(False))
+            if dead_letters:
+                batch.where(~fit).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+            batch = batch.where(fit)
+        rows = (read(batch) if read else batch).persist()
+        held = [rows]
         try:
+            touched = sorted(r[0] for r in rows.select(bucket()).distinct().collect())
+            known = _State(spark, state, number)
+            hashes = F.col("hash") if "hash" in rows.columns else F.lit("")
+            heads = known.read("heads", touched, rows.select("host_id", F.lit(0).cast("long").alias("seq"), hashes.alias("hash")))
+            numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("host_id").orderBy("ts_ns", "path")))
+            rows = numbered.join(heads.select("host_id", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "host_id", "left")
+            breaks = rows.limit(0)
+            if follow_hashes:
+                before = F.coalesce(F.lag("hash").over(Window.partitionBy("host_id").orderBy("n")), "head_hash", F.lit(GENESIS))
+                # Everything of a host from its first wrong link on waits for a look.
+                wrong = F.max((F.col("prev_hash") != F.col("_before")).cast("int")).over(Window.partitionBy("host_id").orderBy("n"))
+                rows = rows.withColumn("_before", before).withColumn("_wrong", wrong)
+                breaks, rows = rows.where("_wrong = 1").drop("_before", "_wrong"), rows.where("_wrong = 0").drop("_before", "_wrong")
+            rows = rows.withColumn("seq", F.coalesce(F.col("head_seq") + F.col("n"), F.col("n") - 1).cast("long")).persist()
+            held.append(rows)
             new = entities_of(rows)
-            last = read_table(spark, f"{state}/entities/{number - 1}", new)
-            known = last.unionByName(new)
+            last = known.read("entities", touched, new)
+            every = last.unionByName(new)
             pairs = rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"))
-            found = diff.consecutive(known, pairs)
+            found = diff.consecutive(every, pairs)
             told = diff.counts(found, pairs).where("material > 0" if ignore_counters else "material + counters > 0")
             sink(found.join(told.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi"), breaks, number)
-            hashes = F.col("hash") if "hash" in rows.columns else F.lit("")
             newest = rows.groupBy("host_id").agg(F.max("seq").alias("seq"), F.max_by(hashes, "seq").alias("hash"))
             kept = heads.join(newest, "host_id", "left_anti").unionByName(newest)
-            kept.write.mode("overwrite").parquet(f"{state}/heads/{number}")
-            heads_now = spark.read.parquet(f"{state}/heads/{number}").select("host_id", "seq")
-            known.join(heads_now, ["host_id", "seq"], "left_semi").write.mode("overwrite").parquet(f"{state}/entities/{number}")
+            known.write("heads", kept)
+            now = known.spark.read.schema(kept.schema).parquet(f"{state}/heads/v={number}").select("host_id", "seq")
+            known.write("entities", every.join(now, ["host_id", "seq"], "left_semi"))
+            known.close(touched)
+            if after:
+                after(number)
         finally:
-            rows.unpersist()
+            for df in held:
+                df.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
