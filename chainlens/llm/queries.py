@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": host_quality.OP4_SQL}
+    return {"op4_quality_rules": host_quality.OP4_SQL, "op7_substring": substring.OP7_SQL}

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import pieces, ship, table, written
 
 WORDS = 4
 SEED = 42
@@ -49,14 +48,14 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(start), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.Series(np.array([fingerprint_of(t) for t in batch], np.uint64).view(np.int64))
+        yield pa.array(np.array([fingerprint_of(t.as_py()) for t in batch], np.uint64).view(np.int64))
 
 
 def fingerprint() -> Column:
     """A function of a text column: the fingerprint's bits as a long."""
-    return F.pandas_udf(_fingerprints, "long")
+    return F.arrow_udf(_fingerprints, "long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -267,15 +266,23 @@ def band_hashes(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) - 2**63 for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        sets = [shingle_set(t) for t in batch]
-        yield pd.DataFrame({"size": [len(s) for s in sets], "key": [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets], "bands": [band_hashes(s) for s in sets]})
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """th, text to th, size, key and bands of its shingle set."""
+    for some in pieces(batches):
+        size, key, bands = [], [], []
+        for text in some.column(1):
+            shingles = shingle_set(text.as_py())
+            size.append(len(shingles))
+            key.append(xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63)
+            bands.append(band_hashes(shingles))
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["th", "size", "key", "bands"])
 
 
-def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([shingle_set(t).tobytes() for t in batch])
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, buckets, text to key, buckets and the text's shingles."""
+    for some in pieces(batches, 100):
+        shingles = pa.array([shingle_set(t.as_py()).tobytes() for t in some.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), shingles], names=["key", "buckets", "shingles"])
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -339,8 +346,7 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
-    sketch = F.pandas_udf(_sketches, "size long, key long, bands array<long>")("text").alias("s")
-    rows = written(texts.select("th", sketch).select("th", "s.*"), "sketches")
+    rows = written(texts.mapInArrow(_sketches, "th long, size long, key long, bands array<long>"), "sketches")
     rows = written(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("size", "key", "bands")]), "texts")
     one = rows.groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "bands")])
     bands = written(one.select("key", "th", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
@@ -348,7 +354,7 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
     met = bands.join(shared, ["band", "bucket"]).groupBy("th", "key").agg(F.collect_list(F.struct("band", "bucket", "tiles")).alias("buckets"))
     some = texts.dropDuplicates(["th"]).join(met, "th")
-    sets = some.select("key", "buckets", F.pandas_udf(_sets, "binary")("text").alias("shingles")).select("key", F.explode("buckets").alias("m"), "shingles")
+    sets = some.select("key", "buckets", "text").mapInArrow(_sets, "key long, buckets array<struct<band:int,bucket:long,tiles:int>>, shingles binary").select("key", F.explode("buckets").alias("m"), "shingles")
     own = F.pmod(F.xxhash64("key"), F.col("m.tiles")).cast("int")
     sets = sets.select("m.band", "m.bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m.tiles") - 1)).alias("other"), "key", "shingles")
     group = ["band", "bucket", "low", "high"]
@@ -358,11 +364,16 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies: the first by doc_id (of repeated rows, one)."""
-    keys = [F.xxhash64("text").alias("__th"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
-    ids = docs.select(*keys).distinct()
-    first = ids.join(copies(docs).toDF("__th", "root"), "__th").groupBy("root").agg(F.min(F.struct(~F.col("__none"), "__id", "__th", "__none")).alias("k"))
-    names = ["__th", "__id", "__none"]
-    kept = docs.select("*", *keys).join(first.select(*[F.col(f"k.{n}") for n in names]), names, "left_semi")
+    """docs with one row of each component of near copies (see copies): the first by doc_id, null ones last.
+
+    Of repeated rows, and of rows of one text and doc_id, one stays. Null and empty texts and texts of white space alone
+    are copies of one another. All columns come back as they were, whatever their names; an empty table gives an empty result.
+    """
+    keys = [F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+    roots = copies(docs).toDF("th", "root")
+    first = rows.select("th", "id", "none").distinct().join(roots, "th").groupBy("root").agg(F.min(F.struct("none", "id", "th")).alias("k"))
+    names = ["th", "id", "none"]
+    kept = rows.join(first.select(*[F.col(f"k.{n}") for n in names]), names, "left_semi")
     one = Window.partitionBy(*names).orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")

@@ -7,13 +7,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, ship, table, written
+from .common import LONG_MIN, pieces, ship, table, written
 
 WINDOW = 35
 GRAM = 6
@@ -78,7 +77,7 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         parts: list[tuple] = []
         held = 0
         for did, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -205,7 +204,7 @@ def _masks(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """batches: text, wanted [(anchor, content, times, at, large)]; rows of those passages with their words, or window hashes."""
-    for batch in batches:
+    for batch in pieces(batches):
         out: list[tuple] = []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             words = _split(text.as_py())
@@ -229,6 +228,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     fetched once, with the number of its occurrences, and the shard's suffix automaton gives the windows that occur
     elsewhere. A shard with more than LARGE_SHARD distinct passages (a phrase that a good part of all documents hold) is
     not put into one task: each of its windows is a reference of its own, counted by hash.
+
+    Rows of fewer than WINDOW words (null and empty texts among them) have no windows and so no spans. Rows that are the
+    same in did and th share their spans; th tells texts apart, so rows of equal text and did repeat one another and every
+    window of theirs is a repeat. An empty table gives an empty result.
     """
     key = ["did", "th"]
     all_passages = written(docs.select(*key, "text").mapInArrow(_find, "anchor long, content long, did long, th long, at long"), "passages")
@@ -284,7 +287,7 @@ def covered(n_words: int, spans: Iterable[dict]) -> np.ndarray:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             words = _split(text.as_py())
@@ -298,18 +301,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by repeats(). Null and empty texts have no words; repeated rows are windows that start elsewhere, so
+    both lose them; rows of one doc_id are told apart by their texts, null doc_ids among them."""
     ship(spark)
     docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc_id")
     doc_id = F.when(F.col("did") != LONG_MIN + 1, F.col("did")).alias("doc_id")
     return repeats(docs).select(doc_id, "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+#: The same in SQL: every window by its words, those that are there twice, and the words that none of them covers.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1), range(0, 35) r(k)),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d) ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, spans in rows:
-        yield pd.Series([_without(t, s) if isinstance(t, str) and s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+def _cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans in columns:
+        yield pa.array([_without(t.as_py(), s.as_py()) if t.is_valid and s.is_valid and len(s) else t.as_py() for t, s in zip(texts, spans, strict=True)], pa.string())
 
 
 def _without(text: str, spans: Iterable[dict]) -> str:
@@ -327,13 +341,16 @@ def _without(text: str, spans: Iterable[dict]) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from text, n_chars set to what is left, without those of which no word is left.
 
-    A row without repeats is as it was, whatever it holds; null text stays null.
+    A row without repeats is as it was, whatever it holds: null and empty texts stay, so do texts of under WINDOW words.
+    Repeated rows, of whatever doc_id, are repeats of one another and are cut whole if they have WINDOW words, so none of
+    them is left: a stage that keeps one of them comes before. All other columns come back as they were, whatever their
+    names; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     columns = docs.columns
-    others = [F.col(c) for c in columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in columns if c != "text"]
     rows = keyed(docs.select(F.struct(*others).alias("row"), "doc_id", "text")).drop("doc_id")
-    rows = repeats(rows).withColumn("left", F.pandas_udf(_cut, "string")("text", "spans"))
+    rows = repeats(rows).withColumn("left", F.arrow_udf(_cut, "string")("text", "spans"))
     rows = rows.where(F.col("spans").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left").cast("long")) if "n_chars" in columns else None
     new = {"text": F.col("left"), "n_chars": length}
