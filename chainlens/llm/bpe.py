@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidy
 
 _KEPT = 48 * 2**20  # bytes that a worker's known words may take before it begins to forget; there are two such generations
 _SHORT = 64  # bytes of a word up to which one pair is contracted a step; longer words are not kept
@@ -237,6 +237,7 @@ def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id") ->
                     keys, texts, size = [], [], 0
         if keys:
             yield done(keys, texts)
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -57,11 +59,21 @@ def ship(spark: SparkSession) -> None:
     context._chainlens_shipped = True
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, which allocators would else keep for the worker's life, beside other workers and the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that only a slice's texts stand beside their batch as Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        tidy()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

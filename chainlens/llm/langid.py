@@ -11,7 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table
+from .common import pieces, ship, table, tidy
 
 BUCKETS_LOG2 = 16
 ORDERS = (1, 2, 3, 4)
@@ -180,6 +180,7 @@ def identify(model: Broadcast) -> Column:
             langs = pa.array([x for a, _, _ in out for x in a], pa.string())
             numbers = [pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.float64()) for k in (1, 2)]
             yield pa.StructArray.from_arrays([langs, *numbers], names=["lang_pred", "score", "off"])
+            tidy()
 
     return F.arrow_udf(run, "lang_pred string, score double, off double")
 

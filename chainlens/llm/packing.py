@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import longs, range_index, ship, table, weighted_splitters, written
+from .common import longs, pieces, range_index, ship, table, weighted_splitters, written
 
 LENGTH = 2048
 END = 1  # the id after each document
@@ -131,9 +131,8 @@ def _encode(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signs = words_of(path), _directions()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+        for some in pieces(batches):
+            if some.num_rows:
                 ids, points = [], np.zeros((some.num_rows, DIMENSIONS))
                 for i, text in enumerate(some.column(1)):
                     ids.append(words.ids(text.as_py()))
@@ -150,10 +149,9 @@ def _encode(path: str):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, first (its first id's place among all), kind, ids to PIECE."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
+    for some in pieces(batches):
+        if some.num_rows:
             out: list[tuple] = []
-            some = batch.slice(at, 1000)
             for doc_id, first, kind, ids in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = np.frombuffer(ids, f"<u{kind}").astype("<u4").tobytes()
                 n = len(raw) // 4

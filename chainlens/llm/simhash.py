@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table, written
+from .common import pieces, ship, table, tidy, written
 
 WORDS = 4
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array(np.array([fingerprint_of(t.as_py()) for t in batch], np.uint64).view(np.int64))
+        tidy()
 
 
 def fingerprint() -> Column:
@@ -166,6 +167,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, _ = solve(held, True)
         if out is not None:
             yield out
+    tidy()
 
 
 def block_masks(agreeing: int, distance: int = DISTANCE) -> list[int]:
@@ -334,6 +336,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group, keys, sets = name, [], []
             keys.append(key)
             sets.append(np.frombuffer(shingles, np.uint64))
+        tidy()
     yield from solve()
 
 

@@ -9,10 +9,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, pieces, ship, table, written
+from .common import LONG_MIN, pieces, ship, table, tidy, written
 
 WINDOW = 35
 GRAM = 6
@@ -192,6 +192,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((content, times, words))
         yield _masks(out)
         out.clear()
+        tidy()
     if rows:
         flush()
         yield _masks(out)
@@ -324,6 +325,12 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def _cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, spans in columns:
         yield pa.array([_without(t.as_py(), s.as_py()) if t.is_valid and s.is_valid and len(s) else t.as_py() for t, s in zip(texts, spans, strict=True)], pa.string())
+        tidy()
+
+
+def _cut_of(text: str, spans: str) -> Column:
+    """Marked as one whose result may differ, so that no filter on it is pushed down to compute it again."""
+    return F.arrow_udf(_cut, "string").asNondeterministic()(text, spans)
 
 
 def _without(text: str, spans: Iterable[dict]) -> str:
@@ -350,7 +357,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     others = [F.col(f"`{c}`") for c in columns if c != "text"]
     rows = keyed(docs.select(F.struct(*others).alias("row"), "doc_id", "text")).drop("doc_id")
-    rows = repeats(rows).withColumn("left", F.arrow_udf(_cut, "string")("text", "spans"))
+    rows = repeats(rows).withColumn("left", _cut_of("text", "spans"))
     rows = rows.where(F.col("spans").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left").cast("long")) if "n_chars" in columns else None
     new = {"text": F.col("left"), "n_chars": length}

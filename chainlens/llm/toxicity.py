@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table, written
+from .common import pieces, ship, table, tidy, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)  # letters of the word starts that are features beside whole words
@@ -206,6 +206,7 @@ def grade(model: Broadcast) -> Column:
             over = 1 / (1 + np.exp(np.clip(cuts - s[:, None], -30, 30)))
             each = -np.diff(np.hstack([np.ones((len(s), 1)), over, np.zeros((len(s), 1))]), axis=1)
             yield pa.StructArray.from_arrays([pa.array(over.sum(1)), pa.array(over[:, 0].copy()), pa.array(each.argmax(1).astype(np.int32))], names=["severity", "p_toxic", "grade"])
+            tidy()
 
     return F.arrow_udf(run, "severity double, p_toxic double, grade int")
 
