@@ -174,8 +174,8 @@ def rules_override(spark: SparkSession, sf: str) -> DataFrame:
     """Rules of one table replaced in place by those of another, and new ones put after them."""
     nation = table(spark, sf, "nation")
     defaults = nation.select(F.col("n_name").alias("id"), F.lit("low").alias("severity"), F.col("n_nationkey").cast("int").alias("ord"))
-    segments = table(spark, sf, "customer").select("c_mktsegment").distinct()
-    new = segments.select(F.col("c_mktsegment").alias("id"), F.lit("high").alias("severity"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("c_mktsegment")) - 1).alias("ord"))
+    segments = table(spark, sf, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s")).select(F.posexplode("s").alias("at", "c_mktsegment"))  # rules are a short table
+    new = segments.select(F.col("c_mktsegment").alias("id"), F.lit("high").alias("severity"), F.col("at").alias("ord"))
     own = new.unionByName(nation.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("id"), F.lit("high").alias("severity"), (F.col("n_nationkey") + 100).cast("int").alias("ord")))
     return rules.overridden(defaults, own)
 
@@ -384,17 +384,24 @@ def section_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- text ----------------------------------------------------------------------------------------------------------
 
+# The secrets' patterns as an engine of regular expressions without looking around writes them.
+_SECRETS = (
+    (r"(?i)\b([A-Z0-9_]*(?:PASSWORD|PASSWD|SECRET|TOKEN|APIKEY|API_KEY|AUTH|CREDENTIAL|PRIVATE_KEY)[A-Z0-9_]*)=([^\s;|&]+)", r"\1=<redacted>"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "<redacted>"),
+    (r"\bgh[opsur]_[A-Za-z0-9]{36,}\b", "<redacted>"),
+    (r"(?i)(bearer)\s+([A-Za-z0-9._\-]+)", r"\1 <redacted>"),
+)
 _SECRETS_SQL = "{}"
-for _pattern, _put in redact.SECRETS:
-    _SECRETS_SQL = "regexp_replace(" + _SECRETS_SQL + ", '" + _pattern.replace("{", "{{").replace("}", "}}") + "', '" + _put.replace("$1", "\\1") + "', 'g')"
+for _pattern, _put in _SECRETS:
+    _SECRETS_SQL = f"regexp_replace({_SECRETS_SQL}, '" + _pattern.replace("{", "{{").replace("}", "}}") + f"', '{_put}', 'g')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, text || chr(10) || 'MYSQL_PASSWORD=' || doc_id || ' backup.sh; Authorization: Bearer abc.' || doc_id || ' key AKIA' || lpad(doc_id::VARCHAR, 16, '0') AS t FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, text || chr(10) || 'MYSQL_PASSWORD=' || doc_id || ' backup.sh; Authorization: Bearer abc.' || doc_id || ' key AKIA' || lpad(doc_id::VARCHAR, 16, '0') || chr(10) || 'éAPI_TOKEN=' || doc_id || ' éAKIA' || lpad(doc_id::VARCHAR, 16, 'A') || ' xAKIA' || lpad(doc_id::VARCHAR, 16, 'A') || ' ñghp_' || repeat('a', 36) AS t FROM documents)
 SELECT doc_id, sha256({_SECRETS_SQL.format("t")}) AS redacted_sha256, {_SECRETS_SQL.format("t")} <> t AS changed FROM d""")
 def redact_text(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in whole texts replaced."""
     doc_id = F.col("doc_id").cast("string")
-    line = F.concat("text", F.lit("\nMYSQL_PASSWORD="), doc_id, F.lit(" backup.sh; Authorization: Bearer abc."), doc_id, F.lit(" key AKIA"), F.lpad(doc_id, 16, "0"))
+    line = F.concat("text", F.lit("\nMYSQL_PASSWORD="), doc_id, F.lit(" backup.sh; Authorization: Bearer abc."), doc_id, F.lit(" key AKIA"), F.lpad(doc_id, 16, "0"), F.lit("\néAPI_TOKEN="), doc_id, F.lit(" éAKIA"), F.lpad(doc_id, 16, "A"), F.lit(" xAKIA"), F.lpad(doc_id, 16, "A"), F.lit(" ñghp_" + "a" * 36))
     rows = table(spark, sf, "documents").select("doc_id", line.alias("t")).withColumn("r", redact.redacted(F.col("t")))
     return rows.select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), (F.col("r") != F.col("t")).alias("changed"))
 
@@ -412,10 +419,12 @@ def glob_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", (~text.matches_any(F.col("p_name"), ["*a*[0-9]", "?art*[^1-5]"])).alias("kept"))
 
 
-@query(None)
+@query("""SELECT event_id, sha256('{"a":{"n":' || event_id % 7 || ',"x":[' || event_id * 1000 || ',null,' || event_id || '.5]},"k":' || regexp_extract(props, '[0-9]+') || ',"t":"1.0E3 x"}') AS hash FROM events""")
 def canonical_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashes of canonical JSON; SQL has no such form, so golden vectors test it."""
-    return table(spark, sf, "events").select("event_id", canon.document_hash(F.col("props")).alias("hash"))
+    """Hashes of canonical JSON: keys out of order, spaces, exponents, and zeros at the end of fractions."""
+    k = F.col("event_id").cast("string")
+    raw = F.concat(F.lit('{ "t": "1.0E3 x", "a": {"x": [ '), k, F.lit("e3, null, "), k, F.lit('.50], "n": '), (F.col("event_id") % 7).cast("string"), F.lit(".0}, "), F.expr("substring(props, 2)"))
+    return table(spark, sf, "events").select("event_id", canon.document_hash(raw).alias("hash"))
 
 
 @query("SELECT event_id, (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles')::DATE::VARCHAR AS day FROM events WHERE ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' >= TIMESTAMP '2024-01-10' AND ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' < TIMESTAMP '2024-01-12'")
@@ -438,13 +447,17 @@ def timer_display(spark: SparkSession, sf: str) -> DataFrame:
 # --- parsers -------------------------------------------------------------------------------------------------------
 
 
+PER_FILE = 1000  # keys of a table that one raw file holds, so that files grow in number and not in length
+
+
 def files(rows: DataFrame, path: str | Column, line: Column, by: str, order: str, header: str = "") -> DataFrame:
-    """A raw file for each value of by, a line for each of its rows."""
-    made = rows.groupBy(F.col(by).cast("string").alias("host_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    """A raw file for each value of by and block of keys, a line for each of its rows."""
+    host = F.concat(F.col(by).cast("string"), F.lit("-"), F.expr(f"{order} div {PER_FILE}").cast("string"))
+    made = rows.groupBy(host.alias("host_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
     return made.select("host_id", F.lit(0).alias("ts"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.concat(F.lit(header), "content").alias("content"))
 
 
-@query("SELECT c_nationkey::VARCHAR AS host_id, c_name AS name, c_custkey AS uid, c_nationkey::BIGINT AS gid, '' AS gecos, '/home/' || c_name AS home, '/bin/' || lower(c_mktsegment) AS shell FROM customer WHERE c_custkey % 7 <> 0")
+@query("SELECT c_nationkey || '-' || c_custkey // 1000 AS host_id, c_name AS name, c_custkey AS uid, c_nationkey::BIGINT AS gid, '' AS gecos, '/home/' || c_name AS home, '/bin/' || lower(c_mktsegment) AS shell FROM customer WHERE c_custkey % 7 <> 0")
 def parse_passwd(spark: SparkSession, sf: str) -> DataFrame:
     """passwd lines, some of them comments or short."""
     k = F.col("c_custkey").cast("string")
@@ -452,7 +465,7 @@ def parse_passwd(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.users(files(table(spark, sf, "customer"), "/etc/passwd", line, "c_nationkey", "c_custkey")).drop("ts", "pos")
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, s_name AS name, s_suppkey AS gid, array_to_string(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE ['a' || s_suppkey, 'root', 'z'] END, ',') AS members FROM supplier")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, s_name AS name, s_suppkey AS gid, array_to_string(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE ['a' || s_suppkey, 'root', 'z'] END, ',') AS members FROM supplier")
 def parse_group(spark: SparkSession, sf: str) -> DataFrame:
     """group lines, members sorted."""
     k = F.col("s_suppkey").cast("string")
@@ -461,7 +474,7 @@ def parse_group(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("host_id", "name", "gid", F.array_join("members", ",").alias("members"))
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, s_suppkey % 60 || ' 1 * * *' AS schedule, 'root' AS \"user\", 'API_TOKEN=<redacted> run ' || s_name AS command FROM supplier WHERE s_suppkey % 5 > 1 UNION ALL SELECT s_nationkey::VARCHAR, '@daily', 'u' || s_suppkey, 'run ' || s_name FROM supplier WHERE s_suppkey % 5 = 1")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, s_suppkey % 60 || ' 1 * * *' AS schedule, 'root' AS \"user\", 'API_TOKEN=<redacted> run ' || s_name AS command FROM supplier WHERE s_suppkey % 5 > 1 UNION ALL SELECT s_nationkey || '-' || s_suppkey // 1000, '@daily', 'u' || s_suppkey, 'run ' || s_name FROM supplier WHERE s_suppkey % 5 = 1")
 def parse_cron(spark: SparkSession, sf: str) -> DataFrame:
     """crontab lines with users, assignments left out, secrets redacted."""
     k = F.col("s_suppkey")
@@ -470,7 +483,7 @@ def parse_cron(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.cron_jobs(files(table(spark, sf, "supplier"), "/etc/crontab", line, "s_nationkey", "s_suppkey")).drop("ts", "pos", "source")
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, '/dev/sd' || s_suppkey AS source, '/mnt/a ' || s_name AS mount_point, 'ext4' AS fs_type, 'relatime,rw' AS mount_options, 'rw,seclabel' AS super_options FROM supplier WHERE s_suppkey % 4 <> 0")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, '/dev/sd' || s_suppkey AS source, '/mnt/a ' || s_name AS mount_point, 'ext4' AS fs_type, 'relatime,rw' AS mount_options, 'rw,seclabel' AS super_options FROM supplier WHERE s_suppkey % 4 <> 0")
 def parse_mountinfo(spark: SparkSession, sf: str) -> DataFrame:
     """Mount table lines with optional fields, escapes and credentials; kernel file systems left out."""
     k = F.col("s_suppkey")
@@ -482,7 +495,7 @@ def parse_mountinfo(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.audit_mounts(rows).drop("ts", "pos")
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, 'm' || s_suppkey AS name, (s_suppkey * 4096)::DECIMAL(20,0)::VARCHAR AS size, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'a,b' END AS dependencies FROM supplier")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, 'm' || s_suppkey AS name, (s_suppkey * 4096)::DECIMAL(20,0)::VARCHAR AS size, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'a,b' END AS dependencies FROM supplier")
 def parse_modules(spark: SparkSession, sf: str) -> DataFrame:
     """Module lines with sorted dependencies."""
     k = F.col("s_suppkey")
@@ -491,7 +504,7 @@ def parse_modules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("host_id", "name", F.col("size").cast("string").alias("size"), F.array_join("dependencies", ",").alias("dependencies"))
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, CASE WHEN s_suppkey % 9 = 0 THEN '0.0.0.0/0' ELSE '10.0.' || s_suppkey % 256 || '.0/24' END AS destination, CASE WHEN s_suppkey % 2 = 0 THEN '10.0.0.1' ELSE '' END AS gateway, 'eth' || s_suppkey % 4 AS device, 'dhcp' AS protocol, s_suppkey AS metric FROM supplier")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, CASE WHEN s_suppkey % 9 = 0 THEN '0.0.0.0/0' ELSE '10.0.' || s_suppkey % 256 || '.0/24' END AS destination, CASE WHEN s_suppkey % 2 = 0 THEN '10.0.0.1' ELSE '' END AS gateway, 'eth' || s_suppkey % 4 AS device, 'dhcp' AS protocol, s_suppkey AS metric FROM supplier")
 def parse_route(spark: SparkSession, sf: str) -> DataFrame:
     """Route lines by their keywords."""
     k = F.col("s_suppkey")
@@ -500,7 +513,7 @@ def parse_route(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.routes(files(table(spark, sf, "supplier"), "ip-route", line, "s_nationkey", "s_suppkey")).drop("ts", "pos")
 
 
-@query("SELECT s_nationkey::VARCHAR AS host_id, s_suppkey % 60000 AS port, 'tcp' AS protocol, '127.0.' || (s_suppkey // 256) % 256 || '.' || s_suppkey % 256 AS address, s_suppkey AS inode FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS host_id, s_suppkey % 60000 AS port, 'tcp' AS protocol, '127.0.' || (s_suppkey // 256) % 256 || '.' || s_suppkey % 256 AS address, s_suppkey AS inode FROM supplier WHERE s_suppkey % 3 = 0")
 def parse_socket_hex(spark: SparkSession, sf: str) -> DataFrame:
     """Listening sockets with hexadecimal addresses."""
     k = F.col("s_suppkey")

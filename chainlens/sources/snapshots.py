@@ -62,8 +62,8 @@ def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_raw_files(files: DataFrame, root: str) -> None:
-    """Raw files (host_id, ts, path, content) in the second of read_raw_files' layouts."""
-    files.select("host_id", "ts", "path", "content").write.partitionBy("host_id", "ts", "path").option("lineSep", "").mode("append").text(root)
+    """Raw files (host_id, ts, path, content) in the second of read_raw_files' layouts; each ends in a line end."""
+    files.select("host_id", "ts", "path", F.regexp_replace("content", "\n$", "").alias("content")).write.partitionBy("host_id", "ts", "path").mode("append").text(root)
 
 
 def readable() -> Column:
