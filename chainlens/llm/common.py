@@ -37,14 +37,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _made(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_chainlens_tables"):
+        context._chainlens_tables = []
+    return context._chainlens_tables
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/chainlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """The scratch tables of this session that are still there, in the order in which they were written."""
+    return [*_made(spark)]
+
+
+def clear(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes scratch tables. What still reads them fails afterwards, so its results must be written first."""
+    for path in tables:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _made(spark):
+            _made(spark).remove(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once a session, so that Python tasks import it wherever they run."""
     context = spark.sparkContext
