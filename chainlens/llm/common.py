@@ -103,13 +103,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _long(v: int) -> str:
+    return f"{v}L" if v > LONG_MIN else f"(-{2**63 - 1}L - 1L)"
+
+
 def longs(values: list[int]) -> Column:
     """A literal array<bigint>."""
-    return F.expr("array(" + ",".join(f"{v}L" if v > LONG_MIN else f"(-{2**63 - 1}L - 1L)" for v in values) + ")") if values else F.expr("cast(array() as array<bigint>)")
+    return F.expr("array(" + ",".join(map(_long, values)) + ")") if values else F.expr("cast(array() as array<bigint>)")
+
+
+def literals(values: list) -> Column:
+    """A literal array of longs, or of structs of longs (rows, whose names are kept)."""
+    if not values or isinstance(values[0], int):
+        return longs(values)
+    row = lambda r: "named_struct(" + ",".join(f"'{n}',{_long(v)}" for n, v in r.asDict().items()) + ")"
+    return F.expr("array(" + ",".join(map(row, values)) + ")")
 
 
-def weighted_splitters(rows: DataFrame, key: Column, weight: Column, n_ranges: int, oversample: int = 16, seed: int = 7) -> list[int]:
-    """At most n_ranges - 1 keys of rows, at equal steps of weight.
+def weighted_splitters(rows: DataFrame, key: Column, weight: Column, n_ranges: int, oversample: int = 16, seed: int = 7) -> list:
+    """At most n_ranges - 1 keys of rows (longs or structs of longs), at equal steps of weight.
 
     Each row is drawn with a chance in proportion to its weight (surely, where it is a whole step's worth), so about
     n_ranges * oversample keys reach the driver, whatever the size of rows.
@@ -130,10 +142,10 @@ def weighted_splitters(rows: DataFrame, key: Column, weight: Column, n_ranges: i
     return cuts[: n_ranges - 1]
 
 
-def range_index(key: Column, cuts: list[int]) -> Column:
+def range_index(key: Column, cuts: list) -> Column:
     """How many of the sorted cuts are at most key, by binary search: range r > 0 starts at cuts[r - 1]."""
     if not cuts:
         return F.lit(0)
-    array = longs(cuts)
+    array = literals(cuts)
     steps = [2**i for i in range(int(math.log2(len(cuts))), -1, -1)]
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(array, at + s - 1) <= key, at + s).otherwise(at))

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, WORD_GAP, let, longs, range_index, table, weighted_splitters, written
+from .common import LONG_MIN, WORD_GAP, let, literals, longs, range_index, table, weighted_splitters, written
 
 BINS = 128  # a power of two
 BITS = 8  # low-order bits kept of each bin
@@ -72,29 +72,32 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, n_ranges: int = 512, bytes_per_range: int = 2**30) -> DataFrame:
     """docs (doc_id, text, fingerprint) with next_text and next_fingerprint: those of the next row by doc_id, the first after the last.
 
-    Rows are ranged by sampled doc_ids; since a range starts at a row that was drawn, that row is also sent, marked, to
-    the end of the range before it, and no range needs to see another. Rows of the same doc_id stand in the order of a
-    hash of their texts. Null doc_id comes first.
+    Rows are ranged by sampled doc_ids and a hash of their texts, so that doc_ids that are null or repeat are no hot key;
+    since a range starts at a row that was drawn, that row is also sent, marked, to the end of the range before it, and no
+    range needs to see another. Rows of the same doc_id stand in the order of that hash. Null doc_ids come first. Only rows
+    that are the same in doc_id and text can't be parted.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(LONG_MIN + 1))
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(LONG_MIN + 1)).alias("id"), F.xxhash64("text").alias("h"))
     sizes = written(docs.select(key.alias("key"), F.octet_length("text").cast("long").alias("size")), "sizes")
     total, least = sizes.agg(F.sum(F.col("size") + 8), F.min("key")).first()
     cuts = weighted_splitters(sizes, F.col("key"), F.col("size") + 8, max(n_ranges, math.ceil((total or 0) / bytes_per_range)))
     place = lambda r, later: F.struct(r.cast("int").alias("range"), F.lit(later).alias("later"))
     r, none = F.col("_range"), F.expr("cast(array() as array<struct<range:int,later:int>>)")
-    places = F.concat(
-        F.array(place(r, 0)),
-        F.when(F.col("_key") == F.get(longs(cuts), r - 1), F.array(place(r - 1, 1))).otherwise(none),
-        F.when(F.col("_key") == F.lit(least if least is not None else 0), F.array(place(F.lit(len(cuts)), 1))).otherwise(none),
-    )
+    is_cut = (F.col("_key") == F.get(literals(cuts), r - 1)) if cuts else F.lit(False)
+    is_least = (F.col("_key") == F.get(literals([least]), F.lit(0))) if least is not None else F.lit(False)
+    places = F.concat(F.array(place(r, 0)), F.when(is_cut, F.array(place(r - 1, 1))).otherwise(none), F.when(is_least, F.array(place(F.lit(len(cuts)), 1))).otherwise(none))
     rows = docs.withColumn("_key", key).withColumn("_range", range_index(F.col("_key"), cuts)).withColumn("_place", F.explode(places))
     rows = rows.select("doc_id", "text", "fingerprint", "_key", F.col("_place.range").alias("_range"), F.col("_place.later").alias("_later"))
-    order = Window.partitionBy("_range").orderBy("_later", "_key", F.xxhash64("text"))
+    order = Window.partitionBy("_range").orderBy("_later", "_key")
     rows = rows.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
     return rows.where("_later = 0").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their edited texts. Null text is empty and has the fingerprint ''; equal texts have equal ones.
+
+    Repeated rows each have their own next row; with one document it is its own next one; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))))
     n = F.char_length("text")

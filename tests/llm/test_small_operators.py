@@ -234,3 +234,19 @@ def test_fingerprint_edges(spark, edges):
     assert {len(r.a) for r in rows.collect()} == {0, 2 * minhash.BINS}
     made = minhash.with_next(edges.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("f").alias("fingerprint")), n_ranges=3).collect()
     assert len(made) == len(EDGES) and all(r.next_text is not None for r in made)
+
+
+def test_next_of_null_and_repeated_ids(spark):
+    """A third of rows without doc_id and a third of one doc_id are parted by their texts; each row has the one after it."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.col("text"))
+    got = minhash.with_next(docs, n_ranges=20).collect()
+    assert sorted(r.text for r in got) == sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    after = {r.text: r.next_text for r in got}
+    ids = {t: -1 if i is None else i for i, t in rows}
+    seen, t = [], min(after, key=lambda t: (ids[t], t))
+    for _ in rows:
+        seen.append(ids[t])
+        t = after[t]
+    turn = seen.index(min(seen)) if seen[0] != min(seen) else 0
+    assert sum(a > b for a, b in zip(seen, seen[1:], strict=False)) <= 1 and len(set(after)) == 120 and turn >= 0
