@@ -10,11 +10,17 @@ from ..sources import snapshots as source
 from .queries import chained, files, query, table
 from .streams import _folder
 
-_K = F.col("s_suppkey")
-_S = _K.cast("string")
 _HOST = "s_nationkey || '-' || s_suppkey // 1000"
 
 
+def _k() -> Column:
+    return F.col("s_suppkey")
+
+
+def _s() -> Column:
+    return _k().cast("string")
+
+
 def _suppliers(spark: SparkSession, sf: str, path: str | Column, line: Column, header: str = "") -> DataFrame:
     return files(table(spark, sf, "supplier"), path, line, "s_nationkey", "s_suppkey", header)
 
@@ -31,9 +37,9 @@ def _cat(*parts: Column | str) -> Column:
 @query(f"""SELECT {_HOST} AS host_id, CASE WHEN s_suppkey % 2 = 0 THEN '/etc/sudoers' ELSE '/etc/sudoers.d/a' END AS source, 'u' || s_suppkey || ' ALL=(ALL) ' || s_name AS line FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 6""")
 def parse_sudoers(spark: SparkSession, sf: str) -> DataFrame:
     """Lines folded at a backslash, comments and blanks left out, drop-in files with a dot or a tilde not read."""
-    line = F.when(_K % 5 == 0, _cat("# ", F.col("s_name"))).otherwise(_cat("  u", _S, "\tALL=(ALL) \\\n   ", F.col("s_name")))
+    line = F.when(_k() % 5 == 0, _cat("# ", F.col("s_name"))).otherwise(_cat("  u", _s(), "\tALL=(ALL) \\\n   ", F.col("s_name")))
     path = F.when(F.col("side") == 6, "/etc/sudoers.d/a.bak").when(F.col("even") == 0, "/etc/sudoers").otherwise("/etc/sudoers.d/a")
-    rows = table(spark, sf, "supplier").withColumn("even", _K % 2).withColumn("side", _K % 7).withColumn("path", path)
+    rows = table(spark, sf, "supplier").withColumn("even", _k() % 2).withColumn("side", _k() % 7).withColumn("path", path)
     made = rows.groupBy(_cat(F.col("s_nationkey").cast("string"), "-", F.expr("s_suppkey div 1000").cast("string")).alias("host_id"), "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
     return parsers.sudoers(made.withColumn("ts", F.lit(0))).select("host_id", "source", "line")
 
@@ -42,9 +48,9 @@ def parse_sudoers(spark: SparkSession, sf: str) -> DataFrame:
 FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0""")
 def parse_timers(spark: SparkSession, sf: str) -> DataFrame:
     """Timer units: keys by section, the last value of a key, comments; files without [Timer] and saved copies left out."""
-    body = F.when(_K % 2 == 0, "OnCalendar=daily\n;OnCalendar=x\nOnCalendar = weekly\n").otherwise(_cat("OnBootSec=", _S, "min\n"))
-    content = _cat("[Unit]\nDescription=D ", F.col("s_name"), "\nOnCalendar=never\n", F.when(_K % 3 == 0, "").otherwise(_cat("[Timer]\n# no\n", body)))
-    path = _cat("/etc/systemd/system/", F.when(_K % 5 == 0, ".").otherwise(""), "t", _S, ".timer")
+    body = F.when(_k() % 2 == 0, "OnCalendar=daily\n;OnCalendar=x\nOnCalendar = weekly\n").otherwise(_cat("OnBootSec=", _s(), "min\n"))
+    content = _cat("[Unit]\nDescription=D ", F.col("s_name"), "\nOnCalendar=never\n", F.when(_k() % 3 == 0, "").otherwise(_cat("[Timer]\n# no\n", body)))
+    path = _cat("/etc/systemd/system/", F.when(_k() % 5 == 0, ".").otherwise(""), "t", _s(), ".timer")
     rows = parsers.timers(_own_files(spark, sf, path, content))
     return rows.select("host_id", "unit_file", "description", "on_calendar", "on_boot_sec", "unit")
 
@@ -52,7 +58,7 @@ def parse_timers(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT {_HOST} AS host_id, string_agg('10.0.' || s_suppkey || '.1', ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 0) AS nameservers, string_agg('a' || s_suppkey || '.example,b.example', ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 1) AS search_domains FROM supplier GROUP BY ALL""")
 def parse_dns(spark: SparkSession, sf: str) -> DataFrame:
     """Name servers and search domains in the order of their lines."""
-    line = F.when(_K % 2 == 0, _cat("nameserver 10.0.", _S, ".1\n; no")).otherwise(_cat("search  a", _S, ".example b.example"))
+    line = F.when(_k() % 2 == 0, _cat("nameserver 10.0.", _s(), ".1\n; no")).otherwise(_cat("search  a", _s(), ".example b.example"))
     rows = parsers.dns(_suppliers(spark, sf, "/etc/resolv.conf", line, "# made\n"))
     some = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
     return rows.select("host_id", some("nameservers").alias("nameservers"), some("search_domains").alias("search_domains"))
@@ -61,7 +67,7 @@ def parse_dns(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_nationkey::VARCHAR AS host_id, 'net.ipv4.x' || s_suppkey AS param, s_name AS value FROM supplier")
 def parse_sysctl(spark: SparkSession, sf: str) -> DataFrame:
     """Kernel parameters, a file each, named by their paths."""
-    rows = parsers.kernel_params(_own_files(spark, sf, _cat("/proc/sys/net/ipv4/x", _S), _cat(F.col("s_name"), "\n")))
+    rows = parsers.kernel_params(_own_files(spark, sf, _cat("/proc/sys/net/ipv4/x", _s()), _cat(F.col("s_name"), "\n")))
     return rows.select("host_id", F.explode("kernel_params").alias("param", "value"))
 
 
@@ -69,7 +75,7 @@ def parse_sysctl(spark: SparkSession, sf: str) -> DataFrame:
 SELECT host_id, 'p' || k AS name, CASE WHEN deb THEN 'd' ELSE 'r' END || n AS version FROM d WHERE k % 4 <> 3""")
 def parse_packages(spark: SparkSession, sf: str) -> DataFrame:
     """Package listings: dpkg's counts where there is one, rpm's elsewhere; ignored names and short lines left out."""
-    line = lambda tag: F.when(_K % 4 == 3, F.when(_K % 8 == 3, _cat("short", _S)).otherwise(_cat("ignored", _S, "\t1"))).otherwise(_cat("p", _S, "\t", tag, F.col("s_name")))
+    line = lambda tag: F.when(_k() % 4 == 3, F.when(_k() % 8 == 3, _cat("short", _s())).otherwise(_cat("ignored", _s(), "\t1"))).otherwise(_cat("p", _s(), "\t", tag, F.col("s_name")))
     even = table(spark, sf, "supplier").where("s_nationkey % 2 = 0")
     both = files(even, "dpkg-query", line("d"), "s_nationkey", "s_suppkey").unionByName(_suppliers(spark, sf, "rpm", line("r")))
     return parsers.packages(both, ["ignored*"]).select("host_id", "name", "version")
@@ -78,7 +84,7 @@ def parse_packages(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT {_HOST} AS host_id, 'svc' || s_suppkey || '.service' AS unit, CASE WHEN s_suppkey % 2 = 0 THEN 'active (running)' ELSE 'failed (dead)' END AS state FROM supplier WHERE s_suppkey % 5 <> 0")
 def parse_services(spark: SparkSession, sf: str) -> DataFrame:
     """Unit listings."""
-    line = F.when(_K % 5 == 0, "too short").otherwise(_cat("  svc", _S, ".service loaded ", F.when(_K % 2 == 0, "active running").otherwise("failed dead"), " Some words"))
+    line = F.when(_k() % 5 == 0, "too short").otherwise(_cat("  svc", _s(), ".service loaded ", F.when(_k() % 2 == 0, "active running").otherwise("failed dead"), " Some words"))
     return parsers.services(_suppliers(spark, sf, "units", line)).select("host_id", "unit", "state")
 
 
@@ -86,9 +92,9 @@ def parse_services(spark: SparkSession, sf: str) -> DataFrame:
 SELECT host_id, state, process, '127.0.0.' || r AS remote_addr, 80 + r AS remote_port, 'tcp' AS protocol, min(k) % 60000 AS local_port FROM l GROUP BY ALL""")
 def parse_connections(spark: SparkSession, sf: str) -> DataFrame:
     """Connections with their processes, of those to one remote end in one state the first."""
-    line = _cat("  1: 0100007F:", F.lpad(F.hex(_K % 60000), 4, "0"), " ", F.lpad(F.hex(_K % 4), 2, "0"), "00007F:", F.lpad(F.hex(80 + _K % 4), 4, "0"), F.when(_K % 3 == 0, " 01").when(_K % 3 == 1, " 02").otherwise(" 06"), " 0:0 00:0 0 0 0 ", _S, " 1")
+    line = _cat("  1: 0100007F:", F.lpad(F.hex(_k() % 60000), 4, "0"), " ", F.lpad(F.hex(_k() % 4), 2, "0"), "00007F:", F.lpad(F.hex(80 + _k() % 4), 4, "0"), F.when(_k() % 3 == 0, " 01").when(_k() % 3 == 1, " 02").otherwise(" 06"), " 0:0 00:0 0 0 0 ", _s(), " 1")
     host = _cat(F.col("s_nationkey").cast("string"), "-", F.expr("s_suppkey div 1000").cast("string"))
-    owners = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(host.alias("host_id"), F.lit(0).alias("ts"), _K.alias("inode"), _cat("p", (_K % 8).cast("string")).alias("process"), F.lit(0).alias("pos"))
+    owners = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(host.alias("host_id"), F.lit(0).alias("ts"), _k().alias("inode"), _cat("p", (_k() % 8).cast("string")).alias("process"), F.lit(0).alias("pos"))
     late = owners.withColumn("process", F.lit("late")).withColumn("pos", F.lit(1))
     rows = parsers.connections(_suppliers(spark, sf, "/proc/net/tcp", line, "  sl\n"), owners.unionByName(late))
     return rows.select("host_id", "state", "process", "remote_addr", "remote_port", "protocol", "local_port")
@@ -98,8 +104,8 @@ def parse_connections(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT {_HOST}, 'eth' || s_suppkey, 'ff02::' || CASE WHEN s_suppkey = 0 THEN '' ELSE printf('%x', s_suppkey % 65536) END FROM supplier WHERE s_suppkey % 65536 <> 0 OR s_suppkey = 0""")
 def parse_multicast(spark: SparkSession, sf: str) -> DataFrame:
     """IPv4 groups below their interface's line, and IPv6 ones."""
-    four = _cat(_S, "\teth", _S, "      :     1      V3\n\t\t\t\t", F.lpad(F.hex(_K % 256), 2, "0"), "0000E0     1 0:00000000\t\t0")
-    six = F.when((_K % 65536 != 0) | (_K == 0), _cat(_S, "    eth", _S, "            ff020000000000000000000000", F.lpad(F.lower(F.hex(_K % 65536)), 6, "0"), "     1 0000000C 0")).otherwise("x")
+    four = _cat(_s(), "\teth", _s(), "      :     1      V3\n\t\t\t\t", F.lpad(F.hex(_k() % 256), 2, "0"), "0000E0     1 0:00000000\t\t0")
+    six = F.when((_k() % 65536 != 0) | (_k() == 0), _cat(_s(), "    eth", _s(), "            ff020000000000000000000000", F.lpad(F.lower(F.hex(_k() % 65536)), 6, "0"), "     1 0000000C 0")).otherwise("x")
     rows = _suppliers(spark, sf, "/proc/net/igmp", four, "Idx\tDevice\n").unionByName(_suppliers(spark, sf, "/proc/net/igmp6", six))
     return parsers.multicast_groups(rows).select("host_id", "interface", "group")
 
@@ -108,7 +114,7 @@ def parse_multicast(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT s_nationkey::VARCHAR || '-' || s_suppkey, NULL, NULL, NULL, true FROM supplier WHERE s_suppkey % 3 = 0""")
 def parse_cpu(spark: SparkSession, sf: str) -> DataFrame:
     """The cpu line's ticks, bad ones 0; hosts whose line is too short are reported."""
-    rows = table(spark, sf, "supplier").select(_cat(F.col("s_nationkey").cast("string"), "-", _S).alias("host_id"), F.lit(0).alias("ts"), F.lit("/proc/stat").alias("path"), F.when(_K % 3 == 0, "cpu  1 2 3\ncpu0 1 2 3 4").otherwise(_cat("cpu  ", _S, " 2 3 ", F.when(_K % 4 == 0, "-1").otherwise("18446744073709551615"), " 5\ncpu0 9 9 9 9 9")).alias("content"))
+    rows = table(spark, sf, "supplier").select(_cat(F.col("s_nationkey").cast("string"), "-", _s()).alias("host_id"), F.lit(0).alias("ts"), F.lit("/proc/stat").alias("path"), F.when(_k() % 3 == 0, "cpu  1 2 3\ncpu0 1 2 3 4").otherwise(_cat("cpu  ", _s(), " 2 3 ", F.when(_k() % 4 == 0, "-1").otherwise("18446744073709551615"), " 5\ncpu0 9 9 9 9 9")).alias("content"))
     found = parsers.cpu(rows).select("host_id", *[F.col(c).cast("string").alias(n) for c, n in (("user", "user_ticks"), ("idle", "idle"), ("guest", "guest"))], F.lit(False).alias("short"))
     bad = parsers.short_cpu(rows).select("host_id", *[F.lit(None).cast("string").alias(n) for n in ("user_ticks", "idle", "guest")], F.lit(True).alias("short"))
     return found.unionByName(bad)
@@ -118,37 +124,37 @@ def parse_cpu(spark: SparkSession, sf: str) -> DataFrame:
 SELECT host_id, pid, 'S' AS state, rss::VARCHAR AS rss_kb, rank, total_count FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY rss DESC, pid) AS rank, count(*) OVER (PARTITION BY host_id) AS total_count FROM p) WHERE rank <= 20""")
 def parse_processes(spark: SparkSession, sf: str) -> DataFrame:
     """Processes, those without a name left out: how many, and the 20 with most memory."""
-    content = _cat(F.when(_K % 4 == 0, "").otherwise(_cat("Name:\t", F.col("s_name"), "\n")), "State:\tS (sleeping)\nPPid:\t1\nVmRSS:\t   ", ((_K * 7) % 1000).cast("string"), " kB\n")
-    rows = inventory.process_totals(parsers.processes(_own_files(spark, sf, _cat("/proc/", _S, "/status"), content)))
+    content = _cat(F.when(_k() % 4 == 0, "").otherwise(_cat("Name:\t", F.col("s_name"), "\n")), "State:\tS (sleeping)\nPPid:\t1\nVmRSS:\t   ", ((_k() * 7) % 1000).cast("string"), " kB\n")
+    rows = inventory.process_totals(parsers.processes(_own_files(spark, sf, _cat("/proc/", _s(), "/status"), content)))
     return rows.select("host_id", "pid", "state", F.col("rss_kb").cast("string").alias("rss_kb"), F.col("rank").cast("long").alias("rank"), "total_count")
 
 
 @query("SELECT s_nationkey::VARCHAR AS host_id, 'eth' || s_suppkey AS interface, 'ixgbe' AS driver, s_suppkey::VARCHAR AS version, s_name || ' x' AS fw_version FROM supplier WHERE s_suppkey % 3 <> 0")
 def parse_nic_drivers(spark: SparkSession, sf: str) -> DataFrame:
     """Drivers of interfaces; output without a driver left out."""
-    content = _cat(F.when(_K % 3 == 0, "").otherwise("driver: ixgbe\n"), "version: ", _S, "\nfirmware-version: ", F.col("s_name"), " x\n")
-    return parsers.nic_drivers(_own_files(spark, sf, _cat("eth", _S), content)).select("host_id", "interface", "driver", "version", "fw_version")
+    content = _cat(F.when(_k() % 3 == 0, "").otherwise("driver: ixgbe\n"), "version: ", _s(), "\nfirmware-version: ", F.col("s_name"), " x\n")
+    return parsers.nic_drivers(_own_files(spark, sf, _cat("eth", _s()), content)).select("host_id", "interface", "driver", "version", "fw_version")
 
 
 @query("""SELECT 'h' || s_suppkey AS host_id, 'h' || s_suppkey AS hostname, CASE WHEN s_suppkey % 2 = 0 THEN 'OS ' || s_name ELSE 'unknown' END AS os, '5.' || s_suppkey AS kernel, CASE WHEN s_suppkey % 2 = 0 THEN 'amd64' ELSE 'riscv64' END AS arch, 'unknown' AS boot_id FROM supplier""")
 def parse_host(spark: SparkSession, sf: str) -> DataFrame:
     """A host's names and versions out of several files, unknown where there is none."""
     texts = {
-        "/etc/hostname": _cat("h", _S, "\n"),
-        "/etc/os-release": _cat("ID=x\n", F.when(_K % 2 == 0, _cat('PRETTY_NAME="OS ', F.col("s_name"), '"\n')).otherwise("")),
-        "/proc/version": _cat("Linux version 5.", _S, " (x)\n"),
-        "/proc/sys/kernel/arch": F.when(_K % 2 == 0, "x86_64\n").otherwise("riscv64\n"),
+        "/etc/hostname": _cat("h", _s(), "\n"),
+        "/etc/os-release": _cat("ID=x\n", F.when(_k() % 2 == 0, _cat('PRETTY_NAME="OS ', F.col("s_name"), '"\n')).otherwise("")),
+        "/proc/version": _cat("Linux version 5.", _s(), " (x)\n"),
+        "/proc/sys/kernel/arch": F.when(_k() % 2 == 0, "x86_64\n").otherwise("riscv64\n"),
     }
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), c.alias("content")) for p, c in texts.items()]))
-    rows = table(spark, sf, "supplier").select(_cat("h", _S).alias("host_id"), F.lit(0).alias("ts"), each.alias("f")).select("host_id", "ts", "f.*")
+    rows = table(spark, sf, "supplier").select(_cat("h", _s()).alias("host_id"), F.lit(0).alias("ts"), each.alias("f")).select("host_id", "ts", "f.*")
     return parsers.host(rows).select("host_id", "hostname", "os", "kernel", "arch", "boot_id")
 
 
 @query("""SELECT s_nationkey::VARCHAR AS host_id, 'eth' || s_suppkey AS name, 'up' AS state, CASE WHEN s_suppkey % 2 = 0 THEN 1500 ELSE 0 END AS mtu, '10.0.0.' || s_suppkey || '/24,fe80::1' AS addresses, s_suppkey::VARCHAR AS rx_bytes, '0' AS tx_bytes FROM supplier WHERE s_suppkey % 7 <> 0""")
 def parse_interfaces(spark: SparkSession, sf: str) -> DataFrame:
     """Interfaces out of one small file a value; ignored names left out."""
-    name = _cat(F.when(_K % 7 == 0, "veth").otherwise("eth"), _S)
-    texts = {"operstate": F.lit("up\n"), "mtu": F.when(_K % 2 == 0, "1500\n").otherwise("x\n"), "addresses": _cat("10.0.0.", _S, "/24,fe80::1\n"), "statistics/rx_bytes": _cat(_S, "\n"), "statistics/tx_bytes": F.lit("-5\n")}
+    name = _cat(F.when(_k() % 7 == 0, "veth").otherwise("eth"), _s())
+    texts = {"operstate": F.lit("up\n"), "mtu": F.when(_k() % 2 == 0, "1500\n").otherwise("x\n"), "addresses": _cat("10.0.0.", _s(), "/24,fe80::1\n"), "statistics/rx_bytes": _cat(_s(), "\n"), "statistics/tx_bytes": F.lit("-5\n")}
     each = F.explode(F.array(*[F.struct(_cat("/sys/class/net/", name, f"/{p}").alias("path"), c.alias("content")) for p, c in texts.items()]))
     rows = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("host_id"), F.lit(0).alias("ts"), each.alias("f")).select("host_id", "ts", "f.*")
     found = parsers.interfaces(rows, ["veth*"])
@@ -169,7 +175,7 @@ def key_file_owners(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT {_HOST} AS host_id, s_name AS name FROM supplier WHERE s_suppkey % 3 = 0")
 def groups_with_members(spark: SparkSession, sf: str) -> DataFrame:
     """Groups that have members."""
-    line = _cat(F.col("s_name"), ":x:", _S, ":", F.when(_K % 3 == 0, "a,b").otherwise(" , "))
+    line = _cat(F.col("s_name"), ":x:", _s(), ":", F.when(_k() % 3 == 0, "a,b").otherwise(" , "))
     return inventory.with_members(parsers.groups(_suppliers(spark, sf, "/etc/group", line))).select("host_id", "name")
 
 
@@ -213,7 +219,7 @@ def raw_files_to_changes(spark: SparkSession, sf: str) -> DataFrame:
 def documents_in_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files, one each, scanned again: host by the path, order by time."""
     folder = f"{_folder(spark)}/documents"
-    rows = table(spark, sf, "supplier").select(_cat("s", _S).alias("host_id"), "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
+    rows = table(spark, sf, "supplier").select(_cat("s", _s()).alias("host_id"), "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
     doc = rows.select("host_id", F.col("t").alias("day"), _cat("2026-03-2", (F.col("t") + 1).cast("string"), "T10:00:00Z").alias("timestamp"), F.lit("0" * 64).alias("prev_hash"), F.struct(_cat(F.col("s_name"), F.col("t").cast("string")).alias("hostname")).alias("host"))
     doc.repartition("host_id", "day").write.partitionBy("host_id", "day").json(folder)
     found = history.sequenced(source.snapshots(source.read_documents(spark, folder)))
