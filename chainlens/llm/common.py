@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LONG_MIN = -(2**63)
 BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,20 @@ def _made(spark: SparkSession) -> list[str]:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs nothing before it."""
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs nothing before it.
+
+    While it is written, Arrow batches are held to BATCH_ROWS, since each stands in the executor beside its heap and in the
+    worker; the session's setting is put back after.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/chainlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(rows) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     _made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
