@@ -17,12 +17,12 @@ SYMBOLS = b"#*$%&|<>"
 GAPS = b" \t\n\x0b\x0c\r"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: What a document fails by: its base, symbols (over one in ten words), repeated lines (over three in ten of those with a
+#: What a document fails by: its base, symbols (over one in ten words), repeated lines (over half of those with a
 #: word), mean word length (under 3 or over 10 code points).
 RULES = {
     "base_failed": "n_words < 20 OR 100 * n_repeat_words > 30 * n_words",
     "symbols_failed": "10 * n_symbols > n_words",
-    "lines_failed": "10 * n_dup_lines > 3 * n_lines",
+    "lines_failed": "2 * n_dup_lines > n_lines",
     "length_failed": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
 }
 SURE = 3.0  # posterior standard deviations that a host's rate must lie beyond a bound
