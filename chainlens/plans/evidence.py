@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import diff, entities, history, inventory, parsers, rules, verify
 from ..sources import snapshots as source
 from .queries import chained, files, query, table
@@ -249,3 +250,37 @@ def rules_file(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") == 3, "R08_KERNEL_PARAM_CHANGED").otherwise(F.col("n_name")).alias("id"), F.lit("own").alias("name"), F.lit("").alias("description"), F.lit("low").alias("severity"), F.lit("x").alias("section"), F.lit("any").alias("change_type"), F.lit("").alias("key_pattern"), F.lit(False).alias("pro"), F.col("n_nationkey").alias("ord"))
     source.write_rules(own, path)
     return source.read_rules(spark, path).select("id", "ord", (F.col("name") == "own").alias("own"))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as JSON texts."""
+    return source.as_json(table(spark, sf, "nation"))
+
+
+@query("SELECT event_id, 'snap-' || strftime(ts, '%Y%m%d-%H%M%S') || '-' || sha256(props)[:6] AS id FROM events")
+def snapshot_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that a retry gives again: a document's time and the start of its hash."""
+    return table(spark, sf, "events").select("event_id", text.snapshot_id(F.col("ts").cast("timestamp"), F.col("props")).alias("id"))
+
+
+@query("""SELECT user_id::VARCHAR AS host_id, ts::DATE::VARCHAR AS day, count(*) AS n, max(epoch_us(ts)) * 1000 AS last_ns FROM events WHERE event_id % 2 = 0 GROUP BY ALL""")
+def snapshots_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots added in two goes to a table by host and day, read by day."""
+    path = f"{_folder(spark)}/table"
+    ts = F.col("ts").cast("timestamp")
+    rows = table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", F.col("user_id").cast("string").alias("host_id"), (F.unix_micros(ts) * 1000).alias("ts_ns"), F.to_date(ts).alias("snap_date"))
+    for part in (0, 1):
+        source.append(rows.where(F.pmod(F.expr("event_id div 2"), F.lit(2)) == part), path)
+    back = spark.read.option("basePath", path).parquet(path)
+    return back.groupBy(F.col("host_id").cast("string").alias("host_id"), F.col("snap_date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.max("ts_ns").alias("last_ns"))
+
+
+@query("""WITH m AS (SELECT s_nationkey::VARCHAR AS host_id, '/mnt/' || s_suppkey % 3 AS point, '/dev/' || s_suppkey AS source FROM supplier)
+SELECT host_id, string_agg(point || ' ' || source, ',' ORDER BY point, source) AS mounts FROM (SELECT * FROM m) GROUP BY host_id""")
+def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays of a document in the order of their values, whatever the order of what was read."""
+    mount = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("host_id"), F.lit(0).alias("ts"), _cat("/mnt/", (_k() % 3).cast("string")).alias("mount_point"), _cat("/dev/", _s()).alias("source")).orderBy(F.rand(3))
+    docs = parsers.assembled({"mounts": mount}, mount, {"mounts": mount})
+    found = docs.select("host_id", F.from_json("document", "mounts array<struct<mount_point:string,source:string>>").alias("d"))
+    return found.select("host_id", F.array_join(F.transform("d.mounts", lambda m: F.concat(m["mount_point"], F.lit(" "), m["source"])), ",").alias("mounts"))
