@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, tidy
+from .common import cache, release, ship, table, tidy
 
 _KEPT = 48 * 2**20  # bytes that a worker's known words may take before it begins to forget; there are two such generations
 _SHORT = 64  # bytes of a word up to which one pair is contracted a step; longer words are not kept
@@ -201,7 +201,7 @@ class Merger:
         self.forget(every)
 
 
-_mergers: dict[str, Merger] = {}
+_mergers: dict[str, Merger] = cache("bpe")
 
 
 def merger(path: str) -> Merger:
@@ -220,6 +220,7 @@ def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id") ->
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("bpe")
         work = merger(path)
 
         def done(keys: list, texts: list) -> pa.RecordBatch:

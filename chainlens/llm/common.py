@@ -100,8 +100,24 @@ def tidy() -> None:
         trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+_caches: dict[str, dict] = {}
+
+
+def cache(operator: str) -> dict:
+    """What an operator's tasks keep for those that follow them in a worker."""
+    return _caches.setdefault(operator, {})
+
+
+def release(but: str = "") -> None:
+    """Drops what tasks of other operators left in this worker."""
+    for operator, kept in _caches.items():
+        if operator != but:
+            kept.clear()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, operator: str = "") -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that only a slice's texts stand beside their batch as Python objects."""
+    release(operator)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -11,7 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table, tidy
+from .common import pieces, release, ship, table, tidy
 
 BUCKETS_LOG2 = 16
 ORDERS = (1, 2, 3, 4)
@@ -175,6 +175,7 @@ def identify(model: Broadcast) -> Column:
     """
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for whole in texts:
             out = [predict(whole.slice(at, 500).to_pylist(), model.value) for at in range(0, len(whole), 500)]
             langs = pa.array([x for a, _, _ in out for x in a], pa.string())

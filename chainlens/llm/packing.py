@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import longs, pieces, range_index, ship, table, weighted_splitters, written
+from .common import cache, longs, pieces, range_index, ship, table, weighted_splitters, written
 
 LENGTH = 2048
 END = 1  # the id after each document
@@ -83,7 +83,7 @@ class Words(dict):
         return b"".join([*map(self.__getitem__, text.encode("utf-8", "replace").split()), np.array([END], self.kind).tobytes()])
 
 
-_words: dict[str, Words] = {}
+_words: dict[str, Words] = cache("packing")
 
 
 def words_of(path: str) -> Words:
@@ -131,7 +131,7 @@ def _encode(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signs = words_of(path), _directions()
-        for some in pieces(batches):
+        for some in pieces(batches, operator="packing"):
             if some.num_rows:
                 ids, points = [], np.zeros((some.num_rows, DIMENSIONS))
                 for i, text in enumerate(some.column(1)):
@@ -149,7 +149,7 @@ def _encode(path: str):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, first (its first id's place among all), kind, ids to PIECE."""
-    for some in pieces(batches):
+    for some in pieces(batches, operator="packing"):
         if some.num_rows:
             out: list[tuple] = []
             for doc_id, first, kind, ids in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):

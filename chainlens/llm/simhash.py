@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table, tidy, written
+from .common import pieces, release, ship, table, tidy, written
 
 WORDS = 4
 SEED = 42
@@ -49,6 +49,7 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
 
 
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    release()
     for batch in texts:
         yield pa.array(np.array([fingerprint_of(t.as_py()) for t in batch], np.uint64).view(np.int64))
         tidy()

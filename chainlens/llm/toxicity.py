@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, table, tidy, written
+from .common import pieces, release, ship, table, tidy, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)  # letters of the word starts that are features beside whole words
@@ -199,6 +199,7 @@ def grade(model: Broadcast) -> Column:
     """
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         weights, cuts = model.value.weights, np.array(model.value.thresholds)
         cache: dict = {}
         for batch in texts:
