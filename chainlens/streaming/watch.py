@@ -65,14 +65,14 @@ class _State:
         return self.spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
 
     def write(self, kind: str, rows: DataFrame) -> None:
-        rows.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/v={self.number}")
+        rows.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/v={self.number}")
 
     def close(self, touched: list[int]) -> None:
         now = self.before | dict.fromkeys(touched, self.number)
         self.spark.createDataFrame([*now.items()] or [], "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/{self.number}")
-        for b, version in self.before.items():
-            older = self._list(self.number - 2).get(b) if self.number > 1 and exists(self.spark, f"{self.root}/list/{self.number - 2}") else None
-            if older is not None and older != version:
+        known = self.number > 1 and exists(self.spark, f"{self.root}/list/{self.number - 2}")
+        for b, older in (self._list(self.number - 2) if known else {}).items():
+            if older != self.before.get(b):
                 for kind in ("heads", "entities"):
                     remove(self.spark, f"{self.root}/{kind}/v={older}/bucket={b}")
         remove(self.spark, f"{self.root}/list/{self.number - 3}")
