@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_quality, html, langid, minhash, negatives, packing, sharding, simhash, substring, toxicity
+from . import bpe, host_quality, html, langid, minhash, negatives, packing, sharding, simhash, substring, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": html.op8_main_text,
         "op9_packing": packing.op9_packing,
         "op10_bpe": bpe.op10_bpe,
+        "op11_prefix_trie": trie.op11_prefix_trie,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": host_quality.OP4_SQL, "op7_substring": substring.OP7_SQL, "op13_hard_negatives": negatives.OP13_SQL}
+    return {"op4_quality_rules": host_quality.OP4_SQL, "op7_substring": substring.OP7_SQL, "op11_prefix_trie": trie.OP11_SQL, "op13_hard_negatives": negatives.OP13_SQL}
