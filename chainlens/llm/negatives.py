@@ -124,7 +124,7 @@ class Best:
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1 if n else 0)
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
