@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import pieces, ship, table, tidy, written
 
 STAGES = 4  # codes of a vector, each of what the ones before leave
-PLANES = 4  # bits of an anchor's rotated components
+PLANES = 6  # bits of an anchor's rotated components
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH, WHOLE = 30, 90, 100  # negatives score from LOW to HIGH hundredths of the positive
 GROUP = 20_000  # anchors that are broadcast at once: some 25 MB at 64 components
