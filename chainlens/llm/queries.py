@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_quality, html, langid, minhash, negatives, packing, sharding, simhash, substring, toxicity, trie
+from . import bpe, host_quality, html, langid, minhash, negatives, packing, sharding, simhash, substring, suffixes, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_bpe": bpe.op10_bpe,
         "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_suffix_dedup": suffixes.op12_suffix_dedup,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
