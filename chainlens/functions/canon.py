@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,39 +10,54 @@ from pyspark.sql import functions as F
 from ..schema import GENESIS
 
 
-_TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.E+-]*|[^"0-9-]+'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: All that stays as it is: neither digit nor sign, strings, and whole numbers. What a run of it ends at is a number with a
+#: fraction or a power. Every part is possessive, so a text is read once and never again.
+_AS_IT_IS = rf'(?:[^"0-9-]++|{_STRING}|-?[0-9]++(?![.E]))'
+_ODD = r"-?[0-9]++[.E][0-9.E+-]*+"
 _CONTROL = {c: c.lower() for c in "ABCDEF"}
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number(token: Column) -> Column:
     """A number as the shortest decimal: no zero fraction, no exponent from 1e-6 up to below 1e21, and e+21, e-7 beyond."""
-    sign = F.when(F.startswith(token, F.lit("-")), "-").otherwise("")
-    bare = F.regexp_replace(token, "^-", "")
+
+    def measured(p: Column) -> Column:
+        stripped = F.ltrim(p["every"], F.lit("0"))
+        first = F.length(p["whole"]) - (F.length(p["every"]) - F.length(stripped)) - 1  # the power of ten of the first digit
+        return F.struct(F.rtrim(stripped, F.lit("0")).alias("digits"), (first + p["exponent"]).alias("at"))
+
+    def spelled(p: Column) -> Column:
+        digits, at, n = p["digits"], p["at"], F.length(p["digits"])
+        plain = F.when(at >= n - 1, F.rpad(digits, at + 1, F.lit("0"))).when(at >= 0, F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, n)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), digits)
+        power = F.concat(F.when(at < 0, "e-").otherwise("e+"), F.abs(at).cast("string"))
+        far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
+        return F.when(digits == "", "0").otherwise(F.concat(sign, F.when((at >= 21) | (at < -6), far).when(at >= 0, plain).otherwise(small)))
+
+    sign, bare = F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), F.ltrim(token, F.lit("-"))
     mantissa, exponent = F.substring_index(bare, "E", 1), F.regexp_extract(bare, "E([+-]?[0-9]+)$", 1).try_cast("int")
     whole = F.substring_index(mantissa, ".", 1)
     fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
-    every = F.concat(whole, fraction)
-    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
-    leading = F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))
-    at = F.length(whole) - leading - 1 + F.coalesce(exponent, F.lit(0))  # the power of ten of the first digit
-    n = F.length(digits)
-    plain = F.when(at >= n - 1, F.rpad(digits, at + 1, F.lit("0"))).when(at >= 0, F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, n)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), digits)
-    power = F.concat(F.when(at < 0, "e-").otherwise("e+"), F.abs(at).cast("string"))
-    far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
-    return F.when(digits == "", "0").otherwise(F.concat(sign, F.when((at >= 21) | (at < -6), far).when(at >= 0, plain).otherwise(small)))
+    parts = F.struct(whole.alias("whole"), F.concat(whole, fraction).alias("every"), F.coalesce(exponent, F.lit(0)).alias("exponent"))
+    return bound(bound(parts, measured), spelled)
 
 
-def _plain(text: Column) -> Column:
-    """Canonical JSON with its numbers as _number has them and the digits of control characters in lower case."""
+def _numbers(text: Column) -> Column:
+    """JSON with its odd numbers as _number has them; what stands between two of them is one piece."""
+    runs = F.regexp_extract_all(text, F.lit(f"{_AS_IT_IS}++|{_ODD}"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(f"^{_ODD}$"), _number(t)).otherwise(t)), "")
 
-    def token(t: Column) -> Column:
-        lower = t
-        for upper, small in _CONTROL.items():
-            lower = F.regexp_replace(lower, rf"((?<!\\)(?:\\\\)*\\u00[01]){upper}", f"$1{small}")
-        return F.when(F.startswith(t, F.lit('"')), lower).when(t.rlike("^-?[0-9].*[.E]"), _number(t)).otherwise(t)
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), token), "")
+def _controls(text: Column) -> Column:
+    """JSON with the digits of control characters in lower case."""
+    for upper, small in _CONTROL.items():
+        text = F.regexp_replace(text, rf"((?<!\\)(?:\\\\)*\\u00[01]){upper}", f"$1{small}")
+    return text
 
 
 def canonical_json(raw: Column) -> Column:
@@ -52,10 +67,11 @@ def canonical_json(raw: Column) -> Column:
     repeated key, of which no one can tell which value was meant, or with a number beyond double precision's range is
     null, so it counts as corrupt and is reported.
     """
-    text = F.to_json(F.try_parse_json(raw))
     infinite = lambda c: F.regexp_count(c, F.lit('"-?Infinity"'))
-    odd = text.rlike(r"[0-9][.E]|\\u00[01][A-F]")
-    return F.when(infinite(text) <= infinite(raw), F.when(odd, _plain(text)).otherwise(text))
+    finite = lambda t: ~F.contains(t, F.lit('Infinity"')) | (infinite(t) <= infinite(raw))
+    numbers = lambda t: F.when(t.rlike(rf"\A{_AS_IT_IS}*+-?[0-9]"), _numbers(t)).otherwise(t)
+    controls = lambda t: F.when(F.contains(t, F.lit("\\u00")) & t.rlike(r"\\u00[01][A-F]"), _controls(t)).otherwise(t)
+    return bound(F.to_json(F.try_parse_json(raw)), lambda t: F.when(finite(t), bound(numbers(t), controls)))
 
 
 def document_hash(raw: Column) -> Column:

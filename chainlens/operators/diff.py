@@ -37,25 +37,29 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     rest = ["dkey", "label", "singleton", "fields", "counters"]
     pack = lambda rows, name: rows.select(*KEY, F.struct(*rest).alias(name))
     both = pack(old, "o").join(pack(new, "n"), KEY, "full_outer")
-    single = F.coalesce(F.col("o.singleton"), F.col("n.singleton"))
-    shown = F.coalesce(F.col("o.dkey"), F.col("n.dkey"))
+    return both.select("host_id", "pair_seq", "section", F.explode(rows_of(F.col("o"), F.col("n"))).alias("c")).select("host_id", "pair_seq", "section", "c.*")
+
+
+def rows_of(o: Column, n: Column) -> Column:
+    """The rows that one entity gives, old and new side as structs (null where there is none): an array, empty if nothing differs."""
+    single = F.coalesce(o["singleton"], n["singleton"])
+    shown = F.coalesce(o["dkey"], n["dkey"])
 
     def row(kind: str, key: Column, before: Column, after: Column, counter: bool = False) -> Column:
         return F.struct(F.lit(kind).alias("type"), key.alias("key"), before.alias("old_value"), after.alias("new_value"), F.lit(counter).alias("counter"))
 
     none = F.lit("")
-    texts = lambda side: F.coalesce(F.col(f"{side}.fields"), F.expr("cast(map() as map<string,string>)"))
-    numbers = lambda side: F.coalesce(F.col(f"{side}.counters"), F.expr("cast(map() as map<string,decimal(20,0)>)"))
+    texts = lambda side: F.coalesce(side["fields"], F.expr("cast(map() as map<string,string>)"))
+    numbers = lambda side: F.coalesce(side["counters"], F.expr("cast(map() as map<string,decimal(20,0)>)"))
     zero = F.lit(0).cast("decimal(20,0)")
-    fields = F.map_zip_with(texts("o"), texts("n"), lambda k, a, b: F.struct(F.coalesce(a, none).alias("a"), F.coalesce(b, none).alias("b")))
-    counters = F.map_zip_with(numbers("o"), numbers("n"), lambda k, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b")))
+    fields = F.map_zip_with(texts(o), texts(n), lambda k, a, b: F.struct(F.coalesce(a, none).alias("a"), F.coalesce(b, none).alias("b")))
+    counters = F.map_zip_with(numbers(o), numbers(n), lambda k, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b")))
     changed = lambda pairs: F.filter(F.map_entries(pairs), lambda e: e["value"]["a"] != e["value"]["b"])
     modified = F.concat(
         F.transform(changed(fields), lambda e: row("modified", F.concat(shown, e["key"]), e["value"]["a"], e["value"]["b"])),
         F.transform(changed(counters), lambda e: row("modified", F.concat(shown, e["key"]), e["value"]["a"].cast("string"), delta_text(e["value"]["a"], e["value"]["b"]), True)),
     )
-    rows = F.when(~single & F.col("n").isNull(), F.array(row("removed", F.col("o.dkey"), F.col("o.label"), none))).when(~single & F.col("o").isNull(), F.array(row("added", F.col("n.dkey"), none, F.col("n.label")))).otherwise(modified)
-    return both.select("host_id", "pair_seq", "section", F.explode(rows).alias("c")).select("host_id", "pair_seq", "section", "c.*")
+    return F.when(~single & n.isNull(), F.array(row("removed", o["dkey"], o["label"], none))).when(~single & o.isNull(), F.array(row("added", n["dkey"], none, n["label"]))).otherwise(modified)
 
 
 def counts(found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canon import bound
 from ..functions.text import joined, quoted
 
 _NUMBER = "decimal(20,0)"
 STATS = ("rx_bytes", "tx_bytes", "rx_packets", "tx_packets", "rx_errors", "tx_errors", "rx_dropped", "tx_dropped")
 TICKS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice")
-_NO_FIELDS = "cast(map() as map<string,string>)"
-_NO_COUNTERS = "cast(map() as map<string,decimal(20,0)>)"
-_NONE = "cast(array() as array<struct<section:string,ekey:string,dkey:string,label:string,singleton:boolean,fields:map<string,string>,counters:map<string,decimal(20,0)>,pos:int>>)"
+_FIELDS = "array<struct<key:string,value:string>>"
+_COUNTERS = "array<struct<key:string,value:decimal(20,0)>>"
+_NO_FIELDS, _NO_COUNTERS = f"cast(array() as {_FIELDS})", f"cast(array() as {_COUNTERS})"
+_NONE = f"cast(array() as array<struct<section:string,ekey:string,dkey:string,label:string,singleton:boolean,fields:{_FIELDS},counters:{_COUNTERS},pos:int>>)"
 
 
 def _text(c: Column) -> Column:
@@ -30,7 +32,8 @@ def _count(c: Column) -> Column:
 
 
 def _map(columns: dict[str, Column]) -> Column:
-    return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), c)])
+    """Names and values as an array in this order, which can be compared and hashed, as a map can't."""
+    return F.array(*[F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in columns.items()])
 
 
 def _line(*parts: Column | str) -> Column:
@@ -164,7 +167,7 @@ def _sections() -> dict[str, list[Column]]:
             )
         ],
         "cpu": [_single(F.col("cpu"), "cpu", counters=_map({x: _count(F.col(f"cpu.{x}")) for x in TICKS}))],
-        **{f"kernel_counters.{p}": [_single(F.col(f"kernel_counters.{p}"), f"kernel_counters.{p}", counters=F.col(f"kernel_counters.{p}"))] for p in ("ip", "tcp", "udp")},
+        **{f"kernel_counters.{p}": [_single(F.col(f"kernel_counters.{p}"), f"kernel_counters.{p}", counters=F.map_entries(f"kernel_counters.{p}"))] for p in ("ip", "tcp", "udp")},
         "processes": [
             _single(F.col("processes"), "processes", "\u0000", {"total_count": _number(F.col("processes.total_count"))}),
             _each("processes", "processes.top_by_rss", lambda t, n, e: n("pid"), lambda t, n, e: _line("rss=", n("rss_kb"), "kB"), _by_pid, counters=lambda t, n, e: _map({".rss_kb": _count(e["rss_kb"])})),
@@ -202,7 +205,35 @@ def entities(snapshots: DataFrame, sections: list[str] | None = None) -> DataFra
     """
     parts = [x for name, xs in _sections().items() if not sections or name in sections for x in xs]
     rows = snapshots.select("host_id", "seq", F.explode(F.concat(*parts)).alias("e")).select("host_id", "seq", "e.*")
-    return last_wins(rows, ["host_id", "seq", "section", "ekey"], "pos")
+    rows = last_wins(rows, ["host_id", "seq", "section", "ekey"], "pos")
+    return rows.withColumn("fields", F.map_from_entries("fields")).withColumn("counters", F.map_from_entries("counters"))
+
+
+def listed(sections: list[str] | None = None) -> dict[str, Column]:
+    """Section to the array of its entities, over the columns of schema.SNAPSHOT, of equal keys only the last.
+
+    An entity is ekey, dkey, label, singleton, fields and counters; arrays of it can be compared and hashed.
+    """
+    names = ("ekey", "dkey", "label", "singleton", "fields", "counters")
+
+    def last(found: Column) -> Column:
+        keys = F.array_sort(F.transform(found, lambda e, i: F.struct(e["ekey"].alias("k"), i.alias("i"))))
+        ends = lambda all_: F.filter(all_, lambda k, j: ~k["k"].eqNullSafe(F.get(all_, j + 1)["k"]))
+        kept = bound(keys, lambda all_: F.array_sort(F.transform(ends(all_), lambda k: k["i"])))
+        once = F.size(F.array_distinct(F.transform(found, lambda e: e["ekey"]))) == F.size(found)
+        return F.when(once, found).otherwise(F.transform(kept, lambda i: F.get(found, i)))
+
+    each = lambda xs: F.transform(F.concat(*xs), lambda e: F.struct(*[e[n].alias(n) for n in names]))
+    return {name: bound(each(xs), last) for name, xs in _sections().items() if not sections or name in sections}
+
+
+#: The columns of schema.SNAPSHOT that each section is read from, where they have another name.
+_COLUMNS = {"cron": "cron_jobs", "timers": "systemd_timers"}
+
+
+def columns_of(sections: list[str] | None) -> list[str] | None:
+    """The columns of schema.SNAPSHOT that these sections need; None for all."""
+    return sections and sorted({_COLUMNS.get(s, s.partition(".")[0]) for s in sections})
 
 
 def section_counts(found: DataFrame) -> DataFrame:

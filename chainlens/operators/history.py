@@ -56,6 +56,21 @@ def retained(rows: DataFrame, days: int, now: str) -> tuple[DataFrame, DataFrame
     return kept, anchors
 
 
+def removed_heads(rows: DataFrame) -> DataFrame:
+    """Of each host the newest of rows (host_id, ts_ns, path, hash) that are given up: where it stood, and its hash, which is
+    what the first document after it must hold."""
+    place = F.struct("ts_ns", "path")
+    found = rows.groupBy("host_id").agg(F.max(place).alias("at"), F.max_by("hash", place).alias("expected_prev_hash"))
+    return found.select("host_id", F.col("at.ts_ns").alias("removed_ns"), F.col("at.path").alias("removed_path"), "expected_prev_hash")
+
+
+def merged_heads(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The later of two removed heads of a host; what is already in stays whatever is removed with it or after."""
+    place = F.struct("removed_ns", "removed_path")
+    found = one.unionByName(other).groupBy("host_id").agg(F.max_by(F.struct("removed_ns", "removed_path", "expected_prev_hash"), place).alias("r"))
+    return found.select("host_id", "r.*")
+
+
 def retention_summary(rows: DataFrame, days: int, now: str) -> DataFrame:
     old = F.lit(False) if days == 0 else F.col("ts") < F.expr(f"timestamp'{now}' - interval {int(days)} days")
     return rows.groupBy("host_id").agg(F.count_if(old).alias("removed"), F.count_if(~old).alias("remaining"))

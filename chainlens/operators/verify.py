@@ -14,14 +14,19 @@ def links(rows: DataFrame, anchors: DataFrame | None = None, whole: bool = True,
     """rows (by, ts_ns, path, hash, prev_hash) with idx from 0 and broken: the link does not hold the hash before it.
 
     The first must hold the genesis hash, or the one that anchors (by, expected_prev_hash) name where old documents were
-    given up; with whole=False (an extract) the first is not looked at. Only these narrow columns are sorted.
+    given up; with whole=False (an extract) the first is not looked at. Where anchors also tell the place of the last
+    document that was given up (removed_ns, removed_path), what still lies there or before it is no part of the chain. Only these
+    narrow columns are sorted.
     """
     order = Window.partitionBy(by).orderBy(*ORDER)
-    rows = rows.select(by, *ORDER, "hash", "prev_hash").withColumn("idx", F.row_number().over(order) - 1).withColumn("_before", F.lag("hash").over(order))
-    first = F.lit(GENESIS)
+    rows, first = rows.select(by, *ORDER, "hash", "prev_hash"), F.lit(GENESIS)
     if anchors is not None:
-        rows = rows.join(anchors.select(by, "expected_prev_hash"), by, "left")
+        place = [c for c in ("removed_ns", "removed_path") if c in anchors.columns]
+        rows = rows.join(anchors.select(by, "expected_prev_hash", *place), by, "left")
+        if place:
+            rows = rows.where(F.col("removed_ns").isNull() | (F.struct(*ORDER) > F.struct(*place))).drop(*place)
         first = F.coalesce("expected_prev_hash", first)
+    rows = rows.withColumn("idx", F.row_number().over(order) - 1).withColumn("_before", F.lag("hash").over(order))
     wrong = F.when(F.col("idx") == 0, F.lit(whole) & ~F.col("prev_hash").eqNullSafe(first)).otherwise(~F.col("prev_hash").eqNullSafe(F.col("_before")))
     return rows.withColumn("broken", wrong).drop("_before", "expected_prev_hash")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import diff, entities, history, inventory, parsers, rules, verify
 from ..sources import snapshots as source
-from .queries import chained, files, query, table
-from .streams import _folder
+from ..sources import store
+from .queries import chained, files, query, scratch, table
 
 _HOST = "s_nationkey || '-' || s_suppkey // 1000"
 
@@ -195,15 +195,15 @@ _EVIDENCE = """u AS (SELECT c_nationkey || '-' || c_custkey // 1000 AS h, c_cust
 @query(f"""WITH {_EVIDENCE}, t AS (SELECT h, t, count(*) FILTER (t = 0 OR k % 3 <> 0) AS users FROM u, range(2) r(t) GROUP BY ALL)
 SELECT h AS host_id, t::BIGINT AS seq, users, CASE WHEN t = 0 THEN '' ELSE 'groups' END AS missing, CASE WHEN t = 0 THEN 0 ELSE (SELECT count(*) FROM u WHERE u.h = t.h AND k % 3 = 0) END AS removed FROM t""")
 def raw_files_to_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw files written and scanned, parsed, put together as documents, and compared: users go, and groups can't be read later."""
-    folder = f"{_folder(spark)}/raw"
+    """Raw files written and read, parsed, put together as documents, and compared: users go, and groups can't be read later."""
+    folder = f"{scratch(spark)}/raw"
     line = _cat(F.col("c_name"), ":x:", F.col("c_custkey").cast("string"), ":1::/h:/s")
     rows = table(spark, sf, "customer")
     first = files(rows, "/etc/passwd", line, "c_nationkey", "c_custkey")
     gone = files(rows, "/etc/passwd", F.when(F.col("c_custkey") % 3 == 0, "# gone").otherwise(line), "c_nationkey", "c_custkey").withColumn("ts", F.lit(1))
     groups = first.select("host_id", "ts", F.lit("/etc/group").alias("path"), F.lit("wheel:x:10:").alias("content"))
     source.write_raw_files(first.unionByName(gone).unionByName(groups), folder)
-    raw = source.read_raw_files(spark, folder)
+    raw = source.read_packed_files(spark, folder)
     keys = ["host_id", "ts"]
     of = lambda path: raw.where(F.col("path") == path)
     made = parsers.assembled({"users": parsers.users(of("/etc/passwd")), "groups": parsers.groups(of("/etc/group"))}, raw.select(*keys), {"users": of("/etc/passwd"), "groups": of("/etc/group")})
@@ -219,7 +219,7 @@ def raw_files_to_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 's' || s_suppkey AS host_id, t::BIGINT AS seq, repeat('0', 64) AS prev_hash, s_name || t AS hostname FROM supplier, range(2) r(t)""")
 def documents_in_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files, one each, scanned again: host by the path, order by time."""
-    folder = f"{_folder(spark)}/documents"
+    folder = f"{scratch(spark)}/documents"
     rows = table(spark, sf, "supplier").select(_cat("s", _s()).alias("host_id"), "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
     doc = rows.select("host_id", F.col("t").alias("day"), _cat("2026-03-2", (F.col("t") + 1).cast("string"), "T10:00:00Z").alias("timestamp"), F.lit("0" * 64).alias("prev_hash"), F.struct(_cat(F.col("s_name"), F.col("t").cast("string")).alias("hostname")).alias("host"))
     doc.repartition("host_id", "day").write.partitionBy("host_id", "day").json(folder)
@@ -231,7 +231,7 @@ def documents_in_files(spark: SparkSession, sf: str) -> DataFrame:
 SELECT bundle_id, snapshot_count, snapshot_count AS rows_read, -1::BIGINT AS broken_at, '' AS mismatch FROM x""")
 def bundle_write_read(spark: SparkSession, sf: str) -> DataFrame:
     """Extracts written, verified on the way, and read again."""
-    folder = f"{_folder(spark)}/bundles"
+    folder = f"{scratch(spark)}/bundles"
     rows = chained(spark, sf).withColumnRenamed("host_id", "bundle_id").where(F.col("ts_ns") < F.expr("unix_micros(timestamp'2024-01-10') * 1000")).select("bundle_id", "ts_ns", "path", "hash", "prev_hash")
     source.write_bundles(rows, verify.manifest(rows), folder)
     back, told = source.read_bundles(spark, folder)
@@ -246,7 +246,7 @@ _IDS = ", ".join(f"('{r[0]}', {n})" for n, r in enumerate(rules.DEFAULTS))
 SELECT d.id, d.ord::INT AS ord, o.id IS NOT NULL AS own FROM d LEFT JOIN o USING (id) UNION ALL SELECT o.id, (p + {len(rules.DEFAULTS)})::INT, true FROM o ANTI JOIN d USING (id)""")
 def rules_file(spark: SparkSession, sf: str) -> DataFrame:
     """A rules file written and read: one default replaced in its place, the others after all defaults, in the file's order."""
-    path = f"{_folder(spark)}/rules"
+    path = f"{scratch(spark)}/rules"
     own = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") == 3, "R08_KERNEL_PARAM_CHANGED").otherwise(F.col("n_name")).alias("id"), F.lit("own").alias("name"), F.lit("").alias("description"), F.lit("low").alias("severity"), F.lit("x").alias("section"), F.lit("any").alias("change_type"), F.lit("").alias("key_pattern"), F.lit(False).alias("pro"), F.col("n_nationkey").alias("ord"))
     source.write_rules(own, path)
     return source.read_rules(spark, path).select("id", "ord", (F.col("name") == "own").alias("own"))
@@ -266,14 +266,14 @@ def snapshot_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT user_id::VARCHAR AS host_id, ts::DATE::VARCHAR AS day, count(*) AS n, max(epoch_us(ts)) * 1000 AS last_ns FROM events WHERE event_id % 2 = 0 GROUP BY ALL""")
 def snapshots_appended(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshots added in two goes to a table by host and day, read by day."""
-    path = f"{_folder(spark)}/table"
+    """Snapshots added in two goes to a table of days and buckets, one day put together again, read by host and day."""
+    path = f"{scratch(spark)}/table"
     ts = F.col("ts").cast("timestamp")
     rows = table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", F.col("user_id").cast("string").alias("host_id"), (F.unix_micros(ts) * 1000).alias("ts_ns"), F.to_date(ts).alias("snap_date"))
     for part in (0, 1):
-        source.append(rows.where(F.pmod(F.expr("event_id div 2"), F.lit(2)) == part), path)
-    back = spark.read.option("basePath", path).parquet(path)
-    return back.groupBy(F.col("host_id").cast("string").alias("host_id"), F.col("snap_date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.max("ts_ns").alias("last_ns"))
+        store.append(rows.where(F.pmod(F.expr("event_id div 2"), F.lit(2)) == part), path)
+    store.compact(spark, path, "2024-01-15")
+    return store.read(spark, path).groupBy("host_id", F.col("snap_date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.max("ts_ns").alias("last_ns"))
 
 
 @query("""WITH m AS (SELECT s_nationkey::VARCHAR AS host_id, '/mnt/' || s_suppkey % 3 AS point, '/dev/' || s_suppkey AS source FROM supplier)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, entities, history, rules
+from ..operators import history, rules, sections
 from ..sources import snapshots as source
-from .queries import query, table
+from ..sources import store
+from .queries import query, scratch, table
 
 _BORN = 1_000_000_000
 
@@ -137,13 +138,17 @@ ch AS (
 )"""
 
 
-def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return history.sequenced(source.snapshots(documents(spark, sf))).withColumn("seq", F.col("seq").cast("long"))
+def _described(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    """The documents as they are kept once they have come: sections with digests."""
+    folder = f"{scratch(spark)}/snapshots"
+    hostname = F.col("host.hostname").alias("hostname")
+    store.append(sections.described(source.snapshots(documents(spark, sf), names), names, ["ts", "snap_date", hostname]), folder)
+    return store.read(spark, folder)
 
 
-def _changes(spark: SparkSession, sf: str, sections: list[str] | None = None) -> DataFrame:
-    found = _snapshots(spark, sf)
-    return diff.consecutive(entities.entities(found, sections), diff.consecutive_pairs(found))
+def _changes(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    found = _described(spark, sf, names)
+    return sections.changes(found, sections.pairs(found))
 
 
 @query(f"WITH {CHANGES} SELECT * FROM ch")
@@ -178,9 +183,10 @@ def snapshot_findings(spark: SparkSession, sf: str) -> DataFrame:
 SELECT host_id, 'host-' || host_id AS host, '2026-03-22T10:05:00.500Z' AS timestamp, material, counters, changes FROM m WHERE material > 0""")
 def alert_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """What an alert says of each pair with a material change, as JSON text and read again."""
-    found = _snapshots(spark, sf)
-    hosts = found.select("host_id", F.col("seq").alias("pair_seq"), F.col("host.hostname").alias("hostname"), "ts")
-    told = source.alerts(diff.consecutive(entities.entities(found), diff.consecutive_pairs(found)), hosts)
+    found = _described(spark, sf)
+    order = sections.index(found).select("host_id", "path", F.col("seq").alias("pair_seq"))
+    hosts = order.join(found.select("host_id", "path", "hostname", "ts"), ["host_id", "path"]).drop("path")
+    told = source.alerts(sections.changes(found, sections.pairs(found)), hosts)
     kind = "host STRING, timestamp STRING, material BIGINT, counters BIGINT, changes ARRAY<STRUCT<section: STRING>>"
     return told.select("host_id", F.from_json("payload", kind).alias("p")).select("host_id", "p.host", "p.timestamp", "p.material", "p.counters", F.size("p.changes").cast("long").alias("changes"))
 
@@ -193,6 +199,10 @@ def corrupt_documents(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("host_id").cast("long")
     cut = F.when(k % 10 == 0, F.expr("substring(raw, 1, length(raw) - 3)")).otherwise(F.replace("raw", F.lit('"timestamp"'), F.lit('"time"')))
     docs = documents(spark, sf).withColumn("raw", F.when((k % 5 == 0) & (F.col("path") == "1"), cut).otherwise(F.col("raw")))
-    bad = source.corrupt(docs).select("host_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("users"), F.lit("unreadable").alias("state"))
-    good = history.sequenced(source.snapshots(docs))
-    return bad.unionByName(good.select("host_id", F.col("seq").cast("long").alias("seq"), F.size("users").cast("long").alias("users"), F.lit("read").alias("state")))
+    folder = f"{scratch(spark)}/checked"
+    source.checked(docs, ["users"]).select("host_id", "path", "ts_ns", "fit", F.size("users").cast("long").alias("users")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    none = F.lit(None).cast("long")
+    bad = rows.where("not fit").select("host_id", none.alias("seq"), none.alias("users"), F.lit("unreadable").alias("state"))
+    good = history.sequenced(rows.where("fit"))
+    return bad.unionByName(good.select("host_id", F.col("seq").cast("long").alias("seq"), "users", F.lit("read").alias("state")))

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import entities
+from ..operators import entities, verify
+from ..schema import GENESIS
+from ..sources import ledger
 from ..sources import snapshots as source
 from ..streaming import cadence, watch
 from .fleet import documents
-from .queries import query, table
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='spark-')}/streams-{uuid.uuid4().hex}"
+from .queries import query, scratch, table
 
 
 def _arriving(rows: DataFrame, parts: list[Column], folder: str, writer: Callable[[DataFrame], DataStreamWriter]) -> None:
@@ -41,7 +33,7 @@ def _thirds(day: Column) -> list[Column]:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_archive(spark: SparkSession, sf: str) -> DataFrame:
     """Events appended to a partitioned table as they arrive."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
     _arriving(rows, _thirds(F.date_format("ts", "yyyy-MM-dd")), folder, lambda s: watch.archive(s, f"{folder}/out", f"{folder}/check", ["event_type"]))
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
@@ -52,19 +44,43 @@ k AS (SELECT * FROM e WHERE d >= DATE '2024-01-10')
 SELECT host_id, count(*) AS kept, arg_min(path, (ts, path)) AS first_kept_path, arg_min(prev_hash, (ts, path)) AS expected_prev_hash FROM k GROUP BY host_id""")
 def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Days given up after each micro-batch, and the anchors of what is kept."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     ts = F.col("ts").cast("timestamp")
     path = F.lpad(F.col("event_id").cast("string"), 12, "0")
     rows = table(spark, sf, "events").where("ts is not null").select(F.col("user_id").cast("string").alias("host_id"), ts.alias("ts"), (F.unix_micros(ts) * 1000).alias("ts_ns"), path.alias("path"), F.sha2(F.col("event_id").cast("string"), 256).alias("prev_hash"), F.to_date("ts").alias("snap_date"))
-    out, anchors = f"{folder}/out", f"{folder}/anchors"
+    rows = rows.withColumn("hash", F.coalesce(F.lead("prev_hash").over(Window.partitionBy("host_id").orderBy("ts_ns", "path")), F.lit("")))
+    out = _given_up(spark, folder, rows, _thirds(F.col("snap_date").cast("string")))
+    order = F.struct("ts_ns", "path")
+    kept = out.groupBy("host_id").agg(F.count("*").alias("kept"), F.min_by("path", order).alias("first_kept_path"), F.min_by("prev_hash", order).alias("first_prev_hash"))
+    kept = kept.join(ledger.read(spark, f"{folder}/heads"), "host_id", "left")
+    return kept.select("host_id", "kept", "first_kept_path", F.coalesce("expected_prev_hash", "first_prev_hash").alias("expected_prev_hash"))
+
+
+def _given_up(spark: SparkSession, folder: str, rows: DataFrame, parts: list[Column]) -> DataFrame:
+    """The rows that are left when each part has come and days older than three weeks went after each."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.partitionBy("snap_date").mode("append").parquet(out)
-        watch.retain(spark, out, anchors, 21, "2024-01-31")
+        batch.write.partitionBy("snap_date").mode("append").parquet(f"{folder}/out")
+        watch.retain(spark, f"{folder}/out", f"{folder}/heads", 21, "2024-01-31")
 
-    _arriving(rows, _thirds(F.col("snap_date").cast("string")), folder, lambda s: s.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/check"))
-    kept = spark.read.parquet(out).groupBy("host_id").agg(F.count("*").alias("kept"))
-    return kept.join(spark.read.parquet(anchors), "host_id").select("host_id", "kept", "first_kept_path", "expected_prev_hash")
+    _arriving(rows, parts, folder, lambda s: s.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/check"))
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS h, event_id AS k, ts, lpad(event_id::VARCHAR, 12, '0') AS p FROM events WHERE ts IS NOT NULL),
+k AS (SELECT h, k, row_number() OVER (PARTITION BY h ORDER BY ts, p) - 1 AS i, count(*) OVER (PARTITION BY h) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT h AS host_id, any_value(n) AS total, coalesce(min(i) FILTER (k % 97 = 0), -1) AS broken_at FROM k GROUP BY h""")
+def stream_retention_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains that come in any order while old days go, then verified from the ledger on: some links do not hold, all others do."""
+    folder = scratch(spark)
+    ts = F.col("ts").cast("timestamp")
+    path = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    rows = table(spark, sf, "events").where("ts is not null").select("event_id", F.col("user_id").cast("string").alias("host_id"), (F.unix_micros(ts) * 1000).alias("ts_ns"), path.alias("path"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), F.to_date("ts").alias("snap_date"))
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy("host_id").orderBy("ts_ns", "path")), F.lit(GENESIS))
+    rows = rows.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "none").otherwise(before))
+    out = _given_up(spark, folder, rows, [F.col("event_id") % 3 == i for i in range(3)])
+    found = verify.verdicts(verify.links(out, ledger.read(spark, f"{folder}/heads")))
+    return found.select("host_id", "total", F.col("broken_at").cast("long").alias("broken_at"))
 
 
 @query("""WITH c AS (SELECT user_id::VARCHAR AS h, strftime(ts, '%Y-%m-%d') AS d, event_type AS k, count(*)::VARCHAR AS n FROM events GROUP BY ALL),
@@ -74,7 +90,7 @@ SELECT h AS host_id, seq AS pair_seq, CASE WHEN o IS NULL THEN 'added' WHEN n IS
 FROM j WHERE o IS DISTINCT FROM n AND EXISTS (SELECT 1 FROM s WHERE s.h = j.h AND s.seq = j.seq) AND seq > 0""")
 def stream_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events of a day as a snapshot, compared with the one before as it arrives."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     day = F.date_format("ts", "yyyy-MM-dd")
     counted = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("host_id"), day.alias("path"), "event_type").agg(F.count("*").cast("string").alias("n"))
     rows = counted.groupBy("host_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("services"))
@@ -97,7 +113,7 @@ c AS (SELECT h, count(*) FILTER (k % 17 = 0) + count(*) FILTER (k % 23 = 0) + co
 SELECT h AS host_id, 'changes' AS what, n FROM c WHERE h::BIGINT % 4 <> 0 AND n > 0 UNION ALL SELECT h, 'dead letter', 1 FROM c WHERE h::BIGINT % 4 = 0""")
 def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as they arrive, the second of every fourth host broken: its batch goes on without it, and it is kept aside."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     broken = (F.col("host_id").cast("long") % 4 == 0) & (F.col("path") == "1")
     rows = documents(spark, sf).withColumn("raw", F.when(broken, F.substring("raw", 1, 40)).otherwise(F.col("raw")))
 
@@ -119,7 +135,7 @@ f AS (SELECT h, s, min(t) AS t FROM e GROUP BY ALL UNION ALL SELECT f.h, f.s, (S
 SELECT h AS host_id, s AS section, e.t, (SELECT arg_max(x.v, x.t) FROM e x JOIN f USING (h, s, t) WHERE x.h = e.h AND x.s = e.s AND x.t <= e.t) AS value, EXISTS (SELECT 1 FROM f WHERE f.h = e.h AND f.s = e.s AND f.t = e.t) AS recorded FROM e""")
 def stream_cadence(spark: SparkSession, sf: str) -> DataFrame:
     """Sections recorded when due, six hours after the last time, and carried forward in between, as ticks arrive."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     ticks = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("host_id"), F.col("event_type").alias("section"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("event_id").cast("string").alias("value"))
     day = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd")
     _arriving(ticks, _thirds(day), folder, lambda s: cadence.fired(s, 21600).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check"))

@@ -9,13 +9,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.canon import document_hash
 from ..functions.text import nanoseconds
 from ..operators import rules, verify
+from ..operators.entities import columns_of
 from ..schema import RULE, SNAPSHOT
 
 
+_ALWAYS = ("schema_version", "version", "snapshot_id", "timestamp", "prev_hash", "host", "collector_errors")
+BUNDLE_BUCKETS = 16
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -27,6 +33,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, by name; nothing, where it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
 def _file_path() -> Column:
     """A file's path as it is named, without the escapes of its address."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -51,19 +64,34 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
     """Texts taken from hosts, one row a file: host_id, ts, path (on the host), content.
 
-    They lie as <host>/<ts>/raw/<path> or as host_id=<host>/ts=<ts>/path=<path, escaped>/<file>.
+    They lie as <host>/<ts>/raw/<path>, or as host_id=<host>/ts=<ts>/path=<path, escaped>/<file>. Many at once are better
+    packed, see write_raw_files. Files outside these layouts are reported by stray_raw_files.
     """
+    rows = _placed(spark, root)
+    return rows.where(F.col("ts").isNotNull()).select("host_id", "ts", "path", "content")
+
+
+def stray_raw_files(spark: SparkSession, root: str) -> DataFrame:
+    """file: those below root of which no host, time and path can be told. They are reported, never just dropped."""
+    return _placed(spark, root).where(F.col("ts").isNull()).select("file")
+
+
+def _placed(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path, plain = _file_path(), "([^/]+)/([0-9]+)/raw(/.*)$"
     hive = path.rlike("/host_id=[^/]*/ts=[0-9]+/path=[^/]*/")
     part = lambda name, k: F.when(hive, _named(path, name)).otherwise(F.regexp_extract(path, plain, k))
-    rows = files.select(part("host_id", 1).alias("host_id"), part("ts", 2).try_cast("bigint").alias("ts"), part("path", 3).alias("path"), F.col("value").alias("content"))
-    return rows.where(F.col("ts").isNotNull())
+    return files.select(path.alias("file"), part("host_id", 1).alias("host_id"), part("ts", 2).try_cast("bigint").alias("ts"), part("path", 3).alias("path"), F.col("value").alias("content"))
 
 
 def write_raw_files(files: DataFrame, root: str) -> None:
-    """Raw files (host_id, ts, path, content) in the second of read_raw_files' layouts; each ends in a line end."""
-    files.select("host_id", "ts", "path", F.regexp_replace("content", "\n$", "").alias("content")).write.partitionBy("host_id", "ts", "path").mode("append").text(root)
+    """Raw files (host_id, ts, path, content) as one table, in as many files as its rows come in, not one for each of theirs."""
+    files.select("host_id", F.col("ts").cast("long").alias("ts"), "path", "content").write.mode("append").parquet(root)
+
+
+def read_packed_files(spark: SparkSession, root: str) -> DataFrame:
+    """What write_raw_files wrote."""
+    return spark.read.schema("host_id string, ts long, path string, content string").parquet(root)
 
 
 def readable() -> Column:
@@ -71,31 +99,41 @@ def readable() -> Column:
     return F.try_parse_json("raw").isNotNull() & F.get_json_object("raw", "$.timestamp").isNotNull()
 
 
+def checked(documents: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """All documents, typed, with ts, ts_ns and the hash of what the file says; fit tells which are JSON objects with a time.
+
+    A document is parsed once for its hash and once for its columns, whatever is asked of it later; with sections only
+    the columns that these need are read.
+    """
+    every = StructType.fromDDL(SNAPSHOT)
+    wanted = columns_of(sections)
+    shape = StructType([c for c in every if wanted is None or c.name in (*_ALWAYS, *wanted)])
+    # From an array of one, so that no filter on what comes out is pushed below to work it out again.
+    once = F.struct(document_hash(F.col("raw")).alias("hash"), F.from_json("raw", shape).alias("doc"))
+    rows = documents.select("host_id", "path", "raw", F.inline(F.array(once))).select("host_id", "path", "raw", "hash", "doc.*")
+    rows = rows.withColumn("fit", F.col("hash").isNotNull() & F.col("timestamp").isNotNull())
+    rows = rows.withColumn("ts_ns", F.when(F.col("fit"), nanoseconds(F.col("timestamp"))))
+    return rows.withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withColumn("snap_date", F.to_date("ts"))
+
+
 def corrupt(documents: DataFrame) -> DataFrame:
     """Files that are no JSON object with a time: host_id, path. They are reported, never just dropped."""
     return documents.where(~F.coalesce(readable(), F.lit(False))).select("host_id", "path")
 
 
-def snapshots(documents: DataFrame) -> DataFrame:
-    """The readable documents, typed, with ts, ts_ns and the hash of what the file says."""
-    good = documents.where(readable())
-    rows = good.select("host_id", "path", "raw", document_hash(F.col("raw")).alias("hash"), F.from_json("raw", SNAPSHOT).alias("doc")).select("host_id", "path", "raw", "hash", "doc.*")
-    ns = nanoseconds(F.col("timestamp"))
-    return rows.withColumn("ts_ns", ns).withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withColumn("snap_date", F.to_date("ts"))
-
-
-def append(rows: DataFrame, path: str) -> None:
-    """Adds snapshots to a table partitioned by host and day."""
-    rows.write.partitionBy("host_id", "snap_date").mode("append").parquet(path)
+def snapshots(documents: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """The readable documents, as checked gives them."""
+    return checked(documents, sections).where("fit").drop("fit")
 
 
 def write_bundles(rows: DataFrame, manifests: DataFrame, path: str) -> None:
-    """Extracts and their manifests as two tables below path, read back and verified.
+    """Extracts and their manifests as two tables below path, read back and verified. Extracts lie in buckets, however many there are.
 
     If a link of an extract is broken or a manifest does not fit, both tables are removed again and a ValueError names
     some of the extracts.
     """
-    rows.write.partitionBy("bundle_id").mode("overwrite").parquet(f"{path}/snapshots")
+    spread = rows.withColumn("bucket", F.pmod(F.xxhash64("bundle_id"), F.lit(BUNDLE_BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "bundle_id", *verify.ORDER)
+    spread.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/snapshots")
     manifests.write.mode("overwrite").parquet(f"{path}/manifests")
     found = verify.bundle_verdicts(*read_bundles(rows.sparkSession, path))
     bad = found.where("broken_at >= 0 or mismatch <> ''").orderBy("bundle_id").limit(20).collect()
@@ -106,8 +144,7 @@ def write_bundles(rows: DataFrame, manifests: DataFrame, path: str) -> None:
 
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     manifests = spark.read.parquet(f"{path}/manifests")
-    kind = manifests.schema["bundle_id"].dataType
-    return spark.read.parquet(f"{path}/snapshots").withColumn("bundle_id", F.col("bundle_id").cast(kind)), manifests
+    return spark.read.parquet(f"{path}/snapshots").drop("bucket"), manifests
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

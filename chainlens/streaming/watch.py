@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import diff, history
 from ..schema import GENESIS
-from ..sources.snapshots import exists, remove
+from ..sources import ledger
+from ..sources.snapshots import exists, names, remove
 
 BUCKETS = 64
 
@@ -20,23 +22,23 @@ def archive(stream: DataFrame, path: str, checkpoint: str, partitions: list[str]
     return stream.writeStream.format("parquet").outputMode("append").partitionBy(*partitions).option("path", path).option("checkpointLocation", checkpoint)
 
 
-def retain(spark: SparkSession, table: str, anchors: str, days: int, now: str, day: str = "snap_date") -> int:
-    """Gives up the days of a table (partitioned by day; host_id, ts, ts_ns, path, prev_hash) that are older than so many days before now.
+def retain(spark: SparkSession, table: str, heads: str, days: int, now: str, day: str = "snap_date") -> int:
+    """Gives up the days of a table (partitioned by day; host_id, ts_ns, path, hash) that are older than so many days before now.
 
-    No document is rewritten: the anchors of what stays are written first, then whole day folders are removed, so a failure
-    in between leaves an anchor of what is still there. Returns how many days went.
+    No document is rewritten: of each host the newest document that goes is entered in the ledger at heads first, then
+    whole day folders are removed. So a host of which nothing is left, or whose next document comes later, still has its
+    anchor, and a failure in between leaves documents that the ledger already counts as gone; the next call removes them.
+    Documents of such days that come later go too, and change no anchor. Returns how many days went.
     """
     if not days:
         return 0
-    rows = spark.read.parquet(table)
-    limit = F.expr(f"timestamp'{now}' - interval {int(days)} days")
-    old = [r[0] for r in rows.select(day).distinct().where(F.col(day).cast("timestamp") + F.expr("interval 1 day") <= limit).collect()]
-    if not old:
-        return 0
-    kept = rows.where(~F.coalesce(F.col(day).cast("string").isin([str(d) for d in old]), F.lit(False)))
-    history.retained(kept, 0, now)[1].write.mode("overwrite").parquet(anchors)
-    for d in old:
-        remove(spark, f"{table}/{day}={d}")
+    limit = datetime.fromisoformat(now) - timedelta(days=days)
+    there = {n.partition("=")[2]: f"{table}/{n}" for n in names(spark, table) if n.startswith(f"{day}=")}
+    old = [path for d, path in there.items() if d[:1].isdigit() and datetime.fromisoformat(d) + timedelta(days=1) <= limit]
+    if old:
+        ledger.add(spark, heads, history.removed_heads(spark.read.parquet(*old)))
+    for path in old:
+        remove(spark, path)
     return len(old)
 
 
@@ -67,6 +69,13 @@ class _State:
     def write(self, kind: str, rows: DataFrame) -> None:
         rows.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/v={self.number}")
 
+    def once(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Rows as a table of this batch, in place of working them out for each use; gone with the batch after next."""
+        path = f"{self.root}/{kind}/v={self.number}"
+        rows.write.mode("overwrite").parquet(path)
+        remove(self.spark, f"{self.root}/{kind}/v={self.number - 2}")
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def close(self, touched: list[int]) -> None:
         now = self.before | dict.fromkeys(touched, self.number)
         self.spark.createDataFrame([*now.items()] or [], "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/{self.number}")
@@ -133,11 +142,12 @@ def watch(
                 breaks, rows = rows.where("_wrong = 1").drop("_before", "_wrong"), rows.where("_wrong = 0").drop("_before", "_wrong")
             rows = rows.withColumn("seq", F.coalesce(F.col("head_seq") + F.col("n"), F.col("n") - 1).cast("long")).persist()
             held.append(rows)
-            new = entities_of(rows)
+            # Written once: the sink, the counts and the state all read them again.
+            new = known.once("new", entities_of(rows))
             last = known.read("entities", touched, new)
             every = last.unionByName(new)
             pairs = rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"))
-            found = diff.consecutive(every, pairs)
+            found = known.once("changes", diff.consecutive(every, pairs))
             told = diff.counts(found, pairs).where("material > 0" if ignore_counters else "material + counters > 0")
             sink(found.join(told.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi"), breaks, number)
             newest = rows.groupBy("host_id").agg(F.max("seq").alias("seq"), F.max_by(hashes, "seq").alias("hash"))
