@@ -107,6 +107,17 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield told()
 
 
+def spread(anchor: int) -> bytes:
+    """An anchor as 8 bytes that are dealt evenly: anchors are the least of many hashes, so their own first bits hardly differ."""
+    return ((anchor * int(_P)) % 2**64).to_bytes(8)
+
+
+def gathered(key: bytes) -> int:
+    """The anchor of what spread() gave."""
+    anchor = (int.from_bytes(key) * int(_INVERSE)) % 2**64
+    return anchor - 2**64 if anchor >= 2**63 else anchor
+
+
 def shared(a: bytes, b: bytes, known: int) -> int:
     """How many bytes a and b have in common from their start, of which `known` need no look."""
     n = min(len(a), len(b)) - known
@@ -178,7 +189,7 @@ def merged(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int
 
 
 def repeated_windows(sorted_suffixes: Iterator[tuple[int, bytes, tuple]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(anchor, content, repeated windows) of passages that come by anchor (8 bytes) and then by their bytes from the anchor on.
+    """(anchor, content, repeated windows) of passages that come by anchor (8 bytes, see spread) and then by their bytes from the anchor on.
 
     A window that starts l bytes before the anchor repeats if another passage of the anchor has the same l bytes before and
     the same WINDOW - l from there on. What shares the latter are neighbours in the order of suffixes, what shares the former
@@ -191,7 +202,7 @@ def repeated_windows(sorted_suffixes: Iterator[tuple[int, bytes, tuple]]) -> Ite
     right = np.array([k - 8 for k, _, _ in rows])
     lefts = [p[0][::-1] for _, _, p in rows]
     size, offset, times, content = (np.array([p[i] for _, _, p in rows], np.int64) for i in (1, 2, 3, 4))
-    anchor = np.array([int.from_bytes(s[:8], signed=True) for _, s, _ in rows], np.int64)
+    anchor = np.array([gathered(s[:8]) for _, s, _ in rows], np.int64)
     order = sorted(range(n), key=lefts.__getitem__)
     left = np.array([0, *(shared(lefts[a], lefts[b], 0) for a, b in zip(order, order[1:], strict=False))])
     order = np.array(order)
@@ -232,7 +243,7 @@ def _extract(shift: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                         counted.append((w["anchor"], w["content"], w["times"], _strings(_sums(own), WINDOW).view(np.int64).tolist()))
                     else:
                         own = own.tobytes()
-                        found.append((w["anchor"].to_bytes(8, signed=True) + own[offset:], own[:offset], size, offset, w["times"], w["content"]))
+                        found.append((spread(w["anchor"]) + own[offset:], own[:offset], size, offset, w["times"], w["content"]))
             found.sort()
             yield _blocks(found, shift)
             if counted:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chainlens.llm import suffixes
 from chainlens.llm.substring import keyed
-from chainlens.llm.suffixes import WINDOW, decoded, front_coded, merged, op12_suffix_dedup, passages, repeated_windows, repeats, shared
+from chainlens.llm.suffixes import WINDOW, decoded, front_coded, gathered, merged, op12_suffix_dedup, passages, repeated_windows, repeats, shared, spread
 
 
 def brute(texts):
@@ -103,6 +103,14 @@ def test_merge_never_looks_at_known_bytes(monkeypatch):
     assert list(merged([])) == []
 
 
+def test_anchors_are_dealt_evenly():
+    draw = random.Random(9)
+    some = [min(draw.randrange(-(2**63), 2**63) for _ in range(100)) for _ in range(2000)]
+    assert [gathered(spread(a)) for a in some] == some
+    held = Counter(spread(a)[0] >> 4 for a in some)
+    assert len(held) == 16 and max(held.values()) < 200
+
+
 def test_windows_of_a_shard():
     draw = random.Random(5)
     text = bytes(draw.randrange(97, 103) for _ in range(420))
@@ -113,7 +121,7 @@ def test_windows_of_a_shard():
             for a, c, p in zip(anchor.tolist(), content.tolist(), at.tolist()):
                 first, offset, size = p >> 16, p >> 8 & 255, p & 255
                 s = own[first : first + size + WINDOW - 1]
-                items.append((a.to_bytes(8, signed=True) + s[offset:], s[:offset], size, offset, 1, c))
+                items.append((spread(a) + s[offset:], s[:offset], size, offset, 1, c))
     got = Counter()
     for _, _, found in repeated_windows(merged([decoded(front_coded(sorted(items)))])):
         got["n"] += int(found.sum())
