@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,19 @@ def _by_pid(t: Reader, n: Reader, e: Column) -> Column:
     return _line(n("pid"), " (", t("comm"), ")")
 
 
+_built: dict[object, dict[str, list[Column]]] = {}
+
+
 def _sections() -> dict[str, list[Column]]:
+    """Section to arrays of its entities. They take thousands of calls to make, so they are made once for each driver's JVM."""
+    jvm = SparkContext._gateway
+    if jvm not in _built:
+        _built.clear()
+        _built[jvm] = _made()
+    return _built[jvm]
+
+
+def _made() -> dict[str, list[Column]]:
     """Section to arrays of its entities, over the columns of schema.SNAPSHOT."""
     named = lambda t, *names: {f".{x}": t(x) for x in names}
     of = lambda name: lambda t, n, e: t(name)
@@ -209,8 +222,8 @@ def entities(snapshots: DataFrame, sections: list[str] | None = None) -> DataFra
     return rows.withColumn("fields", F.map_from_entries("fields")).withColumn("counters", F.map_from_entries("counters"))
 
 
-def listed(sections: list[str] | None = None) -> dict[str, Column]:
-    """Section to the array of its entities, over the columns of schema.SNAPSHOT, of equal keys only the last.
+def listed(sections: list[str] | None = None) -> Column:
+    """An array of section and its entities, over the columns of schema.SNAPSHOT, of equal keys only the last; none without entities.
 
     An entity is ekey, dkey, label, singleton, fields and counters; arrays of it can be compared and hashed.
     """
@@ -218,13 +231,14 @@ def listed(sections: list[str] | None = None) -> dict[str, Column]:
 
     def last(found: Column) -> Column:
         keys = F.array_sort(F.transform(found, lambda e, i: F.struct(e["ekey"].alias("k"), i.alias("i"))))
-        ends = lambda all_: F.filter(all_, lambda k, j: ~k["k"].eqNullSafe(F.get(all_, j + 1)["k"]))
-        kept = bound(keys, lambda all_: F.array_sort(F.transform(ends(all_), lambda k: k["i"])))
+        ends = lambda every: F.filter(every, lambda k, j: ~k["k"].eqNullSafe(F.get(every, j + 1)["k"]))
+        kept = bound(keys, lambda every: F.array_sort(F.transform(ends(every), lambda k: k["i"])))
         once = F.size(F.array_distinct(F.transform(found, lambda e: e["ekey"]))) == F.size(found)
         return F.when(once, found).otherwise(F.transform(kept, lambda i: F.get(found, i)))
 
-    each = lambda xs: F.transform(F.concat(*xs), lambda e: F.struct(*[e[n].alias(n) for n in names]))
-    return {name: bound(each(xs), last) for name, xs in _sections().items() if not sections or name in sections}
+    parts = [F.struct(F.lit(name).alias("section"), F.concat(*xs).alias("found")) for name, xs in _sections().items() if not sections or name in sections]
+    there = F.filter(F.array(*parts), lambda s: F.size(s["found"]) > 0)
+    return F.transform(there, lambda s: F.struct(s["section"].alias("section"), F.transform(last(s["found"]), lambda e: F.struct(*[e[n].alias(n) for n in names])).alias("entities")))
 
 
 #: The columns of schema.SNAPSHOT that each section is read from, where they have another name.

@@ -44,6 +44,46 @@ def resolve(rows: DataFrame, ref: str) -> DataFrame:
     return found.join(once, "host_id", "left_semi")
 
 
+def resolve_all(index: DataFrame, refs: DataFrame, shortest: int = 4) -> DataFrame:
+    """Many refs at once: ref_id, status, candidates, host_id, seq, hash of refs (ref_id, host_id, ref) by an index (host_id, seq, hash).
+
+    HEAD and HEAD~n are places counted from each host's end; anything else is the start of a hash. Starts meet hashes by
+    their first characters (as many as they have, `shortest` at most), so nothing is compared with everything. status is
+    found, none, or ambiguous; candidates says how many there were, and seq and hash are empty unless it was one.
+    """
+    ref = F.lower(F.trim("ref"))
+    back = F.when(F.col("ref") == "HEAD", F.lit(0)).otherwise(F.coalesce(F.nullif(F.regexp_extract("ref", r"^HEAD~([0-9]*)$", 1), F.lit("")).try_cast("long"), F.lit(0)))
+    named = refs.select("ref_id", "host_id", F.col("ref").rlike(r"^HEAD(~[0-9]*)?$").alias("place"), back.cast("long").alias("back"), ref.alias("start"))
+    last = index.groupBy("host_id").agg(F.max("seq").alias("last"))
+    places = named.where("place").join(last, "host_id").select("ref_id", "host_id", (F.col("last") - F.col("back")).alias("seq"))
+    by_place = places.join(index.select("host_id", "seq", "hash"), ["host_id", "seq"]).select("ref_id", "host_id", "seq", "hash")
+    keyed = named.where("not place and start <> ''").withColumn("k", F.least(F.length("start"), F.lit(shortest)))
+    lengths = F.array(*[F.lit(n) for n in range(1, shortest + 1)])
+    starts = index.select("host_id", "seq", "hash", F.explode(lengths).alias("k")).withColumn("key", F.substring("hash", F.lit(1), F.col("k")))
+    used = keyed.select("k").distinct()
+    starts = starts.join(F.broadcast(used), "k", "left_semi")  # at most `shortest` rows
+    met = keyed.withColumn("key", F.substring("start", F.lit(1), F.col("k"))).join(starts, ["host_id", "k", "key"])
+    by_start = met.where(F.startswith("hash", F.col("start"))).select("ref_id", "host_id", "seq", "hash")
+    found = by_place.unionByName(by_start).groupBy("ref_id", "host_id").agg(F.count("*").alias("candidates"), F.min("seq").alias("seq"), F.min("hash").alias("hash"))
+    one = lambda c: F.when(F.col("candidates") == 1, F.col(c)).alias(c)
+    rows = refs.select("ref_id", "host_id").join(found, ["ref_id", "host_id"], "left").fillna(0, ["candidates"])
+    status = F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "found").otherwise("ambiguous")
+    return rows.select("ref_id", "host_id", status.alias("status"), "candidates", one("seq"), one("hash"))
+
+
+def extracts(rows: DataFrame, requests: DataFrame, width_days: int = 7) -> DataFrame:
+    """Many extracts in one go: rows (host_id, ts_ns and others) with bundle_id, for each request (bundle_id, host_id, from_ns, to_ns;
+    to_ns itself is not in it) that they fall into. Ranges may overlap.
+
+    Ranges are dealt to stretches of so many days, where they meet the rows by host and stretch.
+    """
+    width = width_days * 86_400 * 1_000_000_000
+    stretch = lambda c: F.expr(f"cast(floor({c} / {width}D) as long)")
+    dealt = requests.where("to_ns > from_ns").withColumn("stretch", F.explode(F.sequence(stretch("from_ns"), stretch("to_ns"))))
+    met = rows.withColumn("stretch", stretch("ts_ns")).join(dealt, ["host_id", "stretch"])
+    return met.where("ts_ns >= from_ns and ts_ns < to_ns").drop("stretch", "from_ns", "to_ns")
+
+
 def retained(rows: DataFrame, days: int, now: str) -> tuple[DataFrame, DataFrame]:
     """rows (host_id, ts, ts_ns, path, hash, prev_hash) not older than so many days before now (0: all), and the anchors of what is left.
 

@@ -20,11 +20,8 @@ def described(snapshots: DataFrame, sections: list[str] | None = None, keep: lis
     Made to be written once, when documents come: all comparisons read its narrow columns, and entities of those
     sections only whose digests differ. Sections without entities are not there.
     """
-    def part(name: str, found: Column) -> Column:
-        return bound(found, lambda e: F.struct(F.lit(name).alias("section"), F.xxhash64(e).alias("d1"), F.xxhash64(F.lit(1), e).alias("d2"), e.alias("entities")))
-
-    parts = F.array(*[part(name, found) for name, found in listed(sections).items()])
-    return snapshots.select(*INDEX, *(keep or []), F.filter(parts, lambda s: F.size(s["entities"]) > 0).alias("sections"))
+    digests = lambda s: F.struct(s["section"].alias("section"), F.xxhash64(s["entities"]).alias("d1"), F.xxhash64(F.lit(1), s["entities"]).alias("d2"), s["entities"].alias("entities"))
+    return snapshots.select(*INDEX, *(keep or []), F.transform(listed(sections), digests).alias("sections"))
 
 
 def index(table: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def verdicts(linked: DataFrame, by: str = "host_id") -> DataFrame:
         F.max("ts_ns").alias("last_ns"),
         F.min_by("hash", "idx").alias("root_hash"),
         F.max_by("hash", "idx").alias("last_hash"),
+        F.max_by("path", "idx").alias("last_path"),
     )
 
 
@@ -62,6 +63,52 @@ def head_check(verdict: DataFrame, recorded: DataFrame, by: str = "host_id") ->
     return rows.withColumn("head_ok", F.col("last_hash") == F.coalesce("head_hash", F.lit(GENESIS)))
 
 
+def anchors_of(marks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Where each host's next document is to go on, as links takes it: after its mark, or after what was given up if that is later."""
+    found = marks.select("host_id", F.col("last_ns").alias("removed_ns"), F.col("last_path").alias("removed_path"), F.col("last_hash").alias("expected_prev_hash"))
+    if heads is None:
+        return found
+    later = F.max_by(F.struct("removed_ns", "removed_path", "expected_prev_hash"), F.struct("removed_ns", "removed_path"))
+    return found.unionByName(heads.select(*found.columns)).groupBy("host_id").agg(later.alias("r")).select("host_id", "r.*")
+
+
+def after(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows that stand after their host's anchor."""
+    place = ["removed_ns", "removed_path"]
+    found = rows.join(anchors.select("host_id", *place), "host_id", "left")
+    return found.where(F.col("removed_ns").isNull() | (F.struct(*ORDER) > F.struct(*place))).drop(*place)
+
+
+def advanced(marks: DataFrame, found: DataFrame) -> DataFrame:
+    """Marks (host_id, verified, broken_at, last_ns, last_path, last_hash) with what verdicts says of the documents after them.
+
+    A chain once broken stays broken where it was first.
+    """
+    new = found.select("host_id", "total", F.col("broken_at").alias("new_broken"), F.col("last_ns").alias("new_ns"), F.col("last_path").alias("new_path"), F.col("last_hash").alias("new_hash"))
+    both, before = marks.join(new, "host_id", "full_outer"), F.coalesce("verified", F.lit(0))
+    broken = F.when(F.coalesce("broken_at", F.lit(-1)) >= 0, F.col("broken_at")).when(F.col("new_broken") >= 0, before + F.col("new_broken")).otherwise(-1)
+    later = [F.coalesce(f"new_{c}", f"last_{c}").alias(f"last_{c}") for c in ("ns", "path", "hash")]
+    return both.select("host_id", (before + F.coalesce("total", F.lit(0))).cast("long").alias("verified"), broken.cast("long").alias("broken_at"), *later)
+
+
+def day_digests(rows: DataFrame) -> DataFrame:
+    """Of each host and day how many documents there are, and two digests of them that don't depend on their order and add up."""
+    told = ["path", "hash", "prev_hash"]
+    return rows.groupBy("host_id", "snap_date").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*told)).alias("d1"), F.bit_xor(F.xxhash64(F.lit(1), *told)).alias("d2"))
+
+
+def altered(rows: DataFrame, marks: DataFrame, digests: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """host_id and snap_date where the rows up to the marks differ from the digests of when they were verified."""
+    upto = rows.join(marks.select("host_id", "last_ns", "last_path"), "host_id").where(F.struct(*ORDER) <= F.struct("last_ns", "last_path"))
+    now = day_digests(upto).select("host_id", "snap_date", F.struct("n", "d1", "d2").alias("now"))
+    then = digests.groupBy("host_id", "snap_date").agg(F.sum("n").alias("n"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2")).select("host_id", "snap_date", F.struct("n", "d1", "d2").alias("then"))
+    both = now.join(then, ["host_id", "snap_date"], "full_outer").where(~F.col("now").eqNullSafe(F.col("then")))
+    if heads is not None:
+        gone = F.to_date(F.timestamp_micros(F.expr("removed_ns div 1000")))
+        both = both.join(heads.select("host_id", gone.alias("gone")), "host_id", "left").where(F.col("now").isNotNull() | F.col("gone").isNull() | (F.col("snap_date") > F.col("gone")))
+    return both.select("host_id", "snap_date")
+
+
 def manifest(rows: DataFrame, by: str = "bundle_id") -> DataFrame:
     """Of each extract: count, first and last time and hash, what the first document says, and the mean gap in whole seconds."""
     order = F.struct(*ORDER)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import diff, entities, history, inventory, parsers, rules, verify
+from ..operators import collect, diff, entities, history, inventory, parsers, rules, sections, verify
 from ..sources import snapshots as source
 from ..sources import store
 from .queries import chained, files, query, scratch, table
@@ -206,7 +206,7 @@ def raw_files_to_changes(spark: SparkSession, sf: str) -> DataFrame:
     raw = source.read_packed_files(spark, folder)
     keys = ["host_id", "ts"]
     of = lambda path: raw.where(F.col("path") == path)
-    made = parsers.assembled({"users": parsers.users(of("/etc/passwd")), "groups": parsers.groups(of("/etc/group"))}, raw.select(*keys), {"users": of("/etc/passwd"), "groups": of("/etc/group")})
+    made = collect.assembled({"users": parsers.users(of("/etc/passwd")), "groups": parsers.groups(of("/etc/group"))}, raw.select(*keys), {"users": of("/etc/passwd"), "groups": of("/etc/group")})
     stamp = _cat('{"timestamp":"2026-03-22T10:00:0', F.col("ts").cast("string"), 'Z",', F.expr("substring(document, 2)"))
     docs = made.select("host_id", F.col("ts").cast("string").alias("path"), stamp.alias("raw"))
     found = history.sequenced(source.snapshots(docs)).withColumn("seq", F.col("seq").cast("long"))
@@ -239,6 +239,66 @@ def bundle_write_read(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("bundle_id", "snapshot_count").join(found.select("bundle_id", F.col("total").alias("rows_read"), F.col("broken_at").cast("long").alias("broken_at"), "mismatch"), "bundle_id")
 
 
+_H = "s_nationkey || '-' || s_suppkey // 1000"
+_TOP = "row_number() OVER (PARTITION BY h ORDER BY {} ) <= 20"
+#: Of each section what an entity shows of a supplier (h, k, n: host, number, name), or of a host as a whole.
+_SHOWN = {
+    "users": "'uid=' || k || ' gid=1 shell=/s'", "groups": "'gid=' || k || ' members=[a,b]'", "sudoers": "'/etc/sudoers: u' || k || ' ALL=ALL'", "mounts": "'source=/dev/' || k || ' fs=ext4 opts=rw'",
+    "modules": "'size=' || k || ' deps='", "cron": "'user=root schedule=\"@daily\" cmd=\"run' || k || '\"'", "timers": "'unit=t.service on_calendar=\"daily\"'",
+    "ssh_keys": "'type=ssh-ed25519 comment=\"c' || k || '\" source=/home/' || k || '/.ssh/authorized_keys'", "network.routes": "'10.' || k || '.0/24 via 10.0.0.1 dev eth0'", "network.interfaces": "'up'", "kernel_params": "n",
+    "packages": "n", "services": "'active (running)'", "listening_ports": "k % 60000 || CASE WHEN k % 2 = 0 THEN '/tcp c' ELSE '/udp c' END || k", "connections": "'ESTABLISHED [?] 127.0.0.1:22→127.0.0.2:' || k % 60000",
+    "multicast_groups": "'eth' || k || '/224.0.0.1'", "nic_drivers": "'driver=ixgbe fw=' || n",
+}
+_WHOLE = {
+    "host": "'h' || h || '|5.15|unknown'", "network.dns": "string_agg('1.1.1.' || k, ',' ORDER BY k) || '|b.example'", "cpu": "'1|2|3|4|5|6|7|8|9|10'", "kernel_counters.ip": "'1|2'", "kernel_counters.tcp": "'3'", "kernel_counters.udp": "'4'",
+    "processes": "count(*)::VARCHAR", "sockets": "count(*) FILTER (k % 2 = 0) || '|' || count(*) FILTER (k % 2 = 1) || '|' || count(*) FILTER (k % 2 = 0)",
+}
+_COLLECTED = " UNION ALL ".join(
+    [f"SELECT h, '{s}' AS section, false AS whole, count(*) AS n, min({x}) AS lo, max({x}) AS hi FROM d GROUP BY h" for s, x in _SHOWN.items()]
+    + [f"SELECT h, '{s}', true, 1, {x}, {x} FROM d GROUP BY h" for s, x in _WHOLE.items()]
+    + [f"SELECT h, '{s}', false, count(*), min(x), max(x) FROM (SELECT h, {x} AS x FROM d QUALIFY {_TOP.format(o)}) GROUP BY h" for s, x, o in (("processes", "'rss=' || k || 'kB'", "k DESC"), ("sockets", "CASE WHEN k % 2 = 0 THEN 'tcp=1 udp=0' ELSE 'tcp=0 udp=1' END", "k"))]
+)
+
+
+@query(f"""WITH d AS (SELECT {_H} AS h, s_suppkey AS k, s_name AS n FROM supplier)
+SELECT h AS host_id, section, whole, n::BIGINT AS n, lo, hi, '' AS missing FROM ({_COLLECTED})""")
+def documents_collected(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw evidence of all sections, one document of each host put together from it and read back: what each section shows."""
+    s, k = table(spark, sf, "supplier"), _s()
+    host = _cat(F.col("s_nationkey").cast("string"), "-", F.expr("s_suppkey div 1000").cast("string"))
+    port = F.lpad(F.hex(_k() % 60000), 4, "0")
+    socket = lambda state, inode, local, remote: _cat("  1: 0100007F:", local, " 0200007F:", remote, f" {state} 0:0 00:0 0 0 0 ", inode, " 1 0")
+    inode = (_k() + 1).cast("string")
+    listens = socket("0A", inode, port, F.lit("0000"))
+    lists = {
+        "/etc/passwd": _cat("u", k, ":x:", k, ":1::/home/", k, ":/s"), "/etc/group": _cat("g", k, ":x:", k, ":b,a"), "/etc/sudoers": _cat("u", k, "  ALL=ALL"), "/proc/self/mountinfo": _cat("26 1 254:0 / /mnt/", k, " rw shared:1 - ext4 /dev/", k, " rw"),
+        "/proc/modules": _cat("m", k, " ", k, " 0 - Live 0x0"), "/etc/cron.d/x": _cat("@daily root run", k), "ip-route": _cat("10.", k, ".0/24 via 10.0.0.1 dev eth0"), "/etc/resolv.conf": _cat("nameserver 1.1.1.", k), "dpkg-query": _cat("p", k, "\t", F.col("s_name")),
+        "units": _cat("svc", k, ".service loaded active running W"), "/proc/net/igmp": _cat(k, "\teth", k, " :     1      V3\n\t\t\t\t010000E0     1 0:00000000\t\t0"),
+        "/proc/net/tcp": _cat(F.when(_k() % 2 == 0, _cat(listens, "\n")).otherwise(""), socket("01", F.lit("0"), F.lit("0016"), port)), "/proc/net/udp": F.when(_k() % 2 == 1, socket("07", inode, port, F.lit("0000"))).otherwise(""),
+    }
+    own = [
+        (_cat("/etc/systemd/system/t", k, ".timer"), F.lit("[Timer]\nOnCalendar=daily\nUnit=t.service\n")), (_cat("/home/", k, "/.ssh/authorized_keys"), _cat("ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIJ c", k)),
+        (_cat("/sys/class/net/eth", k, "/operstate"), F.lit("up\n")), (_cat("/proc/sys/net/ipv4/x", k), F.col("s_name")), (_cat("/proc/", k, "/fd"), _cat("/dev/null\nsocket:[", inode, "]")),
+        (_cat("/proc/", k, "/status"), _cat("Name:\tc", k, "\nState:\tS (sleeping)\nPPid:\t1\nVmRSS:\t ", k, " kB\n")), (_cat("ethtool/eth", k), _cat("driver: ixgbe\nversion: 1\nfirmware-version: ", F.col("s_name"), "\n")),
+    ]
+    once = {"/etc/hostname": F.concat(F.lit("h"), F.col("host_id")), "/proc/version": F.lit("Linux version 5.15 (x)"), "/proc/stat": F.lit("cpu  1 2 3 4 5 6 7 8 9 10"), "/proc/net/snmp": F.lit("Ip: A B\nIp: 1 2\nTcp: C\nTcp: 3\nUdp: D\nUdp: 4")}
+    head = {"/etc/resolv.conf": "search b.example\n", "/proc/net/igmp": "Idx\n", "/proc/net/tcp": "  sl\n", "/proc/net/udp": "  sl\n"}
+    each = lambda rows, of: rows.select("host_id", F.lit(0).alias("ts"), F.explode(F.array(*[F.struct((F.lit(p) if isinstance(p, str) else p).alias("path"), c.alias("content")) for p, c in of])).alias("f")).select("host_id", "ts", "f.*")
+    line = F.array_sort(F.collect_list(F.struct("s_suppkey", *[c.alias(f"c{i}") for i, c in enumerate(lists.values())])))
+    gathered = s.groupBy(host.alias("host_id")).agg(line.alias("every"))
+    joined = [(p, F.concat(F.lit(head.get(p, "")), F.array_join(f"every.c{i}", "\n"))) for i, p in enumerate(lists)]
+    raw = each(gathered, joined).unionByName(each(gathered, once.items())).unionByName(each(s.withColumn("host_id", host), own))
+    folder = f"{scratch(spark)}/raw"
+    source.write_raw_files(raw, folder)
+    made = collect.collected(source.read_packed_files(spark, folder))
+    docs = made.select("host_id", F.lit("0").alias("path"), _cat('{"timestamp":"2026-03-22T10:00:00Z",', F.expr("substring(document, 2)")).alias("raw"), F.array_join("collector_errors", ",").alias("missing"))
+    found = sections.described(source.snapshots(docs)).select("host_id", F.inline("sections")).select("host_id", "section", F.explode("entities").alias("e"))
+    values = lambda c: F.transform(c, lambda x: x["value"].cast("string"))
+    shown = F.when(F.col("e.singleton"), F.array_join(F.concat(values("e.fields"), values("e.counters")), "|")).otherwise(F.col("e.label"))
+    told = found.groupBy("host_id", "section", F.col("e.singleton").alias("whole")).agg(F.count("*").alias("n"), F.min(shown).alias("lo"), F.max(shown).alias("hi"))
+    return told.join(docs.select("host_id", "missing"), "host_id")
+
+
 _IDS = ", ".join(f"('{r[0]}', {n})" for n, r in enumerate(rules.DEFAULTS))
 
 
@@ -281,6 +341,6 @@ SELECT host_id, string_agg(point || ' ' || source, ',' ORDER BY point, source) A
 def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
     """Arrays of a document in the order of their values, whatever the order of what was read."""
     mount = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("host_id"), F.lit(0).alias("ts"), _cat("/mnt/", (_k() % 3).cast("string")).alias("mount_point"), _cat("/dev/", _s()).alias("source")).orderBy(F.rand(3))
-    docs = parsers.assembled({"mounts": mount}, mount, {"mounts": mount})
+    docs = collect.assembled({"mounts": mount}, mount, {"mounts": mount})
     found = docs.select("host_id", F.from_json("document", "mounts array<struct<mount_point:string,source:string>>").alias("d"))
     return found.select("host_id", F.array_join(F.transform("d.mounts", lambda m: F.concat(m["mount_point"], F.lit(" "), m["source"])), ",").alias("mounts"))

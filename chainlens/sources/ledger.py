@@ -1,33 +1,20 @@
-"""The ledger of removed heads: of each host the newest document that was given up, so that what comes after still verifies.
-
-Each version is a whole table below v=<number>, complete once Spark has marked it so; a version that a crash cut short is
-never read. The one before stays until the next is there.
-"""
+"""The ledger of removed heads: of each host the newest document that was given up, so that what comes after still verifies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.history import merged_heads
-from .snapshots import exists, names, remove
+from . import versions
 
 LEDGER = "host_id STRING, removed_ns BIGINT, removed_path STRING, expected_prev_hash STRING"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(n[2:]) for n in names(spark, path) if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS"))
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """host_id, removed_ns, removed_path, expected_prev_hash; no rows where nothing was ever given up."""
-    found = _versions(spark, path)
-    return spark.read.schema(LEDGER).parquet(f"{path}/v={found[-1]}") if found else spark.createDataFrame([], LEDGER)
+    return versions.read(spark, path, LEDGER)
 
 
 def add(spark: SparkSession, path: str, heads: DataFrame) -> None:
     """Takes further removed heads in; a host's later one stands. Doing it again changes nothing."""
-    found = _versions(spark, path)
-    number = found[-1] + 1 if found else 0
-    merged_heads(read(spark, path), heads).write.mode("overwrite").parquet(f"{path}/v={number}")
-    for n in found[:-1]:
-        remove(spark, f"{path}/v={n}")
+    versions.write(merged_heads(read(spark, path), heads), path)

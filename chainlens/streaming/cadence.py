@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.cadence import merged
+
 
 def fired(ticks: DataFrame, interval: int, idle: str | None = None) -> DataFrame:
     """The ticks (host_id, section, t in seconds, value) at which a section is recorded, as operators.cadence.fired has them.
@@ -37,3 +40,26 @@ def fired(ticks: DataFrame, interval: int, idle: str | None = None) -> DataFrame
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return ticks.groupBy("host_id", "section").applyInPandasWithState(step, "host_id string, section string, t long, value string, recorded boolean", "due long, held string", "append", timeout)
+
+
+def whole_documents(stream: DataFrame, idle: str | None = None) -> DataFrame:
+    """Documents of some sections (host_id, ts_ns, path, raw) as they arrive, each made whole, as operators.cadence has them.
+
+    State holds the last JSON of each host's sections, one text a host. Documents of a micro-batch go in time order; one that
+    comes in a later batch than a newer one counts when it comes. With idle (needs a watermark) a host's state goes after so long.
+    """
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat([*batches]).sort_values(["ts_ns", "path"], kind="stable")
+        out = [(*key, t, path, merged(held, raw)) for t, path, raw in zip(rows["ts_ns"].tolist(), rows["path"].tolist(), rows["raw"].tolist(), strict=True)]
+        state.update((json.dumps(held, ensure_ascii=False),))
+        if idle:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=["host_id", "ts_ns", "path", "raw"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy("host_id").applyInPandasWithState(step, "host_id string, ts_ns long, path string, raw string", "held string", "append", timeout)

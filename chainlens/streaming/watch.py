@@ -62,8 +62,11 @@ class _State:
 
     def read(self, kind: str, touched: list[int], like: DataFrame) -> DataFrame:
         """Of the touched buckets what was known before this batch; like tells the columns."""
-        paths = [f"{self.root}/{kind}/v={self.before[b]}/bucket={b}" for b in touched if b in self.before]
-        paths = [p for p in paths if exists(self.spark, p)]
+        wanted: dict[int, set[str]] = {}
+        for b in touched:
+            if b in self.before:
+                wanted.setdefault(self.before[b], set()).add(f"bucket={b}")
+        paths = [f"{self.root}/{kind}/v={v}/{b}" for v, bs in sorted(wanted.items()) for b in names(self.spark, f"{self.root}/{kind}/v={v}") if b in bs]
         return self.spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
 
     def write(self, kind: str, rows: DataFrame) -> None:
@@ -82,7 +85,7 @@ class _State:
         known = self.number > 1 and exists(self.spark, f"{self.root}/list/{self.number - 2}")
         for b, older in (self._list(self.number - 2) if known else {}).items():
             if older != self.before.get(b):
-                for kind in ("heads", "entities"):
+                for kind in ("heads", "entities", "parked"):
                     remove(self.spark, f"{self.root}/{kind}/v={older}/bucket={b}")
         remove(self.spark, f"{self.root}/list/{self.number - 3}")
 
@@ -103,6 +106,8 @@ def watch(
     readable: Column | None = None,
     dead_letters: str | None = None,
     after: Callable[[int], None] | None = None,
+    park_ns: int | None = None,
+    alert: Callable[[DataFrame, DataFrame, int], None] | None = None,
 ) -> DataStreamWriter:
     """Compares each arriving snapshot (host_id, ts_ns, path, ...) with its host's last one, by the batch operators.
 
@@ -115,6 +120,12 @@ def watch(
     what was missing before it, it is looked at anew. sink(changes, breaks, batch) gets the changes of pairs that have a
     material one, or, unless ignore_counters, any; breaks is empty without follow_hashes. after(batch) is called at last
     (retention, see retain).
+
+    With park_ns (and follow_hashes) a document whose link is not there yet is parked with those after it, and let in when
+    what is missing comes, so batches may come in any order; what is older than its host's newest document by more than park_ns
+    goes to breaks. A document (host_id, path) that is given twice while it is parked counts once.
+
+    alert(changes, hosts, batch) gets the same changes with host_id, pair_seq, hostname and ts of their pairs (see outbox).
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -129,6 +140,8 @@ def watch(
         try:
             touched = sorted(r[0] for r in rows.select(bucket()).distinct().collect())
             known = _State(spark, state, number)
+            if park_ns is not None:
+                rows = rows.unionByName(known.read("parked", touched, rows)).dropDuplicates(["host_id", "path"])
             hashes = F.col("hash") if "hash" in rows.columns else F.lit("")
             heads = known.read("heads", touched, rows.select("host_id", F.lit(0).cast("long").alias("seq"), hashes.alias("hash")))
             numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("host_id").orderBy("ts_ns", "path")))
@@ -139,7 +152,14 @@ def watch(
                 # Everything of a host from its first wrong link on waits for a look.
                 wrong = F.max((F.col("prev_hash") != F.col("_before")).cast("int")).over(Window.partitionBy("host_id").orderBy("n"))
                 rows = rows.withColumn("_before", before).withColumn("_wrong", wrong)
+                rows = rows.persist()
+                held.append(rows)
                 breaks, rows = rows.where("_wrong = 1").drop("_before", "_wrong"), rows.where("_wrong = 0").drop("_before", "_wrong")
+                if park_ns is not None:
+                    newest = F.max("ts_ns").over(Window.partitionBy("host_id"))
+                    waits = breaks.withColumn("_waits", F.col("ts_ns") >= newest - park_ns).drop("n", "head_seq", "head_hash")
+                    known.write("parked", waits.where("_waits").drop("_waits"))
+                    breaks = waits.where("not _waits").drop("_waits")
             rows = rows.withColumn("seq", F.coalesce(F.col("head_seq") + F.col("n"), F.col("n") - 1).cast("long")).persist()
             held.append(rows)
             # Written once: the sink, the counts and the state all read them again.
@@ -149,7 +169,11 @@ def watch(
             pairs = rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"))
             found = known.once("changes", diff.consecutive(every, pairs))
             told = diff.counts(found, pairs).where("material > 0" if ignore_counters else "material + counters > 0")
-            sink(found.join(told.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi"), breaks, number)
+            chosen = found.join(told.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi")
+            sink(chosen, breaks, number)
+            if alert:
+                named = F.col("host.hostname") if "host" in rows.columns else F.col("host_id")
+                alert(chosen, rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"), named.alias("hostname"), F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts")), number)
             newest = rows.groupBy("host_id").agg(F.max("seq").alias("seq"), F.max_by(hashes, "seq").alias("hash"))
             kept = heads.join(newest, "host_id", "left_anti").unionByName(newest)
             known.write("heads", kept)

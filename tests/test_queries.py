@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from chainlens.plans import evidence, fleet, streams  # noqa: F401
+from chainlens.plans import chains, evidence, fleet, streams  # noqa: F401
 from chainlens.plans.queries import QUERIES, SQL
 
 SMALL = Path("/root/testdata/sf0.001")
