@@ -7,7 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,8 +30,12 @@ FRAME = FLOW | frozenset("ul ol dl table tbody thead tfoot tr td th figure detai
 ELEMENT_PRIOR = {"nav": 0.0, "menu": 0.0, "header": 0.25, "footer": 0.25, "aside": 0.25, "form": 0.25, "article": 1.5, "main": 1.5}
 WORD_PRIOR = {
     **dict.fromkeys("ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar comment comments disqus cookie cookies newsletter related share sharing social".split(), 0.25),
-    **dict.fromkeys("article content post story".split(), 1.25),
+    **dict.fromkeys("article content post story code highlight quote pull pullquote caption lead".split(), 1.25),
 }
+#: Classes and ids that name an article, as a whole, and elements that are beside one.
+WHOLE = frozenset("article content post story entry".split())
+BESIDE = frozenset("header footer aside nav menu".split())
+KINDS = frozenset("section article".split())  # elements that may part an article
 SHARE = 0.75  # of an element's content that one child must hold for the rest to be left
 LEAST = 0.65  # of the mean score, below which a path is no content
 
@@ -62,6 +66,8 @@ class Page:
     name: list[str] = field(default_factory=lambda: [""])
     path: list[int] = field(default_factory=lambda: [0])
     prior: list[float] = field(default_factory=lambda: [1.0])
+    named: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])  # of each path's last element the whole classes and ids
+    words: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])  # and the words in them
     blocks: list[Block] = field(default_factory=list)
 
 
@@ -117,6 +123,8 @@ def read(page: str, priors: bool = True) -> Page:
             paths[key] = len(out.prior)
             own = math.prod({ELEMENT_PRIOR.get(name, 1.0), *(WORD_PRIOR.get(w, 1.0) for w in words)}) if priors and name not in ("html", "body") else 1.0
             out.prior.append(out.prior[key[0]] * own)
+            out.named.append(frozenset(named.lower().split()) if priors else frozenset())
+            out.words.append(frozenset(words) if priors else frozenset())
         out.parent.append(stack[-1])
         out.name.append(name)
         out.path.append(paths[key])
@@ -243,33 +251,75 @@ def scores(page: Page, sigma: float = 1.0) -> list[float]:
     return [(r * r * s / k) ** (1 / 3) if k else 0.0 for r, s, k in zip(ratio, smooth, n, strict=True)]
 
 
+def _added(page: Page, weigh: Callable[[Block], float]) -> list[float]:
+    """Of each element the weight of all blocks in it."""
+    weight = [0.0] * len(page.name)
+    for b in page.blocks:
+        weight[b.node] += weigh(b)
+    for k in range(len(weight) - 1, 0, -1):  # children come after their parents
+        weight[page.parent[k]] += weight[k]
+    return weight
+
+
+def branches(page: Page, weight: list[float]) -> tuple[list[bool], list[bool]]:
+    """Of each element whether it is beside the article by a name of its branch, and whether it is in one by name.
+
+    A class or id that is such a name as a whole (comments) says so for all that is in it; a word in one (with-sidebar),
+    or an element such as footer, only where no article is inside, and an article is elsewhere or the branch does not hold
+    SHARE of the page. A header within an article is part of it.
+    """
+    n = len(page.name)
+    against = frozenset(w for w, p in WORD_PRIOR.items() if p < 1)
+    named = lambda k: page.named[page.path[k]]
+    words = lambda k: page.words[page.path[k]]
+    whole = [k > 0 and page.name[k] not in ("html", "body") and (page.name[k] in ("article", "main") or bool(named(k) & WHOLE)) and not words(k) & against for k in range(n)]
+    holds = whole.copy()
+    for k in range(n - 1, 0, -1):
+        holds[page.parent[k]] = holds[page.parent[k]] or holds[k]
+    beside, within = [False] * n, [False] * n
+    for k in range(1, n):
+        up, name = page.parent[k], page.name[k]
+        within[k] = within[up] or whole[k]
+        if name in ("html", "body"):
+            continue
+        weak = (name in BESIDE and not (name == "header" and within[up])) or bool(words(k) & against)
+        beside[k] = beside[up] or bool(named(k) & against) or (weak and not holds[k] and (holds[0] or weight[k] < SHARE * weight[0]))
+    return beside, within
+
+
 def main_text(page: str | None, priors: bool = True) -> str:
     """The article of a page: its content blocks joined by a space.
 
-    Each block weighs its path's score (see scores) times its length without links. From the page down, the one child
+    Each block weighs its path's score (see scores) times its length without links. Branches whose names say that they
+    are beside an article (see branches) only compete if nothing else has text. From the page down, the one child
     that holds SHARE of an element's weight is followed, as long as there is one and it is no text element; what stands
-    beside it is left. In the element so found, a path is content if its score reaches LEAST of the mean (by weight and score). Other
-    text elements (headings, short items) belong to it if they stand in it, or in an element with such paths, by
-    themselves and not in links. priors=False does without names and classes. Null, empty or broken pages give what can
-    be read, or ''.
+    beside it is left, unless it is a section of the same kind with content. In the element so found, a path is content if
+    its score reaches LEAST of the mean (by weight and score). Other text elements (headings, short items) belong to it if
+    they stand in it, or in an element with such paths, by themselves and not in links; between two content blocks also those
+    whose names are of content, and items in an article that are links. priors=False does without names and classes. Null,
+    empty or broken pages give what can be read, or ''.
     """
     read_ = read(page or "", priors)
     score = scores(read_)
     of = lambda b: score[read_.path[b.node]]
     weigh = lambda b: of(b) * max(0, len(b.text) - b.linked)
-    weight = [0.0] * len(read_.name)
-    for b in read_.blocks:
-        weight[b.node] += weigh(b)
+    beside, within = branches(read_, _added(read_, weigh)) if priors else ([False] * len(read_.name),) * 2
+    if all(beside[b.node] or not weigh(b) for b in read_.blocks):
+        beside = [False] * len(read_.name)
+    read_.blocks = [b for b in read_.blocks if not beside[b.node]]
+    weight = _added(read_, weigh)
     heaviest: dict[int, int] = {}
-    for k in range(len(weight) - 1, 0, -1):  # children come after their parents
+    alike: Counter[tuple[int, int]] = Counter()  # sections of one kind in an element that have content
+    for k in range(len(weight) - 1, 0, -1):
         up = read_.parent[k]
-        weight[up] += weight[k]
         if up not in heaviest or weight[k] >= weight[heaviest[up]]:
             heaviest[up] = k
+        if weight[k] > 0 and read_.name[k] in KINDS:
+            alike[up, read_.path[k]] += 1
     if weight[0] <= 0:
         return ""
     holder = 0
-    while (k := heaviest.get(holder)) is not None and weight[k] >= SHARE * weight[holder] and read_.name[k] not in FLOW:
+    while (k := heaviest.get(holder)) is not None and weight[k] >= SHARE * weight[holder] and read_.name[k] not in FLOW and alike[holder, read_.path[k]] < 2:
         holder = k
     inside = [k == holder for k in range(len(weight))]
     home = list(range(len(weight)))  # the nearest element around a text element that is none, or the holder
@@ -281,13 +331,20 @@ def main_text(page: str | None, priors: bool = True) -> str:
     least = LEAST * sum(weigh(b) * of(b) ** 2 for b in found) / sum(weigh(b) * of(b) for b in found)
     strong = {home[b.node] for b in found if of(b) >= least} | {holder}
 
-    def belongs(b: Block) -> bool:
+    content = [i for i, b in enumerate(found) if of(b) >= least]
+
+    def belongs(i: int, b: Block) -> bool:
         if of(b) >= least:
             return True
         plain = 2 * b.linked <= len(b.text) or read_.name[b.node] in HEADINGS
-        return plain and read_.prior[read_.path[b.node]] > 0 and home[b.node] in strong and (read_.name[b.node] in FRAME)
+        there, framed = read_.prior[read_.path[b.node]] > 0 and home[b.node] in strong, read_.name[b.node] in FRAME
+        if there and framed and plain:
+            return True
+        between = bool(content) and content[0] < i < content[-1]
+        own = read_.words[read_.path[b.node]]
+        return between and ((there and framed and within[b.node]) or (plain and any(WORD_PRIOR.get(w, 1) > 1 for w in own)))
 
-    return " ".join(b.text for b in found if belongs(b))
+    return " ".join(b.text for i, b in enumerate(found) if belongs(i, b))
 
 
 def extract(pages: DataFrame) -> DataFrame:

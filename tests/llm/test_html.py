@@ -42,6 +42,26 @@ def test_names_of_wrappers_exclude_nothing():
         assert main_text(f"<body><div>Home page.</div>{wrapper}<article><h1>A flood</h1>{PARA * 3}</article></body>") == " ".join(["A flood", *[TEXT] * 3])
 
 
+def test_short_articles_beside_long_comments_and_footers():
+    comments = f'<div class="comments">{PARA * 8}</div>'
+    assert main_text(f"<body><article><h1>A flood</h1><p>{WORDS}</p></article>{comments}</body>") == f"A flood {WORDS}"
+    assert main_text(f'<body><article><p>{WORDS}</p><section id="comments"><article>{PARA * 3}</article></section></article></body>') == WORDS
+    assert main_text("<body><article><h1>Notice</h1><p>Closed today</p></article><footer><p>All rights reserved, by us; see here.</p></footer></body>") == "Notice Closed today"
+    assert main_text(f"<body>{comments}</body>") == " ".join([TEXT] * 8)  # nothing else has text
+    bar = '<div class="cookie-bar"><p>We use cookies, as all do; please agree, or leave, now.</p></div>'
+    assert main_text(f"<body>{bar}<main><p>Closed.</p></main></body>") == "Closed."
+
+
+def test_sections_of_an_article_stay_together():
+    page = f"<body><nav><a href=a>Home</a></nav><main><section><h2>A</h2>{PARA}</section><section><h2>B</h2>{PARA * 12}</section></main></body>"
+    assert main_text(page) == " ".join(["A", TEXT, "B", *[TEXT] * 12])
+
+
+def test_short_blocks_between_paragraphs():
+    page = f'<article>{PARA}<div class="code">x = 1</div>{PARA}<div class="pull">Short quote</div><ul><li><a href=x>A link</a></li></ul>{PARA}<ul><li><a href=y>More news</a></li></ul></article>'
+    assert main_text(f"<body>{page}</body>") == " ".join([TEXT, "x = 1", TEXT, "Short quote", "A link", TEXT])
+
+
 def reading(page):
     """What a reading that knows the table's one layout gives."""
     inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", page, re.S)[1])
