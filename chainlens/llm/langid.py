@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, release, ship, table, tidy
 
+LANGUAGES = 128  # that are learned at most: 32 MB of weights
 BUCKETS_LOG2 = 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -103,20 +104,23 @@ def sums(texts: list[str | None], weights: np.ndarray, squares: bool = False) ->
     return total, second, n
 
 
-def fit(docs: DataFrame, per_language: int = 4000) -> Model:
+def fit(docs: DataFrame, per_language: int = 4000, languages: int = LANGUAGES) -> Model:
     """What docs (doc_id, text, lang) teach; rows without text or lang teach nothing.
 
+    lang is a free column, so at most `languages` of its values are learned, those that most documents have (ties by name):
+    the model has a bound whatever else is in it. Documents of other values are judged like any.
+
     About per_language documents of a language are read, or all if there are no more: a documented sample, drawn by a
     hash of doc_id. What reaches the driver is one count for each language and bucket, and five sums for each language.
     """
     ship(docs.sparkSession)
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    n = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    n = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     langs = sorted(n)
     none = np.zeros(len(langs))
     if not langs:
         return Model([], np.zeros((2**BUCKETS_LOG2, 0), np.float32), none, none, none)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
     sample = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit("train"), "doc_id"), 11) / float(2**53) < share).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +141,12 @@ def fit(docs: DataFrame, per_language: int = 4000) -> Model:
     counts[counted["bucket"].to_numpy(), [place[x] for x in counted["lang"].to_pylist()]] = counted["n"].to_numpy()
     smooth = counts + 0.5
     weights = np.log(smooth / smooth.sum(0)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in pieces(batches):
             at = np.array([place[x] for x in some.column(1).to_pylist()], np.int64)
-            total, second, n = sums(some.column(0).to_pylist(), weights, True)
+            total, second, n = sums(some.column(0).to_pylist(), shared.value, True)
             own, kept = np.arange(len(at)), n > 0
             m, v = total[own, at] / np.maximum(n, 1), second[own, at] / np.maximum(n, 1)
             columns = [pa.array(at[kept]), pa.array(m[kept]), pa.array(np.maximum(v - m * m, 0)[kept]), pa.array(1 / n[kept])]

@@ -250,3 +250,11 @@ def test_next_of_null_and_repeated_ids(spark):
         t = after[t]
     turn = seen.index(min(seen)) if seen[0] != min(seen) else 0
     assert sum(a > b for a, b in zip(seen, seen[1:], strict=False)) <= 1 and len(set(after)) == 120 and turn >= 0
+
+
+def test_language_values_beyond_the_bound_teach_nothing(spark):
+    words = {"aa": "alpha beta gamma delta", "bb": "uno dos tres cuatro cinco"}
+    rows = [(i, f"{words[k]} {i}", k) for i in range(60) for k in words] + [(900 + i, f"zzz qqq {i}", f"dirty{i}") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
+    assert model.langs == ["aa", "bb"] and model.weights.shape[1] == 2
+    assert langid.predict(["beta gamma", "tres cuatro"], model)[0] == ["aa", "bb"]
