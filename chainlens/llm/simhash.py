@@ -23,6 +23,7 @@ PAIRS = 2_000_000  # (query, node) pairs held at once
 COPY_WORDS = 5
 LIKE = (4, 5)
 BANDS, BAND_ROWS = 20, 5
+LEADERS = 8  # texts of a bucket that meet all of it
 HELD = 1_000_000  # shingles of a tile, and postings counted at once
 _SLICE = 1 << 16
 
@@ -320,7 +321,7 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: band, bucket, low, high, key, shingles; a group's rows come together."""
+    """batches: band, bucket, low, high, key, shingles; a group's rows come together. Pairs of one key are none."""
     group, keys, sets = None, [], []
 
     def solve() -> Iterator[pa.RecordBatch]:
@@ -341,12 +342,57 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from solve()
 
 
+_GROUP = ["band", "bucket", "low", "high"]
+
+
+def first_groups(bands: DataFrame, shared: DataFrame) -> DataFrame:
+    """Which groups a text (key) joins at first: its tile of each bucket that it shares, and, for a bucket's LEADERS, all of
+    its tiles. So a bucket's groups grow with its texts, and copies of one form come together through its leaders."""
+    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    tiles = F.when(F.array_contains("leaders", F.col("key")), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))
+    placed = bands.join(shared, ["band", "bucket"]).select("th", "key", "band", "bucket", F.explode(tiles).alias("low"))
+    return placed.withColumn("high", F.col("low"))
+
+
+def last_groups(bands: DataFrame, shared: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """The groups in which texts of cut buckets meet that first_groups did not connect: those outside a bucket's greatest
+    component, tile by tile, with each other and with it. Within it no two texts meet again."""
+    bucket = ["band", "bucket"]
+    cut = bands.join(shared.where("tiles > 1").select(*bucket), bucket)
+    rooted = written(cut.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    tiles = lambda n, held: F.greatest(F.ceil(n / tile), F.ceil(held / HELD)).cast("int")
+    sides = parts.groupBy(*bucket).agg(F.max_by(F.struct("root", "n", "held"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("held").alias("held")).where("n > main.n")
+    rest = tiles(F.col("n") - F.col("main.n"), F.col("held") - F.col("main.held"))
+    sides = sides.select(*bucket, F.col("main.root").alias("main"), rest.alias("rest"), tiles(F.col("main.n"), F.col("main.held")).alias("tiles"))
+    met = rooted.join(sides, bucket)
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    within = F.transform(upto("rest"), lambda j: pair(F.least(own("rest"), j), F.greatest(own("rest"), j)))
+    across = F.transform(upto("tiles"), lambda j: pair(own("rest"), F.col("rest") + j))
+    beside = F.transform(upto("rest"), lambda i: pair(i, F.col("rest") + own("tiles")))
+    groups = F.when(F.col("root") == F.col("main"), beside).otherwise(F.concat(within, across))
+    return met.select("th", "key", *bucket, F.inline(groups))
+
+
+def _pairs(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links of texts that are alike within groups (th, key, band, bucket, low, high)."""
+    met = groups.groupBy("th", "key").agg(F.collect_list(F.struct(*_GROUP)).alias("buckets"))
+    some = texts.dropDuplicates(["th"]).join(met, "th")
+    sets = some.select("key", "buckets", "text").mapInArrow(_sets, "key long, buckets array<struct<band:int,bucket:long,low:int,high:int>>, shingles binary")
+    sets = sets.select(F.explode("buckets").alias("m"), "key", "shingles").select("m.*", "key", "shingles")
+    return sets.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_copies, "a long, b long").distinct()
+
+
 def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     """th (a hash of the text) and root of each distinct text of docs (text): texts that links of likeness LIKE connect have one root.
 
-    Texts of equal shingle sets meet first. Texts that agree in a band share a bucket, and within it all pairs are
-    compared by their whole sets. A bucket of over tile texts or HELD shingles is cut into tiles by a hash, and each two tiles meet in a
-    group of their own; none is dropped or cut short.
+    Texts of equal shingle sets meet first. Texts that agree in a band share a bucket, within which they are compared by
+    their whole sets. A bucket of over tile texts or HELD shingles is cut into tiles: at first texts meet within their tile
+    and with the bucket's leaders, and then only those that no link has brought into the bucket's greatest component
+    meet the rest of it, so a million copies of one form cost as much as they are. None is dropped or cut short.
+    Texts are known by 64 bits of a hash.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
@@ -355,15 +401,13 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     one = rows.groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "bands")])
     bands = written(one.select("key", "th", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / HELD)).cast("int")
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
-    met = bands.join(shared, ["band", "bucket"]).groupBy("th", "key").agg(F.collect_list(F.struct("band", "bucket", "tiles")).alias("buckets"))
-    some = texts.dropDuplicates(["th"]).join(met, "th")
-    sets = some.select("key", "buckets", "text").mapInArrow(_sets, "key long, buckets array<struct<band:int,bucket:long,tiles:int>>, shingles binary").select("key", F.explode("buckets").alias("m"), "shingles")
-    own = F.pmod(F.xxhash64("key"), F.col("m.tiles")).cast("int")
-    sets = sets.select("m.band", "m.bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m.tiles") - 1)).alias("other"), "key", "shingles")
-    group = ["band", "bucket", "low", "high"]
-    sets = sets.select("band", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "shingles")
-    pairs = sets.repartition(*group).sortWithinPartitions(*group).mapInArrow(_copies, "a long, b long").distinct()
+    leaders = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(LEADERS)])
+    shared = written(bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles"), leaders.alias("leaders")).where("n > 1").drop("n"), "shared")
+    pairs = _pairs(texts, first_groups(bands, shared))
+    if not shared.where("tiles > 1").isEmpty():
+        pairs = written(pairs, "pairs")
+        roots = components(pairs).toDF("key", "root")
+        pairs = pairs.union(_pairs(texts, last_groups(bands, shared, roots, tile))).distinct()
     return rows.select("th", "key").join(components(pairs).toDF("key", "root"), "key", "left").select("th", F.coalesce("root", "key").alias("root"))
 
 

@@ -120,3 +120,29 @@ def test_keep_one_equals_brute_force_at_four_fifths_of_five_word_shingles(spark,
     for tile in (512, 4):
         monkeypatch.setattr(simhash.copies, "__defaults__", (tile,))
         assert {r.doc_id for r in keep_one(docs).collect()} == want
+
+
+def form_letters(n):
+    """Near copies of one letter, each with a word of its own, and some texts that share parts of it only."""
+    draw = np.random.default_rng(8)
+    base = [f"w{x}" for x in draw.integers(0, 5000, 120)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        w[int(draw.integers(0, len(w)))] = f"n{i}"
+        out.append(" ".join(w if i % 40 else w[:60] + [f"z{i}x{k}" for k in range(20)]))
+    return out
+
+
+def test_work_on_one_large_group_follows_its_size(spark, monkeypatch):
+    """Near copies by the hundred, in tiles of ten: groups hold each text some times, not once for every tile."""
+    held = {}
+    first, last = simhash.first_groups, simhash.last_groups
+    monkeypatch.setattr(simhash, "first_groups", lambda *a: held.setdefault("first", first(*a)))
+    monkeypatch.setattr(simhash, "last_groups", lambda *a: held.setdefault("last", last(*a)))
+    monkeypatch.setattr(simhash.copies, "__defaults__", (10,))
+    docs = spark.createDataFrame(list(enumerate(form_letters(600))), "doc_id long, text string")
+    kept = {r.doc_id for r in keep_one(docs).collect()}
+    assert kept == {1, *range(0, 600, 40)}  # one of the letters, and every text that has half of it
+    a_tile = held["first"].groupBy("band", "bucket", "low").count().agg({"count": "max"}).first()[0]
+    assert a_tile < 60 and held["first"].count() < 3 * 600 * 20 and held["last"].count() < 600 * 20
