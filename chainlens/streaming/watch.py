@@ -36,7 +36,7 @@ def retain(spark: SparkSession, table: str, heads: str, days: int, now: str, day
     there = {n.partition("=")[2]: f"{table}/{n}" for n in names(spark, table) if n.startswith(f"{day}=")}
     old = [path for d, path in there.items() if d[:1].isdigit() and datetime.fromisoformat(d) + timedelta(days=1) <= limit]
     if old:
-        ledger.add(spark, heads, history.removed_heads(spark.read.parquet(*old)))
+        ledger.add(spark, heads, history.removed_heads(spark.read.option("basePath", table).parquet(*old)))
     for path in old:
         remove(spark, path)
     return len(old)
