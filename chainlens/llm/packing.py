@@ -174,7 +174,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, n_ranges: int = 512, tok
     proportion to tokens are summed first; a document's place is then a running sum within its range. Texts are encoded
     once; the ids are written to the shared folder and dealt to ranges from there.
 
-    Null text is empty: one piece of one id. Rows of equal doc_id and text follow one another, each with its own pieces.
+    Null text is empty: one piece of one id. Rows of equal doc_id and text follow one another, each with its own pieces; they
+    can't be told apart, so all of them are one task's. A very long text is cut into as many pieces as it needs; its ids are one
+    row. Further columns are not looked at, whatever their names; an empty table gives an empty result.
     """
     if tokenizer is None:
         import public_tokenizers

@@ -21,7 +21,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int =
 
     Returns doc_id, size (UTF-8 bytes and 8), text_crc32, shard, slot (0, 1, ... within the shard).
     Null text counts as empty; null doc_id is a key like any other; repeated rows each get a slot; an empty table gives
-    an empty result; further columns of docs are not looked at.
+    an empty result; further columns of docs are not looked at. A text larger than a shard's share fills its shard and is
+    never cut; only its size and hash travel. Rows equal in doc_id and text can't be told apart, so all of them are one task's.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
