@@ -291,3 +291,9 @@ def test_verdicts_of_marks(spark):
     marks = spark.createDataFrame([("a", 3, -1, 5, "p", "h")], checks.MARK)
     anchors = verify.anchors_of(marks, spark.createDataFrame([("a", 9, "q", "z"), ("b", 1, "r", "y")], ledger.LEDGER))
     assert {(r.host_id, r.expected_prev_hash) for r in anchors.collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_mounts_lie_in_the_order_of_their_places(spark):
+    rows = spark.createDataFrame([("h", 0, "/b", "/dev/1"), ("h", 0, "/a", "/dev/3"), ("h", 0, "/a", "/dev/2")], "host_id string, ts int, mount_point string, source string")
+    document = json.loads(collect.assembled({"mounts": rows}, rows, {"mounts": rows}).first().document)
+    assert [(m["mount_point"], m["source"]) for m in document["mounts"]] == [("/a", "/dev/2"), ("/a", "/dev/3"), ("/b", "/dev/1")]
