@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
+import gc
+import hashlib
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import GENESIS
 
 
-_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: All that stays as it is: neither digit nor sign, strings, and whole numbers. What a run of it ends at is a number with a
-#: fraction or a power. Every part is possessive, so a text is read once and never again.
-_AS_IT_IS = rf'(?:[^"0-9-]++|{_STRING}|-?[0-9]++(?![.E]))'
-_ODD = r"-?[0-9]++[.E][0-9.E+-]*+"
-_CONTROL = {c: c.lower() for c in "ABCDEF"}
+#: Before a number that JSON's own writer would spell otherwise; no document that holds one is written with it.
+_MARK = "\ue000"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,41 +25,68 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _number(token: Column) -> Column:
-    """A number as the shortest decimal: no zero fraction, no exponent from 1e-6 up to below 1e21, and e+21, e-7 beyond."""
-
-    def measured(p: Column) -> Column:
-        stripped = F.ltrim(p["every"], F.lit("0"))
-        first = F.length(p["whole"]) - (F.length(p["every"]) - F.length(stripped)) - 1  # the power of ten of the first digit
-        return F.struct(F.rtrim(stripped, F.lit("0")).alias("digits"), (first + p["exponent"]).alias("at"))
-
-    def spelled(p: Column) -> Column:
-        digits, at, n = p["digits"], p["at"], F.length(p["digits"])
-        plain = F.when(at >= n - 1, F.rpad(digits, at + 1, F.lit("0"))).when(at >= 0, F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, n)))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), digits)
-        power = F.concat(F.when(at < 0, "e-").otherwise("e+"), F.abs(at).cast("string"))
-        far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
-        return F.when(digits == "", "0").otherwise(F.concat(sign, F.when((at >= 21) | (at < -6), far).when(at >= 0, plain).otherwise(small)))
-
-    sign, bare = F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), F.ltrim(token, F.lit("-"))
-    mantissa, exponent = F.substring_index(bare, "E", 1), F.regexp_extract(bare, "E([+-]?[0-9]+)$", 1).try_cast("int")
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
-    parts = F.struct(whole.alias("whole"), F.concat(whole, fraction).alias("every"), F.coalesce(exponent, F.lit(0)).alias("exponent"))
-    return bound(bound(parts, measured), spelled)
-
-
-def _numbers(text: Column) -> Column:
-    """JSON with its odd numbers as _number has them; what stands between two of them is one piece."""
-    runs = F.regexp_extract_all(text, F.lit(f"{_AS_IT_IS}++|{_ODD}"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(f"^{_ODD}$"), _number(t)).otherwise(t)), "")
-
-
-def _controls(text: Column) -> Column:
-    """JSON with the digits of control characters in lower case."""
-    for upper, small in _CONTROL.items():
-        text = F.regexp_replace(text, rf"((?<!\\)(?:\\\\)*\\u00[01]){upper}", f"$1{small}")
-    return text
+def _canonical() -> Callable[[Iterable[str | None]], list[str | None]]:
+    """The function that spells a batch of documents. It is made here, so that it reaches workers that have not this package."""
+
+    def number(token: str) -> str:
+        """A number as the shortest decimal: no zero fraction, no exponent from 1e-6 up to below 1e21, and e+21, e-7 beyond."""
+        value = Decimal(token)
+        if "e" in token or "E" in token or len(token) > 38:
+            value = Decimal(repr(float(token)))
+            if not value.is_finite():
+                raise ValueError(token)
+        if not value:
+            return "0"
+        sign, figures, exponent = value.as_tuple()
+        digits, at = "".join(map(str, figures)).rstrip("0"), len(figures) + exponent - 1  # the power of ten of the first digit
+        if at >= 21 or at < -6:
+            text = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{at:+d}"
+        elif at < 0:
+            text = "0." + "0" * (-at - 1) + digits
+        else:
+            text = digits.ljust(at + 1, "0") if len(digits) <= at + 1 else digits[: at + 1] + "." + digits[at + 1 :]
+        return "-" * sign + text
+
+    def distinct(pairs: list[tuple[str, object]]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise ValueError("a repeated key")
+        return found
+
+    def refused(token: str) -> None:
+        raise ValueError(token)
+
+    def canonical(batch: Iterable[str | None]) -> list[str | None]:
+        texts, mark, odd = list(batch), _MARK, []
+        while any(t is not None and mark in t for t in texts):
+            mark += _MARK
+
+        def marked(token: str) -> str:
+            odd.append(token)
+            return mark + "#" + number(token)
+
+        read = json.JSONDecoder(parse_float=marked, parse_constant=refused, object_pairs_hook=distinct).decode
+        write = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False).encode
+
+        def spelled(raw: str | None) -> str | None:
+            if raw is None:
+                return None
+            odd.clear()
+            try:
+                text = write(read(raw))
+            except (ValueError, RecursionError):
+                return None
+            if "\\u" in raw:  # halves of surrogate pairs, which no text can hold
+                text = text.encode("utf-8", "replace").decode()
+            return re.sub(f'"{mark}#([^"]*)"', r"\1", text) if odd else text
+
+        gc.disable()  # what a document is made of holds no cycles
+        try:
+            return [spelled(t) for t in texts]
+        finally:
+            gc.enable()
+
+    return canonical
 
 
 def canonical_json(raw: Column) -> Column:
@@ -67,15 +96,24 @@ def canonical_json(raw: Column) -> Column:
     repeated key, of which no one can tell which value was meant, or with a number beyond double precision's range is
     null, so it counts as corrupt and is reported.
     """
-    infinite = lambda c: F.regexp_count(c, F.lit('"-?Infinity"'))
-    finite = lambda t: ~F.contains(t, F.lit('Infinity"')) | (infinite(t) <= infinite(raw))
-    numbers = lambda t: F.when(t.rlike(rf"\A{_AS_IT_IS}*+-?[0-9]"), _numbers(t)).otherwise(t)
-    controls = lambda t: F.when(F.contains(t, F.lit("\\u00")) & t.rlike(r"\\u00[01][A-F]"), _controls(t)).otherwise(t)
-    return bound(F.to_json(F.try_parse_json(raw)), lambda t: F.when(finite(t), bound(numbers(t), controls)))
+    canonical = _canonical()
+
+    @F.pandas_udf("string")
+    def texts(raw: pd.Series) -> pd.Series:
+        return pd.Series(canonical(raw), dtype=object)
+
+    return texts(raw)
 
 
 def document_hash(raw: Column) -> Column:
-    return F.sha2(canonical_json(raw), 256)
+    """The SHA-256 of a document's canonical JSON."""
+    canonical = _canonical()
+
+    @F.pandas_udf("string")
+    def hashes(raw: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else hashlib.sha256(t.encode()).hexdigest() for t in canonical(raw)], dtype=object)
+
+    return hashes(raw)
 
 
 def chain_head(payloads: Column) -> Column:
@@ -93,8 +131,6 @@ def chain(rows: DataFrame, host: str, order: list[str], payload: str) -> DataFra
     at, key = rows.columns.index(payload), rows.columns.index(host)
 
     def fold(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
 
         current, head = None, GENESIS

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -54,17 +56,33 @@ def _entity(section: str, key: Column, label: Column, pos: Column, shown: Column
     )
 
 
-def _single(there: Column, section: str, key: str = "", fields: dict[str, Column] | None = None, counters: Column | None = None) -> Column:
-    one = _entity(section, F.lit(key), F.lit(""), F.lit(0), F.lit(""), fields, counters, singleton=True)
-    return F.when(there.isNotNull(), F.array(one)).otherwise(F.expr(_NONE))
+Get = Callable[[str], Column]
 
 
-def _pairs(path: str, entity: Callable[[Column, Column, Column], Column]) -> Column:
-    """The entities of a map; entity is given key, value and place."""
-    return F.coalesce(F.transform(F.map_entries(path), lambda e, i: entity(e["key"], e["value"], i)), F.expr(_NONE))
+class _Part(NamedTuple):
+    """Entities that are made of the items of one array: the array (get gives a document's columns by path), an item's key, its entity."""
 
+    items: Callable[[Get], Column]
+    key: Callable[[Column], Column]
+    entity: Callable[[Column, Column], Column]
 
-def _values(section: str) -> Column:
+    def all(self, get: Get) -> Column:
+        return F.coalesce(F.transform(self.items(get), self.entity), F.expr(_NONE))
+
+
+def _single(path: str, section: str, key: str = "", fields: Callable[[Column], dict[str, Column]] | None = None, counters: Callable[[Column], Column] | None = None, item: Callable[[Column], Column] = lambda c: c) -> _Part:
+    def entity(e: Column, i: Column) -> Column:
+        return _entity(section, F.lit(key), F.lit(""), F.lit(0), F.lit(""), fields and fields(e), counters and counters(e), singleton=True)
+
+    return _Part(lambda get: F.when(get(path).isNotNull(), F.array(item(get(path)))), lambda e: F.lit(key), entity)
+
+
+def _pairs(path: str, entity: Callable[[Column, Column, Column], Column]) -> _Part:
+    """The entities of a map, by its keys; entity is given key, value and place."""
+    return _Part(lambda get: F.map_entries(get(path)), lambda e: e["key"], lambda e, i: entity(e["key"], e["value"], i))
+
+
+def _values(section: str) -> _Part:
     return _pairs(section, lambda k, v, i: _entity(section, k, _text(v), i, fields={"": _text(v)}))
 
 
@@ -72,14 +90,14 @@ Reader = Callable[[str], Column]
 Part = Callable[[Reader, Reader, Column], Column]
 
 
-def _each(section: str, path: str, key: Part, label: Part, shown: Part | None = None, fields: Callable | None = None, counters: Part | None = None) -> Column:
+def _each(section: str, path: str, key: Part, label: Part, shown: Part | None = None, fields: Callable | None = None, counters: Part | None = None) -> _Part:
     """The entities of an array of structs; key, label and so on are given an item's fields as text, as numbers, and the item."""
+    give = lambda f, e: f(lambda n: _text(e[n]), lambda n: _number(e[n]), e) if f else None
 
     def entity(e: Column, i: Column) -> Column:
-        give = lambda f: f(lambda n: _text(e[n]), lambda n: _number(e[n]), e) if f else None
-        return _entity(section, give(key), give(label), i, give(shown), give(fields), give(counters))
+        return _entity(section, give(key, e), give(label, e), i, give(shown, e), give(fields, e), give(counters, e))
 
-    return F.coalesce(F.transform(F.col(path), entity), F.expr(_NONE))
+    return _Part(lambda get: get(path), lambda e: give(key, e), entity)
 
 
 def _route(t: Reader, n: Reader, e: Column) -> Column:
@@ -104,24 +122,30 @@ def _by_pid(t: Reader, n: Reader, e: Column) -> Column:
 
 
 _built: dict[object, dict[str, list[Column]]] = {}
+_zipped: dict[object, dict[str, list[Column]]] = {}
 
 
-def _sections() -> dict[str, list[Column]]:
-    """Section to arrays of its entities. They take thousands of calls to make, so they are made once for each driver's JVM."""
+def _once(built: dict[object, dict[str, list[Column]]], make: Callable[[_Part, str], Column]) -> dict[str, list[Column]]:
+    """Section to what make gives for each of its parts. It takes thousands of calls, so it is made once for each driver's JVM."""
     jvm = SparkContext._gateway
-    if jvm not in _built:
-        _built.clear()
-        _built[jvm] = _made()
-    return _built[jvm]
+    if jvm not in built:
+        built.clear()
+        built[jvm] = {name: [make(p, name) for p in parts] for name, parts in _made().items()}
+    return built[jvm]
 
 
-def _made() -> dict[str, list[Column]]:
+def _sections() -> dict[str, list[Column]]:
     """Section to arrays of its entities, over the columns of schema.SNAPSHOT."""
+    return _once(_built, lambda part, name: part.all(F.col))
+
+
+def _made() -> dict[str, list[_Part]]:
+    """Section to the parts of its entities."""
     named = lambda t, *names: {f".{x}": t(x) for x in names}
     of = lambda name: lambda t, n, e: t(name)
     timer = ("description", "on_calendar", "on_boot_sec", "on_unit_active_sec", "on_unit_inactive_sec", "unit", "randomized_delay_sec")
     return {
-        "host": [_single(F.col("host"), "host", fields={x: _text(F.col(f"host.{x}")) for x in ("hostname", "kernel", "boot_id")})],
+        "host": [_single("host", "host", fields=lambda e: {x: _text(e[x]) for x in ("hostname", "kernel", "boot_id")})],
         "kernel_params": [_values("kernel_params")],
         "packages": [_values("packages")],
         "services": [_values("services")],
@@ -133,7 +157,7 @@ def _made() -> dict[str, list[Column]]:
             )
         ],
         "network.routes": [_each("network.routes", "network.routes", lambda t, n, e: _line(t("destination"), " dev ", t("device")), _route)],
-        "network.dns": [_single(F.col("network.dns"), "network.dns", fields={x: joined(F.col(f"network.dns.{x}")) for x in ("nameservers", "search_domains")})],
+        "network.dns": [_single("network.dns", "network.dns", fields=lambda e: {x: joined(e[x]) for x in ("nameservers", "search_domains")})],
         "listening_ports": [_each("listening_ports", "listening_ports", lambda t, n, e: _line(n("port"), "/", t("protocol"), " ", t("address")), _port)],
         "multicast_groups": [_each("multicast_groups", "multicast_groups", _group, _group)],
         "users": [
@@ -179,14 +203,14 @@ def _made() -> dict[str, list[Column]]:
                 lambda t, n, e: _line(t("user"), " ", t("fingerprint")), lambda t, n, e: named(t, "comment", "options", "source"),
             )
         ],
-        "cpu": [_single(F.col("cpu"), "cpu", counters=_map({x: _count(F.col(f"cpu.{x}")) for x in TICKS}))],
-        **{f"kernel_counters.{p}": [_single(F.col(f"kernel_counters.{p}"), f"kernel_counters.{p}", counters=F.map_entries(f"kernel_counters.{p}"))] for p in ("ip", "tcp", "udp")},
+        "cpu": [_single("cpu", "cpu", counters=lambda e: _map({x: _count(e[x]) for x in TICKS}))],
+        **{f"kernel_counters.{p}": [_single(f"kernel_counters.{p}", f"kernel_counters.{p}", counters=lambda e: e["each"], item=lambda c: F.struct(F.map_entries(c).alias("each")))] for p in ("ip", "tcp", "udp")},
         "processes": [
-            _single(F.col("processes"), "processes", "\u0000", {"total_count": _number(F.col("processes.total_count"))}),
+            _single("processes", "processes", "\u0000", lambda e: {"total_count": _number(e["total_count"])}),
             _each("processes", "processes.top_by_rss", lambda t, n, e: n("pid"), lambda t, n, e: _line("rss=", n("rss_kb"), "kB"), _by_pid, counters=lambda t, n, e: _map({".rss_kb": _count(e["rss_kb"])})),
         ],
         "sockets": [
-            _single(F.col("sockets"), "sockets", "\u0000", counters=_map({x: _count(F.col(f"sockets.{x}")) for x in ("total_tcp", "total_udp", "total_listen")})),
+            _single("sockets", "sockets", "\u0000", counters=lambda e: _map({x: _count(e[x]) for x in ("total_tcp", "total_udp", "total_listen")})),
             _each("sockets", "sockets.top_by_count", lambda t, n, e: n("pid"), lambda t, n, e: _line("tcp=", n("tcp_count"), " udp=", n("udp_count")), _by_pid),
         ],
         "connections": [_each("connections", "connections", lambda t, n, e: _line(t("protocol"), "/", t("process"), "/", t("remote_addr"), ":", n("remote_port")), _connection)],
@@ -222,25 +246,61 @@ def entities(snapshots: DataFrame, sections: list[str] | None = None) -> DataFra
     return rows.withColumn("fields", F.map_from_entries("fields")).withColumn("counters", F.map_from_entries("counters"))
 
 
+def _last(found: Column, keys: Column) -> Column:
+    """Of items with equal keys only the last, the others in their order."""
+
+    def some(both: Column) -> Column:
+        pairs = F.array_sort(F.transform(both["keys"], lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        ends = lambda every: F.filter(every, lambda k, j: ~k["k"].eqNullSafe(F.get(every, j + 1)["k"]))
+        kept = bound(pairs, lambda every: F.array_sort(F.transform(ends(every), lambda k: k["i"])))
+        once = F.size(F.array_distinct(both["keys"])) == F.size(both["keys"])
+        return F.when(once, both["found"]).otherwise(F.transform(kept, lambda i: F.get(both["found"], i)))
+
+    return bound(F.struct(found.alias("found"), keys.alias("keys")), some)
+
+
 def listed(sections: list[str] | None = None) -> Column:
     """An array of section and its entities, over the columns of schema.SNAPSHOT, of equal keys only the last; none without entities.
 
     An entity is ekey, dkey, label, singleton, fields and counters; arrays of it can be compared and hashed.
     """
     names = ("ekey", "dkey", "label", "singleton", "fields", "counters")
-
-    def last(found: Column) -> Column:
-        keys = F.array_sort(F.transform(found, lambda e, i: F.struct(e["ekey"].alias("k"), i.alias("i"))))
-        ends = lambda every: F.filter(every, lambda k, j: ~k["k"].eqNullSafe(F.get(every, j + 1)["k"]))
-        kept = bound(keys, lambda every: F.array_sort(F.transform(ends(every), lambda k: k["i"])))
-        once = F.size(F.array_distinct(F.transform(found, lambda e: e["ekey"]))) == F.size(found)
-        return F.when(once, found).otherwise(F.transform(kept, lambda i: F.get(found, i)))
-
+    last = lambda found: _last(found, F.transform(found, lambda e: e["ekey"]))
     parts = [F.struct(F.lit(name).alias("section"), F.concat(*xs).alias("found")) for name, xs in _sections().items() if not sections or name in sections]
     there = F.filter(F.array(*parts), lambda s: F.size(s["found"]) > 0)
     return F.transform(there, lambda s: F.struct(s["section"].alias("section"), F.transform(last(s["found"]), lambda e: F.struct(*[e[n].alias(n) for n in names])).alias("entities")))
 
 
+def zipped(sections: list[str] | None = None) -> Column:
+    """An array of section, o and n: the entities that differ between the structs old and new (of columns of schema.SNAPSHOT).
+
+    Items are compared as they are, by key, of equal keys the last; only of those that differ entities are made (as in
+    listed, but with maps), null on a side that has none.
+    """
+    get = lambda root: lambda path: reduce(lambda c, name: c[name], path.split("."), F.col(root))
+    names = ("dkey", "label", "singleton", "fields", "counters")
+
+    def entity(part: _Part, e: Column) -> Column:
+        made = bound(part.entity(e, F.lit(0)), lambda x: F.struct(*[(F.map_from_entries(x[n]) if n in ("fields", "counters") else x[n]).alias(n) for n in names]))
+        return F.when(e.isNotNull(), made)
+
+    def differing(part: _Part, name: str) -> Column:
+        def by_key(items: Column) -> Column:
+            return bound(_last(items, F.transform(items, part.key)), lambda kept: F.map_from_arrays(F.transform(kept, part.key), kept))
+
+        def met(both: Column) -> Column:
+            every = F.map_zip_with(by_key(both["o"]), by_key(both["n"]), lambda k, o, n: F.struct(o.alias("o"), n.alias("n")))
+            some = F.filter(F.map_values(every), lambda e: ~e["o"].eqNullSafe(e["n"]))
+            return F.transform(some, lambda e: F.struct(F.lit(name).alias("section"), entity(part, e["o"]).alias("o"), entity(part, e["n"]).alias("n")))
+
+        items = lambda root: F.coalesce(part.items(get(root)), F.array())
+        return bound(F.struct(items("old").alias("o"), items("new").alias("n")), lambda both: F.when(both["o"] != both["n"], met(both)))
+
+    found = _once(_zipped, differing)
+    parts = [x for name, xs in found.items() if not sections or name in sections for x in xs]
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
 #: The columns of schema.SNAPSHOT that each section is read from, where they have another name.
 _COLUMNS = {"cron": "cron_jobs", "timers": "systemd_timers"}
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.canon import bound
+from ..schema import SNAPSHOT
 from .diff import rows_of
-from .entities import listed
+from .entities import columns_of, listed, zipped
 
 #: What orders and chains documents. These columns are read alone, without documents.
 INDEX = ["host_id", "ts_ns", "path", "hash", "prev_hash"]
@@ -68,6 +70,22 @@ def changes(table: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("host_id", "pair_seq", "section", F.explode(bound(F.struct("o", "n"), _compared)).alias("c")).select("host_id", "pair_seq", "section", "c.*")
 
 
+def consecutive(snapshots: DataFrame, sections: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Changes of each snapshot (as sources.snapshots has them) against its host's one before it, as changes() has them, with columns to keep.
+
+    For documents that are compared as they pass, without a table of them: they are sorted once by host and time, and no
+    entity leaves its row. Documents that are already dealt by host_id are not dealt again. What is kept and compared
+    more than once goes through described().
+    """
+    order = Window.partitionBy("host_id").orderBy("ts_ns", "path")
+    every = [c.name for c in StructType.fromDDL(SNAPSHOT)]
+    rows = snapshots.select("host_id", "ts_ns", "path", *(keep or []), F.struct(*(columns_of(sections) or every)).alias("new"))
+    rows = rows.withColumn("pair_seq", (F.row_number().over(order) - 1).cast("long")).withColumn("old", F.lag("new").over(order)).where("pair_seq > 0")
+    differ = rows.select("host_id", "pair_seq", *(keep or []), F.explode(zipped(sections)).alias("e"))
+    found = differ.select("host_id", "pair_seq", *(keep or []), "e.section", F.explode(rows_of(F.col("e.o"), F.col("e.n"))).alias("c"))
+    return found.select("host_id", "pair_seq", *(keep or []), "section", "c.*")
+
+
 def _compared(both: Column) -> Column:
     """All rows of one section: its entities by key, old beside new; equal ones give none."""
     by_key = lambda side: F.map_from_entries(F.transform(F.coalesce(side, F.array()), lambda e: F.struct(e["ekey"], e)))

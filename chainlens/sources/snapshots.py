@@ -96,7 +96,7 @@ def read_packed_files(spark: SparkSession, root: str) -> DataFrame:
 
 def readable() -> Column:
     """Whether raw is a JSON object with a time."""
-    return F.try_parse_json("raw").isNotNull() & F.get_json_object("raw", "$.timestamp").isNotNull()
+    return document_hash(F.col("raw")).isNotNull() & F.get_json_object("raw", "$.timestamp").isNotNull()
 
 
 def checked(documents: DataFrame, sections: list[str] | None = None) -> DataFrame:
@@ -109,8 +109,8 @@ def checked(documents: DataFrame, sections: list[str] | None = None) -> DataFram
     wanted = columns_of(sections)
     shape = StructType([c for c in every if wanted is None or c.name in (*_ALWAYS, *wanted)])
     # From an array of one, so that no filter on what comes out is pushed below to work it out again.
-    once = F.struct(document_hash(F.col("raw")).alias("hash"), F.from_json("raw", shape).alias("doc"))
-    rows = documents.select("host_id", "path", "raw", F.inline(F.array(once))).select("host_id", "path", "raw", "hash", "doc.*")
+    once = F.struct("hash", F.from_json("raw", shape).alias("doc"))
+    rows = documents.select("host_id", "path", "raw", document_hash(F.col("raw")).alias("hash")).select("host_id", "path", "raw", F.inline(F.array(once)).alias("hash", "doc")).select("host_id", "path", "raw", "hash", "doc.*")
     rows = rows.withColumn("fit", F.col("hash").isNotNull() & F.col("timestamp").isNotNull())
     rows = rows.withColumn("ts_ns", F.when(F.col("fit"), nanoseconds(F.col("timestamp"))))
     return rows.withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withColumn("snap_date", F.to_date("ts"))
@@ -172,11 +172,16 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-def alerts(changes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """One payload for each pair with a material change: host, timestamp, counts and the changes; hosts has host_id, pair_seq, hostname, ts."""
+def alerts(changes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """One payload for each pair with a material change: host, timestamp, counts and the changes.
+
+    hosts has host_id, pair_seq, hostname, ts; without it the changes have hostname and ts themselves.
+    """
     row = F.struct("section", "type", "key", "old_value", "new_value", "counter")
-    found = changes.groupBy("host_id", "pair_seq").agg(F.count_if(~F.col("counter")).alias("material"), F.count_if("counter").alias("counters"), F.array_sort(F.collect_list(row)).alias("changes")).where("material > 0")
-    found = found.join(hosts, ["host_id", "pair_seq"])
+    known = [] if hosts is not None else ["hostname", "ts"]
+    found = changes.groupBy("host_id", "pair_seq", *known).agg(F.count_if(~F.col("counter")).alias("material"), F.count_if("counter").alias("counters"), F.array_sort(F.collect_list(row)).alias("changes")).where("material > 0")
+    if hosts is not None:
+        found = found.join(hosts, ["host_id", "pair_seq"])
     payload = F.struct(F.col("hostname").alias("host"), F.col("ts").alias("timestamp"), "material", "counters", "changes")
     return found.select("host_id", "pair_seq", F.to_json(payload).alias("payload"))
 

@@ -297,3 +297,25 @@ def test_mounts_lie_in_the_order_of_their_places(spark):
     rows = spark.createDataFrame([("h", 0, "/b", "/dev/1"), ("h", 0, "/a", "/dev/3"), ("h", 0, "/a", "/dev/2")], "host_id string, ts int, mount_point string, source string")
     document = json.loads(collect.assembled({"mounts": rows}, rows, {"mounts": rows}).first().document)
     assert [(m["mount_point"], m["source"]) for m in document["mounts"]] == [("/a", "/dev/2"), ("/a", "/dev/3"), ("/b", "/dev/1")]
+
+
+def test_documents_compared_as_they_pass(spark):
+    """What the one pass gives is what all entities joined give, also of keys that come twice; documents are sorted once and not joined."""
+    twice = put(["users"], [{"name": "a", "uid": 1}, {"name": "b", "uid": 2}, {"name": "a", "uid": 3}])
+    again = put(["users"], [{"name": "a", "uid": 3}, {"name": "b", "uid": 4}, {"name": "b", "uid": 2}, {"name": "c", "uid": 5}])
+    edits = [*[edit for edit, _ in CASES], again]
+    docs = [(f"h{k}", f"{i}.json", d) for k, edit in enumerate(edits) for i, d in enumerate((changed(twice), changed(lambda d, edit=edit: (twice(d), edit(d), put(["timestamp"], "2026-03-22T10:05:00Z")(d)))))]
+    rows = source.snapshots(loaded(spark, docs))
+    numbered = history.sequenced(rows).withColumn("seq", F.col("seq").cast("long"))
+    for names in (None, ["users", "network.routes", "kernel_counters.tcp"]):
+        want = diff.consecutive(entities.entities(numbered, names), diff.consecutive_pairs(numbered))
+        got = sections.consecutive(rows, names)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("from_json(") == 1
+
+
+def test_canonical_form_is_of_whole_documents_and_exact(spark):
+    cases = {'{"a":1} x': None, '{"b":10000000000000000000000000000000000000000,"a":1.50}': '{"a":1.5,"b":10000000000000000000000000000000000000000}', '{"a":"#5","b":2.0}': '{"a":"#5","b":2}', '{"a":NaN}': None, '{"a":"\\ud800"}': '{"a":"?"}', None: None}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", canon.canonical_json(F.col("t")).alias("j")).collect()
+    assert {r.t: r.j for r in rows} == cases
