@@ -123,7 +123,11 @@ def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     def found(batch: DataFrame) -> DataFrame:
         return entities.entities(batch, ["kernel_params"])
 
-    writer = lambda s: watch.watch(s, found, f"{folder}/state", sink, f"{folder}/check", read=source.snapshots, readable=source.readable(), dead_letters=f"{folder}/dead")
+    def read(batch: DataFrame) -> DataFrame:
+        rows = source.checked(batch, ["kernel_params"])
+        return rows.select("host_id", "path", F.when(~F.col("fit"), F.col("raw")).alias("raw"), "hash", "prev_hash", "ts_ns", "fit", "kernel_params")
+
+    writer = lambda s: watch.watch(s, found, f"{folder}/state", sink, f"{folder}/check", read=read, readable=F.col("fit"), dead_letters=f"{folder}/dead")
     _arriving(rows, [F.col("path") == "0", F.col("path") == "1"], folder, writer)
     told = spark.read.parquet(f"{folder}/changes").groupBy("host_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("changes"))
     dead = spark.read.parquet(f"{folder}/dead").groupBy("host_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("dead letter"))

@@ -111,8 +111,8 @@ def watch(
 ) -> DataStreamWriter:
     """Compares each arriving snapshot (host_id, ts_ns, path, ...) with its host's last one, by the batch operators.
 
-    What can't be read (rows for which readable is not true) goes to the folder dead_letters, one folder a micro-batch,
-    and the batch goes on without it; read makes snapshots of the rest. state holds every host's last snapshot's entities
+    read makes snapshots of a batch, once for all uses of them. What can't be read (rows for which readable, over what read
+    gives, is not true) goes to the folder dead_letters as it came, one folder a micro-batch, and the batch goes on without it. state holds every host's last snapshot's entities
     and number in buckets, of which a micro-batch writes those of its own hosts; a repeated batch starts from the same
     state again. If the state of the batch before is gone, the batch fails: its hosts would all seem new. Within a batch
     snapshots go in time order, ties by path. With follow_hashes a document whose prev_hash is not the hash before it goes
@@ -130,14 +130,14 @@ def watch(
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if readable is not None:
-            fit = F.coalesce(readable, F.lit(False))
-            if dead_letters:
-                batch.where(~fit).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
-            batch = batch.where(fit)
         rows = (read(batch) if read else batch).persist()
         held = [rows]
         try:
+            if readable is not None:
+                fit = F.coalesce(readable, F.lit(False))
+                if dead_letters:
+                    rows.where(~fit).select(*batch.columns).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+                rows = rows.where(fit)
             touched = sorted(r[0] for r in rows.select(bucket()).distinct().collect())
             known = _State(spark, state, number)
             if park_ns is not None:
