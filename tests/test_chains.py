@@ -319,3 +319,25 @@ def test_canonical_form_is_of_whole_documents_and_exact(spark):
     cases = {'{"a":1} x': None, '{"b":10000000000000000000000000000000000000000,"a":1.50}': '{"a":1.5,"b":10000000000000000000000000000000000000000}', '{"a":"#5","b":2.0}': '{"a":"#5","b":2}', '{"a":NaN}': None, '{"a":"\\ud800"}': '{"a":"?"}', None: None}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", canon.canonical_json(F.col("t")).alias("j")).collect()
     assert {r.t: r.j for r in rows} == cases
+
+
+def test_documents_are_written_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    """Small documents are dealt to many tasks, one file each; before, all went to one task."""
+    monkeypatch.setattr(source, "FILES", 4)
+    rows = spark.range(60).select(F.concat(F.lit("h"), "id").alias("host_id"), F.lit(0).alias("day"), F.lit("2026-03-22T10:00:00Z").alias("timestamp"))
+    source.write_documents(rows, f"{tmp_path}/d", ["host_id", "day"])
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "d").rglob("*.json")}
+    assert len([*(tmp_path / "d").rglob("*.json")]) == 60 and len(tasks) > 8
+    assert sorted(r.host_id for r in source.read_documents(spark, f"{tmp_path}/d").collect()) == sorted(f"h{i}" for i in range(60))
+
+
+def test_dead_letters_are_told_from_what_was_read(spark, tmp_path):
+    """A batch is read once: whether a document can be read is a column of what read gives; the dead letter is as it came."""
+    docs = loaded(spark, [("h", "0.json", BASE), ("g", "0.json", BASE)]).withColumn("raw", F.when(F.col("host_id") == "g", "{nope").otherwise(F.col("raw")))
+    docs.write.parquet(f"{tmp_path}/in")
+    read = lambda batch: source.checked(batch, ["kernel_params"]).select("host_id", "path", "raw", "hash", "ts_ns", "fit", "kernel_params")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    found = lambda batch: entities.entities(batch, ["kernel_params"])
+    watch.watch(stream, found, f"{tmp_path}/state", lambda c, b, n: c.collect(), f"{tmp_path}/check", read=read, readable=F.col("fit"), dead_letters=f"{tmp_path}/dead").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.host_id, r.raw) for r in spark.read.parquet(f"{tmp_path}/dead").select("host_id", "raw").collect()] == [("g", "{nope")]
+    assert [r.host_id for r in spark.read.parquet(f"{tmp_path}/state/heads").collect()] == ["h"]
