@@ -221,8 +221,8 @@ def documents_in_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files, one each, scanned again: host by the path, order by time."""
     folder = f"{scratch(spark)}/documents"
     rows = table(spark, sf, "supplier").select(_cat("s", _s()).alias("host_id"), "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
-    doc = rows.select("host_id", F.col("t").alias("day"), _cat("2026-03-2", (F.col("t") + 1).cast("string"), "T10:00:00Z").alias("timestamp"), F.lit("0" * 64).alias("prev_hash"), F.struct(_cat(F.col("s_name"), F.col("t").cast("string")).alias("hostname")).alias("host"))
-    source.write_documents(doc, folder, ["host_id", "day"])
+    doc = rows.select("host_id", _cat("2026-03-2", (F.col("t") + 1).cast("string"), "T10:00:00Z").alias("timestamp"), F.lit("0" * 64).alias("prev_hash"), F.struct(_cat(F.col("s_name"), F.col("t").cast("string")).alias("hostname")).alias("host"))
+    source.write_documents(doc, folder)
     found = history.sequenced(source.snapshots(source.read_documents(spark, folder)))
     return found.select("host_id", F.col("seq").cast("long").alias("seq"), "prev_hash", "host.hostname")
 

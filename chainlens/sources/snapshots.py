@@ -62,15 +62,15 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return files.select(host.alias("host_id"), path.alias("path"), F.col("value").alias("raw"))
 
 
-def write_documents(rows: DataFrame, root: str, folders: list[str]) -> None:
-    """Rows as JSON files below root, one for each folder (host_id=<host>/...), as read_documents finds them.
+def write_documents(rows: DataFrame, root: str) -> None:
+    """Rows as JSON files, one each, below root in a folder for each host (host_id=<host>), as read_documents finds them.
 
     What takes time is not their size but their number, so that decides how many tasks there are, and each task moves its
     own files to their places.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // FILES + 1)
-    placed = rows.repartition(parts, *folders).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    placed.partitionBy(*folders).mode("append").json(root)
+    placed = rows.repartition(parts, "host_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    placed.option("maxRecordsPerFile", 1).partitionBy("host_id").mode("append").json(root)
 
 
 def read_raw_files(spark: SparkSession, root: str) -> DataFrame:

@@ -324,11 +324,11 @@ def test_canonical_form_is_of_whole_documents_and_exact(spark):
 def test_documents_are_written_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
     """Small documents are dealt to many tasks, one file each; before, all went to one task."""
     monkeypatch.setattr(source, "FILES", 4)
-    rows = spark.range(60).select(F.concat(F.lit("h"), "id").alias("host_id"), F.lit(0).alias("day"), F.lit("2026-03-22T10:00:00Z").alias("timestamp"))
-    source.write_documents(rows, f"{tmp_path}/d", ["host_id", "day"])
+    rows = spark.range(60).select(F.concat(F.lit("h"), "id").alias("host_id"), F.explode(F.array(F.lit("2026-03-22T10:00:00Z"), F.lit("2026-03-23T10:00:00Z"))).alias("timestamp"))
+    source.write_documents(rows, f"{tmp_path}/d")
     tasks = {p.name.split("-")[1] for p in (tmp_path / "d").rglob("*.json")}
-    assert len([*(tmp_path / "d").rglob("*.json")]) == 60 and len(tasks) > 8
-    assert sorted(r.host_id for r in source.read_documents(spark, f"{tmp_path}/d").collect()) == sorted(f"h{i}" for i in range(60))
+    assert len([*(tmp_path / "d").rglob("*.json")]) == 120 and len(tasks) > 8
+    assert sorted(r.host_id for r in source.read_documents(spark, f"{tmp_path}/d").collect()) == sorted([f"h{i}" for i in range(60)] * 2)
 
 
 def test_dead_letters_are_told_from_what_was_read(spark, tmp_path):
