@@ -230,6 +230,11 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = written(moved.where("a > b").distinct(), "edges")
 
 
+def fingerprint_components(fps: DataFrame) -> DataFrame:
+    """fps (fp, distinct, and others) with root, the least fingerprint that links reach."""
+    return fps.join(components(links(fps.select("fp"))).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """doc_id, fp, root and component_id (the least doc_id that links reach) of each row of docs (doc_id, text), with extra columns.
 
@@ -241,8 +246,7 @@ def near_duplicates(docs: DataFrame, extra: list[str] | None = None) -> DataFram
     ship(docs.sparkSession)
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint()("text").alias("fp"), *(extra or [])), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    star = components(links(fps.select("fp")))
-    placed = fps.join(star.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = fingerprint_components(fps)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = written(placed.join(least, "root").select("fp", "root", "component_id"), "placed")
     return rows.join(placed, "fp")
@@ -271,15 +275,17 @@ def band_hashes(shingles: np.ndarray) -> list[int]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """th, text to th, size, key and bands of its shingle set."""
+    """th, text to th, the text's fingerprint, and size, key and bands of its shingle set."""
     for some in pieces(batches):
-        size, key, bands = [], [], []
+        fp, size, key, bands = [], [], [], []
         for text in some.column(1):
+            fp.append(fingerprint_of(text.as_py()))
             shingles = shingle_set(text.as_py())
             size.append(len(shingles))
             key.append(xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63)
             bands.append(band_hashes(shingles))
-        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["th", "size", "key", "bands"])
+        fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([some.column(0), fps, pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["th", "fp", "size", "key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +391,26 @@ def _pairs(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return sets.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_copies, "a long, b long").distinct()
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """The buckets (key, th, size, band, bucket) in which texts (th, fp, size, key, bands) may meet, one th for each key.
+
+    Band 0 is the SimHash index: its buckets are the components of fingerprints, by their roots. The other bands are those of
+    the shingle sets, for texts that are alike but more than DISTANCE bits apart. A key whose texts have several fingerprints
+    is in the component of each.
+    """
+    one = rows.groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "bands")])
+    placed = fingerprint_components(written(rows.select("fp").distinct(), "distinct"))
+    found = rows.select("key", "fp").distinct().join(placed, "fp").select("key", F.col("root").alias("bucket")).distinct()
+    found = found.join(one.select("key", "th", "size"), "key").select("key", "th", "size", F.lit(0).alias("band"), "bucket")
+    banded = one.select("key", "th", "size", F.posexplode("bands").alias("band", "bucket"))
+    return found.unionByName(banded.withColumn("band", F.col("band") + 1))
+
+
 def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     """th (a hash of the text) and root of each distinct text of docs (text): texts that links of likeness LIKE connect have one root.
 
-    Texts of equal shingle sets meet first. Texts that agree in a band share a bucket, within which they are compared by
+    Texts of equal shingle sets meet first. Texts whose fingerprints the SimHash index connects share a bucket, and so do
+    texts that agree in a band (see meetings); within a bucket they are compared by
     their whole sets. A bucket of over tile texts or HELD shingles is cut into tiles: at first texts meet within their tile
     and with the bucket's leaders, and then only those that no link has brought into the bucket's greatest component
     meet the rest of it, so a million copies of one form cost as much as they are. None is dropped or cut short.
@@ -396,10 +418,9 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
-    rows = written(texts.mapInArrow(_sketches, "th long, size long, key long, bands array<long>"), "sketches")
-    rows = written(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("size", "key", "bands")]), "texts")
-    one = rows.groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "bands")])
-    bands = written(one.select("key", "th", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
+    rows = written(texts.mapInArrow(_sketches, "th long, fp long, size long, key long, bands array<long>"), "sketches")
+    rows = written(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("fp", "size", "key", "bands")]), "texts")
+    bands = written(meetings(rows), "bands")
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / HELD)).cast("int")
     leaders = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(LEADERS)])
     shared = written(bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles"), leaders.alias("leaders")).where("n > 1").drop("n"), "shared")

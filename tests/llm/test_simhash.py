@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from chainlens.llm import simhash
 from chainlens.llm.simhash import DISTANCE, fingerprint_of, keep_one, near_duplicates, near_pairs
@@ -146,3 +147,20 @@ def test_work_on_one_large_group_follows_its_size(spark, monkeypatch):
     assert kept == {1, *range(0, 600, 40)}  # one of the letters, and every text that has half of it
     a_tile = held["first"].groupBy("band", "bucket", "low").count().agg({"count": "max"}).first()[0]
     assert a_tile < 60 and held["first"].count() < 3 * 600 * 20 and held["last"].count() < 600 * 20
+
+
+def test_keep_one_meets_copies_by_the_fingerprint_index(spark, monkeypatch):
+    """Without a band in common, near copies are still found through their fingerprints: and only those that are alike."""
+    draw = np.random.default_rng(4)
+    base = [[f"w{x}" for x in draw.integers(0, 5000, 3000)] for _ in range(5)]
+    near = [" ".join([*w[:200], "other", *w[201:]]) for w in base]
+    all_texts = [*(" ".join(w) for w in base), *near, "x y z", "x y z w"]
+    apart = [(fingerprint_of(a) ^ fingerprint_of(b)).bit_count() for a, b in zip(all_texts[:5], near, strict=True)]
+    assert max(apart) <= DISTANCE
+    meetings = simhash.meetings
+    monkeypatch.setattr(simhash, "meetings", lambda rows: meetings(rows).where("band = 0"))
+    docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == {0, 1, 2, 3, 4, 10, 11}
+    # One bucket of all texts, which the index may well give: likeness alone decides.
+    monkeypatch.setattr(simhash, "meetings", lambda rows: meetings(rows).where("band = 0").withColumn("bucket", F.lit(0).cast("long")))
+    assert {r.doc_id for r in keep_one(docs).collect()} == {0, 1, 2, 3, 4, 10, 11}
