@@ -12,6 +12,7 @@ from chainlens.operators import cadence, collect, diff, entities, history, parse
 from chainlens.schema import GENESIS
 from chainlens.sources import checks, ledger, store
 from chainlens.sources import snapshots as source
+from chainlens.streaming import cadence as stream_cadence
 from chainlens.streaming import outbox, watch
 
 from .test_core import BASE, CASES, changed, loaded, put
@@ -341,3 +342,21 @@ def test_dead_letters_are_told_from_what_was_read(spark, tmp_path):
     watch.watch(stream, found, f"{tmp_path}/state", lambda c, b, n: c.collect(), f"{tmp_path}/check", read=read, readable=F.col("fit"), dead_letters=f"{tmp_path}/dead").trigger(availableNow=True).start().awaitTermination()
     assert [(r.host_id, r.raw) for r in spark.read.parquet(f"{tmp_path}/dead").select("host_id", "raw").collect()] == [("g", "{nope")]
     assert [r.host_id for r in spark.read.parquet(f"{tmp_path}/state/heads").collect()] == ["h"]
+
+
+def test_stream_cadence_keeps_many_sections_in_a_bucket(spark, tmp_path):
+    """More sections than buckets, null values among them, over three micro-batches: as gone through one by one."""
+    rows = [(f"h{h}", f"s{s}", t, None if t % 7 == 0 else f"{h}.{s}.{t}") for h in range(5) for s in range(3) for t in range(h, 60, 2 + s)] + [(None, "s", 1, "n"), (None, "s", 50, "m")]
+    table = spark.createDataFrame(rows, "host_id string, section string, t long, value string")
+    for part in ("t < 20", "t >= 20 and t < 40", "t >= 40"):
+        table.where(part).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stream_cadence.fired(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), 10, buckets=2)
+        assert stream.columns == ["host_id", "section", "t", "value", "recorded"]
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    due, want = {}, []
+    for h, s, t, v in sorted(rows, key=lambda r: r[2]):
+        if (recorded := t >= due.get((h, s), (0,))[0]):
+            due[h, s] = (t + 10, v)
+        want.append((h, s, t, due[h, s][1], recorded))
+    got = spark.read.schema("host_id string, section string, t long, value string, recorded boolean").parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
