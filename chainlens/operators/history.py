@@ -44,31 +44,35 @@ def resolve(rows: DataFrame, ref: str) -> DataFrame:
     return found.join(once, "host_id", "left_semi")
 
 
-def resolve_all(index: DataFrame, refs: DataFrame, shortest: int = 4) -> DataFrame:
+def resolve_all(index: DataFrame, refs: DataFrame) -> DataFrame:
     """Many refs at once: ref_id, status, candidates, host_id, seq, hash of refs (ref_id, host_id, ref) by an index (host_id, seq, hash).
 
-    HEAD and HEAD~n are places counted from each host's end; anything else is the start of a hash. Starts meet hashes by
-    their first characters (as many as they have, `shortest` at most), so nothing is compared with everything. status is
-    found, none, or ambiguous; candidates says how many there were, and seq and hash are empty unless it was one.
+    HEAD and HEAD~n are places counted from each host's end; anything else is the start of a hash. Index and refs are dealt by
+    host once, narrow as they are, and meet there in sorted order: a start is two places among the host's hashes, between which
+    its candidates lie, so even one of many candidates costs as much as any other. status is found, none, or ambiguous;
+    candidates says how many there were, and seq and hash are empty unless it was one.
     """
-    ref = F.lower(F.trim("ref"))
     back = F.when(F.col("ref") == "HEAD", F.lit(0)).otherwise(F.coalesce(F.nullif(F.regexp_extract("ref", r"^HEAD~([0-9]*)$", 1), F.lit("")).try_cast("long"), F.lit(0)))
-    named = refs.select("ref_id", "host_id", F.col("ref").rlike(r"^HEAD(~[0-9]*)?$").alias("place"), back.cast("long").alias("back"), ref.alias("start"))
-    last = index.groupBy("host_id").agg(F.max("seq").alias("last"))
-    places = named.where("place").join(last, "host_id").select("ref_id", "host_id", (F.col("last") - F.col("back")).alias("seq"))
-    by_place = places.join(index.select("host_id", "seq", "hash"), ["host_id", "seq"]).select("ref_id", "host_id", "seq", "hash")
-    keyed = named.where("not place and start <> ''").withColumn("k", F.least(F.length("start"), F.lit(shortest)))
-    lengths = F.array(*[F.lit(n) for n in range(1, shortest + 1)])
-    starts = index.select("host_id", "seq", "hash", F.explode(lengths).alias("k")).withColumn("key", F.substring("hash", F.lit(1), F.col("k")))
-    used = keyed.select("k").distinct()
-    starts = starts.join(F.broadcast(used), "k", "left_semi")  # at most `shortest` rows
-    met = keyed.withColumn("key", F.substring("start", F.lit(1), F.col("k"))).join(starts, ["host_id", "k", "key"])
-    by_start = met.where(F.startswith("hash", F.col("start"))).select("ref_id", "host_id", "seq", "hash")
-    found = by_place.unionByName(by_start).groupBy("ref_id", "host_id").agg(F.count("*").alias("candidates"), F.min("seq").alias("seq"), F.min("hash").alias("hash"))
+    place = F.col("ref").rlike(r"^HEAD(~[0-9]*)?$")
+    asked = refs.select("ref_id", "host_id", place.alias("place"), back.cast("long").alias("back"), F.when(~place, F.nullif(F.lower(F.trim("ref")), F.lit(""))).alias("start"), F.lit(False).alias("known"))
+    every = asked.unionByName(index.where("host_id is not null").select("host_id", F.col("seq").cast("long").alias("seq"), "hash", F.lit(True).alias("known")), allowMissingColumns=True).repartition("host_id")
+    every = every.withColumn("at", F.when(F.col("known"), F.col("seq")).when(F.col("place"), F.max("seq").over(Window.partitionBy("host_id")) - F.col("back")))
+    there = Window.partitionBy("host_id", "at")
+    every = every.withColumn("n_at", F.count_if("known").over(there)).withColumn("hash_at", F.min("hash").over(there))
+    mark = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"))
+    after = F.concat("start", F.lit(chr(0x10FFFF)))
+    marks = F.when(F.col("start").isNotNull(), F.array(mark(F.col("start"), 0), mark(after, 2))).otherwise(F.array(mark(F.col("hash"), 1)))
+    upto = Window.partitionBy("host_id").orderBy("text", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = F.col("known") & F.col("hash").isNotNull()
+    every = every.select("*", F.inline(marks)).withColumn("n", F.count_if(hashed).over(upto)).withColumn("before", F.last(F.when(hashed, F.struct("seq", "hash")), ignorenulls=True).over(upto))
+    found = every.where("not known").groupBy("ref_id", "host_id").agg(
+        F.max(F.struct("place", "n_at", "at", "hash_at")).alias("p"), (F.max("n") - F.min("n")).alias("n"), F.max_by("before", "kind").alias("s")
+    )
+    by_place = F.coalesce("p.place", F.lit(False))
+    found = found.select("ref_id", "host_id", F.when(by_place, F.col("p.n_at")).otherwise(F.col("n")).alias("candidates"), F.when(by_place, F.col("p.at")).otherwise(F.col("s.seq")).alias("seq"), F.when(by_place, F.col("p.hash_at")).otherwise(F.col("s.hash")).alias("hash"))
     one = lambda c: F.when(F.col("candidates") == 1, F.col(c)).alias(c)
-    rows = refs.select("ref_id", "host_id").join(found, ["ref_id", "host_id"], "left").fillna(0, ["candidates"])
     status = F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "found").otherwise("ambiguous")
-    return rows.select("ref_id", "host_id", status.alias("status"), "candidates", one("seq"), one("hash"))
+    return found.select("ref_id", "host_id", status.alias("status"), "candidates", one("seq"), one("hash"))
 
 
 def extracts(rows: DataFrame, requests: DataFrame, width_days: int = 7) -> DataFrame:

@@ -122,6 +122,23 @@ def test_refs_and_extracts(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_refs_are_dealt_by_host_once(spark):
+    hashes = [f"{i * 2654435761 % 2**32:08x}" for i in range(300)]
+    index = spark.createDataFrame([("h", i, x) for i, x in enumerate(hashes)] + [(None, 0, "00"), ("h", 300, None)], "host_id string, seq long, hash string")
+    starts = [x[:n] for x in hashes[:40] for n in (1, 2, 8)] + ["zz", "0" * 9]
+    asked = [(i, "h", s) for i, s in enumerate(starts)] + [(900, None, "00"), (901, "h", None), (902, None, "HEAD"), (903, "h", "HEAD"), (904, "h", "HEAD~1"), (905, "h", hashes[3].upper())]
+    found = history.resolve_all(index, spark.createDataFrame(asked, "ref_id int, host_id string, ref string"))
+    got = {r.ref_id: (r.status, r.candidates, r.seq, r.hash) for r in found.collect()}
+    assert len(got) == len(asked)
+    for i, s in enumerate(starts):
+        met = [(k, x) for k, x in enumerate(hashes) if x.startswith(s)]
+        assert got[i] == (("none", "found")[len(met)], len(met), *met[0]) if len(met) == 1 else got[i] == ("ambiguous" if met else "none", len(met), None, None)
+    assert [got[i] for i in (900, 901, 902)] == [("none", 0, None, None)] * 3
+    assert got[903] == ("found", 1, 300, None) and got[904] == ("found", 1, 299, hashes[299]) and got[905] == ("found", 1, 3, hashes[3])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2
+
+
 def canonical(value):
     """The same form by Python: what a number is, by decimals."""
     if isinstance(value, dict):
