@@ -413,8 +413,9 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     texts that agree in a band (see meetings); within a bucket they are compared by
     their whole sets. A bucket of over tile texts or HELD shingles is cut into tiles: at first texts meet within their tile
     and with the bucket's leaders, and then only those that no link has brought into the bucket's greatest component
-    meet the rest of it, so a million copies of one form cost as much as they are. None is dropped or cut short.
-    Texts are known by 64 bits of a hash.
+    meet the rest of it, so a million copies of one form cost as much as they are. None is dropped or cut short. Buckets
+    of the very same texts, as near copies share many, would find the same links, so one of them stands for all.
+    Texts are known by 64 bits of a hash, a bucket's texts by their number and 128 bits.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
@@ -423,7 +424,9 @@ def copies(docs: DataFrame, tile: int = 512) -> DataFrame:
     bands = written(meetings(rows), "bands")
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / HELD)).cast("int")
     leaders = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(LEADERS)])
-    shared = written(bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), tiles.alias("tiles"), leaders.alias("leaders")).where("n > 1").drop("n"), "shared")
+    members = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), *members, tiles.alias("tiles"), leaders.alias("leaders")).where("n > 1")
+    shared = written(shared.dropDuplicates(["n", "m0", "m1"]).select("band", "bucket", "tiles", "leaders"), "shared")
     pairs = _pairs(texts, first_groups(bands, shared))
     if not shared.where("tiles > 1").isEmpty():
         pairs = written(pairs, "pairs")

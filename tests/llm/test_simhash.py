@@ -164,3 +164,15 @@ def test_keep_one_meets_copies_by_the_fingerprint_index(spark, monkeypatch):
     # One bucket of all texts, which the index may well give: likeness alone decides.
     monkeypatch.setattr(simhash, "meetings", lambda rows: meetings(rows).where("band = 0").withColumn("bucket", F.lit(0).cast("long")))
     assert {r.doc_id for r in keep_one(docs).collect()} == {0, 1, 2, 3, 4, 10, 11}
+
+
+def test_the_same_texts_meet_in_one_bucket_only(spark, monkeypatch):
+    """Near copies share many bands: their shingles travel once for each set of texts, not once for each band."""
+    held = {}
+    first = simhash.first_groups
+    monkeypatch.setattr(simhash, "first_groups", lambda *a: held.setdefault("bands", a[0]) and held.setdefault("first", first(*a)))
+    docs = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    keep_one(docs).collect()
+    every = {frozenset(r.keys) for r in held["bands"].groupBy("band", "bucket").agg(F.collect_set("key").alias("keys")).collect() if len(r.keys) > 1}
+    met = [frozenset(r.keys) for r in held["first"].groupBy("band", "bucket", "low").agg(F.collect_set("key").alias("keys")).collect()]
+    assert set(met) == every and len(met) == len(every) > 10
