@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import delta_text
@@ -28,6 +28,31 @@ def between(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return changes(side("seq_a"), side("seq_b"))
 
 
+def arriving(entities: DataFrame, bounds: DataFrame) -> DataFrame:
+    """What consecutive gives for the pairs from first to last of each host (bounds: host_id, first, last), by one shuffle.
+
+    A host's entities meet in one task, each key in order of seq, so that the old side stands just before the new one. As
+    with the join, of keys that repeat in a snapshot each meets each, and keys that are null meet none.
+    """
+    by = Window.partitionBy("host_id", "section", "ekey").orderBy("seq")
+    side = F.struct("dkey", "label", "singleton", "fields", "counters")
+    rows = entities.select("host_id", F.col("seq").cast("long").alias("seq"), "section", "ekey", side.alias("n")).repartition("host_id")
+    rows = rows.select("*", F.collect_list("n").over(by.rangeBetween(-1, -1)).alias("before"), F.count("*").over(by.rangeBetween(1, 1)).alias("after"))
+    rows = rows.join(bounds, "host_id")
+    known, none = F.col("section").isNotNull() & F.col("ekey").isNotNull(), F.lit(None)
+    pair = lambda seq, o, n: F.struct(seq.alias("pair_seq"), o.alias("o"), n.alias("n"))
+    kind = entities.select(side.alias("n")).schema["n"].dataType
+    seq, n = F.col("seq"), F.col("n")
+    alone = F.array(pair(seq, none.cast(kind), n))
+    met = F.when(known & (F.size("before") > 0), F.transform("before", lambda o: pair(seq, o, n))).otherwise(alone)
+    gone = F.array(pair(seq + 1, n, none.cast(kind)))
+    own = F.when(seq.between(F.col("first"), F.col("last")), met)
+    left = F.when((seq + 1).between(F.col("first"), F.col("last")) & ~(known & (F.col("after") > 0)), gone)
+    nothing = F.slice(alone, 1, 0)
+    found = rows.select("host_id", "section", F.inline(F.concat(F.coalesce(own, nothing), F.coalesce(left, nothing))))
+    return found.select("host_id", "pair_seq", "section", F.explode(rows_of(F.col("o"), F.col("n"))).alias("c")).select("host_id", "pair_seq", "section", "c.*")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """host_id, pair_seq, section, type, key, old_value, new_value, counter.
 
@@ -68,6 +93,12 @@ def counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(summed, ["host_id", "pair_seq"], "left").fillna(0, ["material", "counters"])
 
 
+def with_material(found: DataFrame) -> DataFrame:
+    """Changes of the pairs of which one at least is no counter's."""
+    pair = Window.partitionBy("host_id", "pair_seq")
+    return found.withColumn("_any", F.max(~F.col("counter")).over(pair)).where("_any").drop("_any")
+
+
 def in_section(found: DataFrame, prefix: str) -> DataFrame:
     """Changes of sections that start with prefix."""
     return found.where(F.startswith("section", F.lit(prefix)))

@@ -25,6 +25,12 @@ def _arriving(rows: DataFrame, parts: list[Column], folder: str, writer: Callabl
         writer(stream).trigger(availableNow=True).start().awaitTermination()
 
 
+def _once(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows as a table, so that landing them part by part does not work them out for each part."""
+    rows.write.parquet(f"{folder}/rows")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def _thirds(day: Column) -> list[Column]:
     """Early, middle and late days; rows without a day come early."""
     return [F.coalesce(day < "2024-01-11", F.lit(True)), (day >= "2024-01-11") & (day < "2024-01-21"), day >= "2024-01-21"]
@@ -104,7 +110,7 @@ def stream_diff(spark: SparkSession, sf: str) -> DataFrame:
     def sink(changes: DataFrame, breaks: DataFrame, number: int) -> None:
         changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    _arriving(rows, _thirds(F.col("path")), folder, lambda s: watch.watch(s, found, f"{folder}/state", sink, f"{folder}/check"))
+    _arriving(_once(rows, folder), _thirds(F.col("path")), folder, lambda s: watch.watch(s, found, f"{folder}/state", sink, f"{folder}/check"))
     return spark.read.parquet(f"{folder}/changes").select("host_id", "pair_seq", "type", "key", "old_value", "new_value")
 
 

@@ -166,19 +166,20 @@ def watch(
             new = known.once("new", entities_of(rows))
             last = known.read("entities", touched, new)
             every = last.unionByName(new)
-            pairs = rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"))
-            found = known.once("changes", diff.consecutive(every, pairs))
-            told = diff.counts(found, pairs).where("material > 0" if ignore_counters else "material + counters > 0")
-            chosen = found.join(told.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi")
+            # A host's snapshots of a batch follow each other, so their first and last number tell its pairs.
+            newest = rows.groupBy("host_id").agg(F.min("seq").alias("first"), F.max("seq").alias("seq"), F.max_by(hashes, "seq").alias("hash"))
+            bounds = newest.select("host_id", F.greatest("first", F.lit(1)).alias("first"), F.col("seq").alias("last"))
+            found = diff.arriving(every, bounds)
+            # Every pair that has a row here has a change of some kind.
+            chosen = known.once("changes", diff.with_material(found) if ignore_counters else found)
             sink(chosen, breaks, number)
             if alert:
                 named = F.col("host.hostname") if "host" in rows.columns else F.col("host_id")
                 alert(chosen, rows.where("seq > 0").select("host_id", F.col("seq").alias("pair_seq"), named.alias("hostname"), F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts")), number)
-            newest = rows.groupBy("host_id").agg(F.max("seq").alias("seq"), F.max_by(hashes, "seq").alias("hash"))
-            kept = heads.join(newest, "host_id", "left_anti").unionByName(newest)
-            known.write("heads", kept)
-            now = known.spark.read.schema(kept.schema).parquet(f"{state}/heads/v={number}").select("host_id", "seq")
-            known.write("entities", every.join(now, ["host_id", "seq"], "left_semi"))
+            newest = newest.drop("first")
+            known.write("heads", heads.join(newest, "host_id", "left_anti").unionByName(newest))
+            last = F.col("last")
+            known.write("entities", every.where("host_id is not null").join(bounds, "host_id", "left").where(last.isNull() | (F.col("seq") == last)).select(*every.columns))
             known.close(touched)
             if after:
                 after(number)

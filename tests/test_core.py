@@ -5,6 +5,7 @@ import hashlib
 import json
 import shutil
 import tarfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +314,36 @@ def _kernel(rows):
     pairs = rows.select("host_id", "seq", F.from_json(F.get_json_object("raw", "$.kernel_params"), "map<string,string>").alias("m")).select("host_id", "seq", F.explode("m").alias("k", "v"))
     none = F.expr("cast(map() as map<string,decimal(20,0)>)")
     return pairs.select("host_id", F.col("seq").cast("long").alias("seq"), F.lit("kernel_params").alias("section"), F.col("k").alias("ekey"), F.col("k").alias("dkey"), F.col("v").alias("label"), F.lit(False).alias("singleton"), F.create_map(F.lit(""), F.col("v")).alias("fields"), none.alias("counters"))
+
+
+def test_arriving_gives_what_the_join_gives(spark):
+    """Keys that come, go, stay, come back, repeat in a snapshot or are null; singletons; hosts beside the pairs."""
+    rows = []
+    for host, seqs in (("a", range(3, 8)), ("b", range(0, 4)), ("c", [5]), (None, [0, 1])):
+        for seq in seqs:
+            keys = [k for i, k in enumerate(["stays", "odd", "third", "late"]) if (i == 0 or (seq % 2 if i == 1 else seq % 3 == 0 if i == 2 else seq > 4))] + [None]
+            rows += [(host, seq, "s", k, k, f"l{k}", False, {".f": f"v{seq // 2}"}, {".n": Decimal(seq)}) for k in keys]
+            rows += [(host, seq, "s", "twice", "twice", f"t{i}", False, {".f": f"{seq * i}"}, {}) for i in range(2 if seq > 1 else 1)]
+            if seq != 6:
+                rows.append((host, seq, "one", "", "", "", True, {"x": f"{seq // 3}"}, {"y": Decimal(7)}))
+    entities = spark.createDataFrame(rows, "host_id string, seq long, section string, ekey string, dkey string, label string, singleton boolean, fields map<string,string>, counters map<string,decimal(20,0)>")
+    bounds = spark.createDataFrame([("a", 4, 7), ("b", 1, 3), ("d", 1, 2), ("c", 1, 0)], "host_id string, first long, last long")
+    pairs = bounds.select("host_id", F.explode(F.expr("filter(sequence(1L, 9L), x -> x between first and last)")).alias("pair_seq"))
+    as_text = lambda df: sorted(map(str, df.collect()))
+    want = as_text(diff.consecutive(entities, pairs))
+    assert as_text(diff.arriving(entities, bounds)) == want and len(want) > 60
+    material = diff.counts(diff.consecutive(entities, pairs), pairs).where("material > 0")
+    assert as_text(diff.with_material(diff.arriving(entities, bounds))) == as_text(diff.consecutive(entities, pairs).join(material.select("host_id", "pair_seq"), ["host_id", "pair_seq"], "left_semi"))
+
+
+def test_a_watch_shuffles_entities_once_to_compare_them(spark, monkeypatch, tmp_path):
+    """The comparison of a micro-batch joins entities with no second copy of themselves and changes with no list of pairs."""
+    plans, once = {}, watch._State.once
+    monkeypatch.setattr(watch._State, "once", lambda self, kind, df: plans.setdefault(f"{kind}{self.number}", df._jdf.queryExecution().optimizedPlan().toString()) and once(self, kind, df))
+    rows = spark.createDataFrame([("h", i, f"{i}", f'{{"kernel_params": {{"k": "{i}"}}}}') for i in (1, 2)], "host_id string, ts_ns long, path string, raw string")
+    rows.write.parquet(f"{tmp_path}/in")
+    got = []
+    writer = watch.watch(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), _kernel, f"{tmp_path}/state", lambda changes, breaks, n: got.extend(changes.collect()), f"{tmp_path}/check")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert [(r.pair_seq, r.type, r.old_value, r.new_value) for r in got] == [(1, "modified", "1", "2")]
+    assert "FullOuter" not in plans["changes0"] and "LeftSemi" not in plans["changes0"] and plans["changes0"].count("Join") <= 2
