@@ -11,7 +11,7 @@ from ..sources import checks, store
 from ..streaming import cadence as stream_cadence
 from ..streaming import outbox, watch
 from .queries import query, scratch, table
-from .streams import _arriving, _thirds
+from .streams import _arriving, _once, _thirds
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ def stream_any_order(spark: SparkSession, sf: str) -> DataFrame:
 SELECT mode, h AS host_id, count(*) FILTER (m > 0 OR mode = 'all') AS told, count(*) FILTER (m > 0) AS payloads FROM p, (VALUES ('all'), ('material')) v(mode) GROUP BY ALL HAVING count(*) FILTER (m > 0 OR mode = 'all') > 0""")
 def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """From stream to alerts, with changes of counters told and not; a watch that starts over sends nothing twice."""
-    rows, out = _days(spark, sf), []
+    rows, out = _once(_days(spark, sf), scratch(spark)), []
     for mode in ("all", "material"):
         folder = scratch(spark)
 
