@@ -291,12 +291,15 @@ def documents_collected(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{scratch(spark)}/raw"
     source.write_raw_files(raw, folder)
     made = collect.collected(source.read_packed_files(spark, folder))
-    docs = made.select("host_id", F.lit("0").alias("path"), _cat('{"timestamp":"2026-03-22T10:00:00Z",', F.expr("substring(document, 2)")).alias("raw"), F.array_join("collector_errors", ",").alias("missing"))
-    found = sections.described(source.snapshots(docs)).select("host_id", F.inline("sections")).select("host_id", "section", F.explode("entities").alias("e"))
+    docs = made.select("host_id", F.lit("0").alias("path"), _cat('{"timestamp":"2026-03-22T10:00:00Z",', F.expr("substring(document, 2)")).alias("raw"))
+    missing = F.coalesce(F.array_join("collector_errors", ","), F.lit(""))
+    read = sections.described(source.snapshots(docs), keep=["collector_errors"]).select("host_id", missing.alias("missing"), F.inline_outer("sections"))
+    # Outer, since of an inner one Spark makes a filter that works out all sections once more.
+    found = read.where("section is not null").select("host_id", "missing", "section", F.explode("entities").alias("e"))
     values = lambda c: F.transform(c, lambda x: x["value"].cast("string"))
     shown = F.when(F.col("e.singleton"), F.array_join(F.concat(values("e.fields"), values("e.counters")), "|")).otherwise(F.col("e.label"))
-    told = found.groupBy("host_id", "section", F.col("e.singleton").alias("whole")).agg(F.count("*").alias("n"), F.min(shown).alias("lo"), F.max(shown).alias("hi"))
-    return told.join(docs.select("host_id", "missing"), "host_id")
+    told = found.groupBy("host_id", "section", F.col("e.singleton").alias("whole")).agg(F.count("*").alias("n"), F.min(shown).alias("lo"), F.max(shown).alias("hi"), F.first("missing").alias("missing"))
+    return told
 
 
 _IDS = ", ".join(f"('{r[0]}', {n})" for n, r in enumerate(rules.DEFAULTS))

@@ -377,3 +377,31 @@ def test_stream_cadence_keeps_many_sections_in_a_bucket(spark, tmp_path):
         want.append((h, s, t, due[h, s][1], recorded))
     got = spark.read.schema("host_id string, section string, t long, value string, recorded boolean").parquet(f"{tmp_path}/out").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_sections_meet_once(spark):
+    told = [("a", "/etc/passwd", "r:x:0:0::/r:/s"), ("a", "/etc/group", "g:x:1:"), ("b", "/etc/passwd", "# none"), ("c", "/etc/other", "x"), ("d", "/etc/group", "g:x:1:")]
+    raw = spark.createDataFrame([(h, 0, p, c) for h, p, c in told], "host_id string, ts int, path string, content string")
+    of = lambda path: raw.where(F.col("path") == path)
+    found = {"users": parsers.users(of("/etc/passwd")), "groups": parsers.groups(of("/etc/group"))}
+    keys = raw.where("host_id <> 'd'")
+    as_rows = collect.assembled(found, keys, {"users": of("/etc/passwd"), "groups": of("/etc/group")})
+    assert "Join" not in as_rows._jdf.queryExecution().executedPlan().toString()
+    want = {"a": ([], {"users", "groups"}), "b": (["groups"], {"users"}), "c": (["users", "groups"], set())}
+    as_conditions = collect.assembled(found, keys, {"users": F.col("path") == "/etc/passwd", "groups": None})
+    for made in as_rows, as_conditions:
+        got = {r.host_id: (r.collector_errors, set(json.loads(r.document)) - {"collector_errors"}) for r in made.collect()}
+        assert got == want
+    documents = {r.host_id: json.loads(r.document) for r in as_rows.collect()}
+    assert documents["b"]["users"] == [] and documents["a"]["groups"] == [{"name": "g", "gid": 1}]
+    unseen = collect.assembled(found, keys, {"users": F.col("path") == "/etc/none", "groups": F.lit(False)}).where("host_id = 'a'").first()
+    assert json.loads(unseen.document) == {"collector_errors": ["users", "groups"]}
+
+
+def test_what_was_seen_is_looked_up_in_one_scan(spark, tmp_path):
+    raw = spark.createDataFrame([("a", 0, "/proc/version", "Linux version 5 (x)"), ("a", 0, "/proc/stat", "cpu 1")], "host_id string, ts long, path string, content string")
+    source.write_raw_files(raw, f"{tmp_path}/raw")
+    made = collect.collected(source.read_packed_files(spark, f"{tmp_path}/raw"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 34  # 57 with a scan of its own for each section's files
+    row = made.first()
+    assert len(row.collector_errors) == 23 and json.loads(row.document) == {"collector_errors": row.collector_errors}  # no hostname, too few fields
