@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,10 +130,10 @@ def in_days(ts: Column, since: str | None, until: str | None, zone: str) -> Colu
     return out
 
 
-def nanoseconds(timestamp: Column) -> Column:
+def nanoseconds(timestamp: Column, read: Callable[[Column], Column] = F.to_timestamp) -> Column:
     """Nanoseconds since 1970 of an RFC 3339 text in UTC, whose trimmed zeros make its own order wrong."""
     fraction = F.rpad(F.regexp_extract(timestamp, r"\.(\d+)", 1), 9, "0").cast("bigint")
-    return F.unix_seconds(F.to_timestamp(F.regexp_replace(timestamp, r"\.\d+", ""))) * 1_000_000_000 + fraction
+    return F.unix_seconds(read(F.regexp_replace(timestamp, r"\.\d+", ""))) * 1_000_000_000 + fraction
 
 
 def timer_schedule(on_calendar: Column, on_boot: Column, on_active: Column) -> Column:

@@ -65,25 +65,36 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("host_id", "pair_seq", "section", F.explode(rows_of(F.col("o"), F.col("n"))).alias("c")).select("host_id", "pair_seq", "section", "c.*")
 
 
+ROW = "struct<type:string,key:string,old_value:string,new_value:string,counter:boolean>"
+
+
+def row(kind: str, key: Column, before: Column, after: Column, counter: bool = False) -> Column:
+    return F.struct(F.lit(kind).alias("type"), key.alias("key"), before.alias("old_value"), after.alias("new_value"), F.lit(counter).alias("counter"))
+
+
+def counted(key: Column, before: Column, after: Column) -> Column:
+    """The row of a counter that differs."""
+    return row("modified", key, before.cast("string"), delta_text(before, after), True)
+
+
+def counters_of(shown: Column, old: Column, new: Column) -> Column:
+    """The rows of two maps of counters; one that is not there is 0."""
+    zero = F.lit(0).cast("decimal(20,0)")
+    numbers = lambda side: F.coalesce(side, F.expr("cast(map() as map<string,decimal(20,0)>)"))
+    pairs = F.map_zip_with(numbers(old), numbers(new), lambda k, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b")))
+    changed = F.filter(F.map_entries(pairs), lambda e: e["value"]["a"] != e["value"]["b"])
+    return F.transform(changed, lambda e: counted(F.concat(shown, e["key"]), e["value"]["a"], e["value"]["b"]))
+
+
 def rows_of(o: Column, n: Column) -> Column:
     """The rows that one entity gives, old and new side as structs (null where there is none): an array, empty if nothing differs."""
     single = F.coalesce(o["singleton"], n["singleton"])
     shown = F.coalesce(o["dkey"], n["dkey"])
-
-    def row(kind: str, key: Column, before: Column, after: Column, counter: bool = False) -> Column:
-        return F.struct(F.lit(kind).alias("type"), key.alias("key"), before.alias("old_value"), after.alias("new_value"), F.lit(counter).alias("counter"))
-
     none = F.lit("")
     texts = lambda side: F.coalesce(side["fields"], F.expr("cast(map() as map<string,string>)"))
-    numbers = lambda side: F.coalesce(side["counters"], F.expr("cast(map() as map<string,decimal(20,0)>)"))
-    zero = F.lit(0).cast("decimal(20,0)")
     fields = F.map_zip_with(texts(o), texts(n), lambda k, a, b: F.struct(F.coalesce(a, none).alias("a"), F.coalesce(b, none).alias("b")))
-    counters = F.map_zip_with(numbers(o), numbers(n), lambda k, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b")))
-    changed = lambda pairs: F.filter(F.map_entries(pairs), lambda e: e["value"]["a"] != e["value"]["b"])
-    modified = F.concat(
-        F.transform(changed(fields), lambda e: row("modified", F.concat(shown, e["key"]), e["value"]["a"], e["value"]["b"])),
-        F.transform(changed(counters), lambda e: row("modified", F.concat(shown, e["key"]), e["value"]["a"].cast("string"), delta_text(e["value"]["a"], e["value"]["b"]), True)),
-    )
+    changed = F.filter(F.map_entries(fields), lambda e: e["value"]["a"] != e["value"]["b"])
+    modified = F.concat(F.transform(changed, lambda e: row("modified", F.concat(shown, e["key"]), e["value"]["a"], e["value"]["b"])), counters_of(shown, o["counters"], n["counters"]))
     return F.when(~single & n.isNull(), F.array(row("removed", o["dkey"], o["label"], none))).when(~single & o.isNull(), F.array(row("added", n["dkey"], none, n["label"]))).otherwise(modified)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import bound
 from ..functions.text import joined, quoted
+from .diff import ROW, counted, counters_of, row
 
 _NUMBER = "decimal(20,0)"
 STATS = ("rx_bytes", "tx_bytes", "rx_packets", "tx_packets", "rx_errors", "tx_errors", "rx_dropped", "tx_dropped")
@@ -19,6 +20,7 @@ TICKS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal",
 _FIELDS = "array<struct<key:string,value:string>>"
 _COUNTERS = "array<struct<key:string,value:decimal(20,0)>>"
 _NO_FIELDS, _NO_COUNTERS = f"cast(array() as {_FIELDS})", f"cast(array() as {_COUNTERS})"
+_NO_ROWS = f"cast(array() as array<{ROW}>)"
 _NONE = f"cast(array() as array<struct<section:string,ekey:string,dkey:string,label:string,singleton:boolean,fields:{_FIELDS},counters:{_COUNTERS},pos:int>>)"
 
 
@@ -43,17 +45,33 @@ def _line(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _entity(section: str, key: Column, label: Column, pos: Column, shown: Column | None = None, fields: dict[str, Column] | None = None, counters: Column | None = None, singleton: bool = False) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        key.alias("ekey"),
-        (key if shown is None else shown).alias("dkey"),
-        label.alias("label"),
-        F.lit(singleton).alias("singleton"),
-        (_map(fields) if fields else F.expr(_NO_FIELDS)).alias("fields"),
-        (F.expr(_NO_COUNTERS) if counters is None else counters).alias("counters"),
-        pos.cast("int").alias("pos"),
-    )
+class _Entity(NamedTuple):
+    """What an entity is made of; counters that are not known by name are a column (of _COUNTERS)."""
+
+    section: str
+    key: Column
+    label: Column
+    shown: Column
+    fields: dict[str, Column]
+    counters: dict[str, Column] | Column
+    singleton: bool
+
+    def column(self, pos: Column) -> Column:
+        every = lambda x, none: x if isinstance(x, Column) else _map(x) if x else F.expr(none)
+        return F.struct(
+            F.lit(self.section).alias("section"),
+            self.key.alias("ekey"),
+            self.shown.alias("dkey"),
+            self.label.alias("label"),
+            F.lit(self.singleton).alias("singleton"),
+            every(self.fields, _NO_FIELDS).alias("fields"),
+            every(self.counters, _NO_COUNTERS).alias("counters"),
+            pos.cast("int").alias("pos"),
+        )
+
+
+def _entity(section: str, key: Column, label: Column, shown: Column | None = None, fields: dict[str, Column] | None = None, counters: dict[str, Column] | Column | None = None, singleton: bool = False) -> _Entity:
+    return _Entity(section, key, label, key if shown is None else shown, fields or {}, {} if counters is None else counters, singleton)
 
 
 Get = Callable[[str], Column]
@@ -64,26 +82,27 @@ class _Part(NamedTuple):
 
     items: Callable[[Get], Column]
     key: Callable[[Column], Column]
-    entity: Callable[[Column, Column], Column]
+    entity: Callable[[Column], _Entity]
+    pos: Callable[[Column], Column] = lambda i: i
 
     def all(self, get: Get) -> Column:
-        return F.coalesce(F.transform(self.items(get), self.entity), F.expr(_NONE))
+        return F.coalesce(F.transform(self.items(get), lambda e, i: self.entity(e).column(self.pos(i))), F.expr(_NONE))
 
 
-def _single(path: str, section: str, key: str = "", fields: Callable[[Column], dict[str, Column]] | None = None, counters: Callable[[Column], Column] | None = None, item: Callable[[Column], Column] = lambda c: c) -> _Part:
-    def entity(e: Column, i: Column) -> Column:
-        return _entity(section, F.lit(key), F.lit(""), F.lit(0), F.lit(""), fields and fields(e), counters and counters(e), singleton=True)
+def _single(path: str, section: str, key: str = "", fields: Callable[[Column], dict[str, Column]] | None = None, counters: Callable[[Column], dict[str, Column] | Column] | None = None, item: Callable[[Column], Column] = lambda c: c) -> _Part:
+    def entity(e: Column) -> _Entity:
+        return _entity(section, F.lit(key), F.lit(""), F.lit(""), fields and fields(e), counters and counters(e), singleton=True)
 
-    return _Part(lambda get: F.when(get(path).isNotNull(), F.array(item(get(path)))), lambda e: F.lit(key), entity)
+    return _Part(lambda get: F.when(get(path).isNotNull(), F.array(item(get(path)))), lambda e: F.lit(key), entity, lambda i: F.lit(0))
 
 
-def _pairs(path: str, entity: Callable[[Column, Column, Column], Column]) -> _Part:
-    """The entities of a map, by its keys; entity is given key, value and place."""
-    return _Part(lambda get: F.map_entries(get(path)), lambda e: e["key"], lambda e, i: entity(e["key"], e["value"], i))
+def _pairs(path: str, entity: Callable[[Column, Column], _Entity]) -> _Part:
+    """The entities of a map, by its keys; entity is given key and value."""
+    return _Part(lambda get: F.map_entries(get(path)), lambda e: e["key"], lambda e: entity(e["key"], e["value"]))
 
 
 def _values(section: str) -> _Part:
-    return _pairs(section, lambda k, v, i: _entity(section, k, _text(v), i, fields={"": _text(v)}))
+    return _pairs(section, lambda k, v: _entity(section, k, _text(v), fields={"": _text(v)}))
 
 
 Reader = Callable[[str], Column]
@@ -94,8 +113,8 @@ def _each(section: str, path: str, key: Part, label: Part, shown: Part | None =
     """The entities of an array of structs; key, label and so on are given an item's fields as text, as numbers, and the item."""
     give = lambda f, e: f(lambda n: _text(e[n]), lambda n: _number(e[n]), e) if f else None
 
-    def entity(e: Column, i: Column) -> Column:
-        return _entity(section, give(key, e), give(label, e), i, give(shown, e), give(fields, e), give(counters, e))
+    def entity(e: Column) -> _Entity:
+        return _entity(section, give(key, e), give(label, e), give(shown, e), give(fields, e), give(counters, e))
 
     return _Part(lambda get: get(path), lambda e: give(key, e), entity)
 
@@ -122,7 +141,7 @@ def _by_pid(t: Reader, n: Reader, e: Column) -> Column:
 
 
 _built: dict[object, dict[str, list[Column]]] = {}
-_zipped: dict[object, dict[str, list[Column]]] = {}
+_compared: dict[object, dict[str, list[Column]]] = {}
 
 
 def _once(built: dict[object, dict[str, list[Column]]], make: Callable[[_Part, str], Column]) -> dict[str, list[Column]]:
@@ -153,7 +172,7 @@ def _made() -> dict[str, list[_Part]]:
             _each(
                 "network.interfaces", "network.interfaces", of("name"), of("state"),
                 fields=lambda t, n, e: {".state": t("state"), ".mtu": n("mtu"), ".addresses": joined(e["addresses"])},
-                counters=lambda t, n, e: _map({f".stats.{x}": _count(e["stats"][x]) for x in STATS}),
+                counters=lambda t, n, e: {f".stats.{x}": _count(e["stats"][x]) for x in STATS},
             )
         ],
         "network.routes": [_each("network.routes", "network.routes", lambda t, n, e: _line(t("destination"), " dev ", t("device")), _route)],
@@ -203,21 +222,21 @@ def _made() -> dict[str, list[_Part]]:
                 lambda t, n, e: _line(t("user"), " ", t("fingerprint")), lambda t, n, e: named(t, "comment", "options", "source"),
             )
         ],
-        "cpu": [_single("cpu", "cpu", counters=lambda e: _map({x: _count(e[x]) for x in TICKS}))],
+        "cpu": [_single("cpu", "cpu", counters=lambda e: {x: _count(e[x]) for x in TICKS})],
         **{f"kernel_counters.{p}": [_single(f"kernel_counters.{p}", f"kernel_counters.{p}", counters=lambda e: e["each"], item=lambda c: F.struct(F.map_entries(c).alias("each")))] for p in ("ip", "tcp", "udp")},
         "processes": [
             _single("processes", "processes", "\u0000", lambda e: {"total_count": _number(e["total_count"])}),
-            _each("processes", "processes.top_by_rss", lambda t, n, e: n("pid"), lambda t, n, e: _line("rss=", n("rss_kb"), "kB"), _by_pid, counters=lambda t, n, e: _map({".rss_kb": _count(e["rss_kb"])})),
+            _each("processes", "processes.top_by_rss", lambda t, n, e: n("pid"), lambda t, n, e: _line("rss=", n("rss_kb"), "kB"), _by_pid, counters=lambda t, n, e: {".rss_kb": _count(e["rss_kb"])}),
         ],
         "sockets": [
-            _single("sockets", "sockets", "\u0000", counters=lambda e: _map({x: _count(e[x]) for x in ("total_tcp", "total_udp", "total_listen")})),
+            _single("sockets", "sockets", "\u0000", counters=lambda e: {x: _count(e[x]) for x in ("total_tcp", "total_udp", "total_listen")}),
             _each("sockets", "sockets.top_by_count", lambda t, n, e: n("pid"), lambda t, n, e: _line("tcp=", n("tcp_count"), " udp=", n("udp_count")), _by_pid),
         ],
         "connections": [_each("connections", "connections", lambda t, n, e: _line(t("protocol"), "/", t("process"), "/", t("remote_addr"), ":", n("remote_port")), _connection)],
         "nic_drivers": [
             _pairs(
                 "nic_drivers",
-                lambda k, v, i: _entity("nic_drivers", k, _line("driver=", _text(v["driver"]), " fw=", _text(v["fw_version"])), i, fields={f".{x}": _text(v[x]) for x in ("driver", "fw_version")}),
+                lambda k, v: _entity("nic_drivers", k, _line("driver=", _text(v["driver"]), " fw=", _text(v["fw_version"])), fields={f".{x}": _text(v[x]) for x in ("driver", "fw_version")}),
             )
         ],
     }
@@ -271,18 +290,28 @@ def listed(sections: list[str] | None = None) -> Column:
     return F.transform(there, lambda s: F.struct(s["section"].alias("section"), F.transform(last(s["found"]), lambda e: F.struct(*[e[n].alias(n) for n in names])).alias("entities")))
 
 
-def zipped(sections: list[str] | None = None) -> Column:
-    """An array of section, o and n: the entities that differ between the structs old and new (of columns of schema.SNAPSHOT).
+def compared(sections: list[str] | None = None) -> Column:
+    """The rows of what differs between the structs old and new (of columns of schema.SNAPSHOT): an array of section and what diff.row has.
 
-    Items are compared as they are, by key, of equal keys the last; only of those that differ entities are made (as in
-    listed, but with maps), null on a side that has none.
+    Items are compared as they are, by key, of equal keys the last; of those that differ only what their rows say is made.
     """
     get = lambda root: lambda path: reduce(lambda c, name: c[name], path.split("."), F.col(root))
-    names = ("dkey", "label", "singleton", "fields", "counters")
 
-    def entity(part: _Part, e: Column) -> Column:
-        made = bound(part.entity(e, F.lit(0)), lambda x: F.struct(*[(F.map_from_entries(x[n]) if n in ("fields", "counters") else x[n]).alias(n) for n in names]))
-        return F.when(e.isNotNull(), made)
+    def rows(part: _Part, e: Column) -> Column:
+        o, n = part.entity(e["o"]), part.entity(e["n"])
+        single = o.singleton
+        value = lambda side, text: F.when(e[side].isNotNull(), text).otherwise("") if single else text
+        fields = [(x, value("o", o.fields[x]), value("n", n.fields[x])) for x in o.fields]
+        modified = [F.when(a != b, row("modified", F.concat(o.shown, F.lit(x)), a, b)) for x, a, b in fields]
+        if isinstance(o.counters, Column):
+            changed = counters_of(F.lit(""), F.map_from_entries(o.counters), F.map_from_entries(n.counters))
+        else:
+            modified += [F.when(o.counters[x] != n.counters[x], counted(F.concat(o.shown, F.lit(x)), o.counters[x], n.counters[x])) for x in o.counters]
+            changed = F.array_compact(F.array(*modified)) if modified else F.expr(_NO_ROWS)
+        if single:
+            return changed
+        removed, added = row("removed", o.shown, o.label, F.lit("")), row("added", n.shown, F.lit(""), n.label)
+        return F.when(e["n"].isNull(), F.array(removed)).when(e["o"].isNull(), F.array(added)).otherwise(changed)
 
     def differing(part: _Part, name: str) -> Column:
         def by_key(items: Column) -> Column:
@@ -291,14 +320,14 @@ def zipped(sections: list[str] | None = None) -> Column:
         def met(both: Column) -> Column:
             every = F.map_zip_with(by_key(both["o"]), by_key(both["n"]), lambda k, o, n: F.struct(o.alias("o"), n.alias("n")))
             some = F.filter(F.map_values(every), lambda e: ~e["o"].eqNullSafe(e["n"]))
-            return F.transform(some, lambda e: F.struct(F.lit(name).alias("section"), entity(part, e["o"]).alias("o"), entity(part, e["n"]).alias("n")))
+            return F.struct(F.lit(name).alias("section"), F.flatten(F.transform(some, lambda e: rows(part, e))).alias("rows"))
 
         items = lambda root: F.coalesce(part.items(get(root)), F.array())
         return bound(F.struct(items("old").alias("o"), items("new").alias("n")), lambda both: F.when(both["o"] != both["n"], met(both)))
 
-    found = _once(_zipped, differing)
+    found = _once(_compared, differing)
     parts = [x for name, xs in found.items() if not sections or name in sections for x in xs]
-    return F.flatten(F.array_compact(F.array(*parts)))
+    return F.array_compact(F.array(*parts))
 
 
 #: The columns of schema.SNAPSHOT that each section is read from, where they have another name.

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from ..functions.canon import bound
 from ..schema import SNAPSHOT
 from .diff import rows_of
-from .entities import columns_of, listed, zipped
+from .entities import columns_of, compared, listed
 
 #: What orders and chains documents. These columns are read alone, without documents.
 INDEX = ["host_id", "ts_ns", "path", "hash", "prev_hash"]
@@ -81,9 +81,8 @@ def consecutive(snapshots: DataFrame, sections: list[str] | None = None, keep: l
     every = [c.name for c in StructType.fromDDL(SNAPSHOT)]
     rows = snapshots.select("host_id", "ts_ns", "path", *(keep or []), F.struct(*(columns_of(sections) or every)).alias("new"))
     rows = rows.withColumn("pair_seq", (F.row_number().over(order) - 1).cast("long")).withColumn("old", F.lag("new").over(order)).where("pair_seq > 0")
-    differ = rows.select("host_id", "pair_seq", *(keep or []), F.explode(zipped(sections)).alias("e"))
-    found = differ.select("host_id", "pair_seq", *(keep or []), "e.section", F.explode(rows_of(F.col("e.o"), F.col("e.n"))).alias("c"))
-    return found.select("host_id", "pair_seq", *(keep or []), "section", "c.*")
+    differ = rows.select("host_id", "pair_seq", *(keep or []), F.inline(compared(sections)))
+    return differ.select("host_id", "pair_seq", *(keep or []), "section", F.inline("rows"))
 
 
 def _compared(both: Column) -> Column:

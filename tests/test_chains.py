@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainlens.functions import canon
-from chainlens.operators import cadence, collect, diff, entities, history, parsers, sections, verify
+from chainlens.operators import cadence, collect, diff, entities, history, parsers, passing, sections, verify
 from chainlens.schema import GENESIS
 from chainlens.sources import checks, ledger, store
 from chainlens.sources import snapshots as source
@@ -333,6 +333,51 @@ def test_documents_compared_as_they_pass(spark):
     assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("from_json(") == 1
 
 
+def test_documents_compared_as_text(spark):
+    """What the texts give is what typed documents give, also of odd and unreadable ones; they are sorted once, as text, and not joined."""
+    head = '{"timestamp":"2026-03-22T10:0%d:00Z",'
+    users = lambda *rows: changed(put(["users"], [*rows]))
+    odd = [
+        head + '"packages":{"a":0,"b":{"x":1,"y":2},"c":true,"d":"1"}}', head + '"packages":{"a":-0,"b":{"y":2,"x":1},"c":1,"d":1}}', head + '"packages":{"a":0},"packages":{}}',
+        head + '"packages":{"a":0.0}} x', head + '"packages":{"a":1.50,"b":1e3}}', head + '"packages":{"a":1.5,"b":1000}}', head + '"x":' + "[" * 999 + "]" * 999 + "}", head + '"x":' + "[" * 1000 + "]" * 1000 + "}",
+        head + '"x":' + "9" * 1001 + "}", head + '"nic_drivers":{"e":5,"f":{"driver":"x"}}}', head + '"nic_drivers":{"e":5,"f":{"driver":"y"}}}', '{"packages":{"a":"0"},"timestamp":"2026-03-22T10:0%d:00Z"}', "[1]", "",
+        users({"name": "a", "uid": 1}, {"name": "a", "uid": 2}), users({"name": "a", "uid": 3}, {"name": "a", "uid": 2}), users({"uid": 1}, {"name": "", "uid": 2}), users({"uid": "x", "name": "b"}, {"name": None}), users(5, {"name": "a"}), users({"name": "\ud800"}, {"name": "?"}),
+    ]
+    edits = [*[edit for edit, _ in CASES], put(["network", "routes"], [{"destination": "a dev b", "device": "c"}, {"destination": "a", "device": "b dev c", "gateway": "g"}])]
+    texts = [*[json.dumps(d) if isinstance(d, dict) else d for d in odd], *[json.dumps(changed(edit)) for edit in edits]]
+    docs = [(f"h{n}", f"{i}.json", (t % i if t.startswith(head[:20]) and "%d" in t or "%d" in t else t.replace("T10:00", f"T10:0{i}"))) for n in range(2 * len(texts)) for i, t in enumerate((texts[n % len(texts)], texts[(n * 7 + 3) % len(texts)], texts[(n * 5 + 1) % len(texts)]))]
+    rows = loaded(spark, docs)
+    for names in (None, ["users", "network.routes", "kernel_counters.tcp"]):
+        want = sections.consecutive(source.snapshots(rows, names).withColumn("hostname", F.col("host.hostname")), names, ["hostname", "ts"])
+        got = passing.consecutive(rows, names, ["hostname", "ts"])
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("from_json(") == 3
+
+
+def test_only_what_differs_becomes_columns(spark):
+    """Of documents that differ in one of many items only this one is left before columns are made."""
+    users = [{"name": f"u{i}", "uid": i} for i in range(500)]
+    docs = [("h", "0", changed(put(["users"], users))), ("h", "1", changed(lambda d: (put(["users"], [*users[:7], {"name": "u7", "uid": 0}, *users[8:]])(d), put(["timestamp"], "2026-03-22T10:05:00Z")(d))))]
+    rows = loaded(spark, docs)
+    assert [(r.key, r.old_value, r.new_value) for r in passing.consecutive(rows).collect()] == [("u7.uid", "7", "0")]
+    read = passing._reader()()
+    left = passing._lesser(["host", "users", "packages"])(*[read(r.raw, False)[1] for r in rows.orderBy("path").collect()])
+    assert left == ({"host": BASE["host"], "users": [users[7]]}, {"host": BASE["host"], "users": [{"name": "u7", "uid": 0}]})
+
+
+def test_keys_of_texts_are_those_of_entities(spark):
+    """What tells items apart as text is what tells entities apart: each field of a key alone makes another entity."""
+    for at, (_, fields) in passing.KEYS.items():
+        for name, missing in fields:
+            other = "z" if missing == "" else 9
+            outer, _, inner = at.partition(".")
+            of = lambda items: {outer: {inner: items} if inner else items}  # noqa: B023, E731
+            doc = {"timestamp": "2026-03-22T10:00:00Z", **of([{n: m for n, m in fields}, {n: other if n == name else m for n, m in fields}])}
+            row = sections.described(source.snapshots(loaded(spark, [("h", "0", doc)]))).select(F.inline("sections")).collect()
+            assert sum(not e.singleton for r in row for e in r.entities) == 2, (at, name)
+
+
 def test_canonical_form_is_of_whole_documents_and_exact(spark):
     cases = {'{"a":1} x': None, '{"b":10000000000000000000000000000000000000000,"a":1.50}': '{"a":1.5,"b":10000000000000000000000000000000000000000}', '{"a":"#5","b":2.0}': '{"a":"#5","b":2}', '{"a":NaN}': None, '{"a":"\\ud800"}': '{"a":"?"}', None: None}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", canon.canonical_json(F.col("t")).alias("j")).collect()
